@@ -55,11 +55,16 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash for each run of ``size`` consecutive words; empty if there are fewer words."""
-    n = len(words) - size + 1
-    if n <= 0:
+    """A hash for each run of ``size`` consecutive words, joined from runs of powers of two; empty if there are fewer words."""
+    if len(words) < size:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(size):
-        h = mix(h * MIX + words[k : k + n])
-    return h
+    out, at, power, width = None, 0, words, 1
+    while True:
+        if size & width:
+            n = len(words) - at - width + 1
+            part = power[at : at + n] if out is not None else power
+            out = part if out is None else mix(out[:n] * MIX + part)
+            at += width
+        if at == size:
+            return out[: len(words) - size + 1]
+        power, width = mix(power[:-width] * MIX + power[width:]), 2 * width
