@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op1_token_counts", "op2_minhash", "op3_mixing", "op4_language", "op5_pieces", "op6_pii", "op7_media", "op8_substrings", "op9_topk")
+MODULES = (
+    "op1_token_counts",
+    "op2_minhash",
+    "op3_mixing",
+    "op4_language",
+    "op5_pieces",
+    "op6_pii",
+    "op7_media",
+    "op8_substrings",
+    "op9_topk",
+    "op10_chat",
+)
 
 
 def _collected(what: str) -> dict:
