@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rupaka.llm.common import table, written
 from rupaka.llm.lattice import Lattice, lattice
@@ -169,8 +169,8 @@ class Scorer:
 _scorers: dict = {}
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs.
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score for every row of docs, and the columns of docs named in ``keep`` as they are.
 
     score is the predicted language's posterior under equal priors; equal
     probabilities go to the language that sorts first. Null and empty texts and texts
@@ -178,7 +178,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    kept = docs.select(*(F.col(c).alias(f"keep_{c}") for c in keep))
+    names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -195,9 +196,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     else:
                         k = int(x.argmax())
                         out.append((m.langs[k], float(1 / np.exp(np.minimum(x - x[k], 0)).sum())))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 2, schema.types[1:]))], schema=schema)
+            said = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 2, (pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *said, *(b.column(c) for c in names)], names=["doc_id", "lang_pred", "score", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *kept.schema.fields])
+    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    return asked.mapInArrow(run, schema).select("doc_id", "lang_pred", "score", *(F.col(f"keep_{c}").alias(c) for c in keep))
 
 
 def held_out():

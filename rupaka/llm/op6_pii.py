@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rupaka.llm.common import id_text, table
+from rupaka.llm.common import table
 
 NEAR, KEEP, CHUNK = 40, 0.5, 512
 
@@ -105,21 +105,22 @@ def _proposed(df: DataFrame, kind: str, pattern: str, tried, confidence: float,
     return df.withColumn(kind, F.when(F.size(m) > 0, found).otherwise(F.array().cast(SPAN))).drop(m, g, s)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and ``spans``: array of (kind, start, end, score), by kind as listed in KINDS, then start.
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, ``spans``: array of (kind, start, end, score), by kind as listed in KINDS, then start; and the columns of docs named in ``keep``.
 
     Positions are in code points, the end is exclusive. Null texts are taken as
     empty; a text without matches has an empty array. Repeated rows give repeated
     results. Matches of one kind don't overlap; those of different kinds may.
     """
-    df = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     for k in KINDS:
         df = _proposed(df, *k)
     base = F.concat(*BASE)
     clear = lambda x, others: ~F.exists(others, lambda b: (x.start < b.end) & (b.start < x.end))
     added = lambda kind, others: F.filter(kind, lambda x: (F.round(x.score, 6) >= KEEP) & clear(x, others))
     df = df.withColumn("base", base).withColumn("iban", added("iban", F.array().cast(SPAN)))
-    return df.select("doc_id", "text", F.concat("base", "iban", added("local_phone", F.concat("base", "iban"))).alias("spans"))
+    spans = F.concat("base", "iban", added("local_phone", F.concat("base", "iban")))
+    return df.select("doc_id", "text", spans.alias("spans"), *(F.col(f"keep_{c}").alias(c) for c in keep))
 
 
 def listed(spans: Column) -> Column:
