@@ -1,6 +1,562 @@
-"""The registered queries of the library and their DuckDB counterparts."""
+"""The registered queries of the library and their DuckDB counterparts.
+
+Generic operators run on whole driver tables with Latin rule tables and word lists;
+Devanagari behaviour runs on literals that both sides hold.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from rupaka.functions import tables as t, text as x
+from rupaka.functions.features import FIELDS, irregular_features, suffix_readings
+from rupaka.operators import bigram, context, disambiguate as dis, evaluate as ev, gender, lexicon_etl as etl, nouns, verbs
+from rupaka.sources import lexicons, rules, sinks, treebank
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(name: str, columns: str, rows: list) -> str:
+    """A literal table of a WITH clause."""
+    one = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float, bool)) else "'" + v.replace("'", "''") + "'"
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
+
+
+def frame(spark: SparkSession, columns: str, rows: list) -> DataFrame:
+    return spark.createDataFrame(rows, columns)
+
+
+# RE2 and Java spell the same class of white space differently
+SPLIT = r"[\s\x0b\x1c-\x1f\x{85}\pZ]+"
+TOKENS = rf"list_filter(string_split_regex(text, '{SPLIT}'), lambda t: t <> '')"
+DOC_TYPES = f"types AS (SELECT lang, unnest({TOKENS}) AS word FROM documents)"
+TURN_TOKENS = f"""k AS (SELECT conv_id * 1000 + turn AS sent_id, {TOKENS} AS ts FROM conversations),
+tok AS (SELECT sent_id, generate_subscripts(ts, 1) - 1 AS pos, unnest(ts) AS token FROM k)"""
+
+
+def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.explode(x.tokens("text")).alias("word"))
+
+
+def turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dis.tokenized(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), "text"))
+
+
+@query("tokenize_documents", f"SELECT doc_id, len(ts)::BIGINT AS n_tokens, len(list_distinct(ts))::BIGINT AS n_types, ts[1] AS first_token, ts[-1] AS last_token FROM (SELECT doc_id, {TOKENS} AS ts FROM documents)")
+def tokenize_documents(spark, sf_dir):
+    ts = F.col("ts")
+    d = table(spark, sf_dir, "documents").select("doc_id", x.tokens("text").alias("ts"))
+    return d.select("doc_id", F.size(ts).cast("long").alias("n_tokens"), F.size(F.array_distinct(ts)).cast("long").alias("n_types"), F.get(ts, F.lit(0)).alias("first_token"), F.try_element_at(ts, F.lit(-1)).alias("last_token"))
+
+
+WORDS = [(w,) for w in ["सड़क", "सड़क", "पढ़ना", "पढ़ना", "क़लम", "ज़रा", "फ़िल्म", "ऩ", "ऱ", "ख़बर", "घर", "रात", "लड़की", "लड़की", "शान्ति", "ऋतु", "कृषि", "abc", ""]]
+
+
+@query("normalize_terms", f"WITH {values('w', 'word', WORDS)} SELECT word, nfc_normalize(word) AS composed, replace(replace(nfc_normalize(word), 'ड़', 'ड'), 'ढ़', 'ढ') AS normal FROM w")
+def normalize_terms(spark, sf_dir):
+    return frame(spark, "word string", WORDS).select("word", x.nfc("word").alias("composed"), x.normalized("word").alias("normal"))
+
+
+VOWELS = ", ".join(f"'{c}'" for c in dict.fromkeys(t.VOWEL_FINALS))
+
+
+@query("consonant_final_flags", f"WITH {values('w', 'word', WORDS)}, d AS (SELECT word FROM w UNION ALL SELECT unnest({TOKENS}) FROM documents) SELECT length(word) > 0 AND right(word, 1) NOT IN ({VOWELS}) AS consonant_final, count(*)::BIGINT AS n FROM d GROUP BY 1")
+def consonant_final_flags(spark, sf_dir):
+    d = frame(spark, "word string", WORDS).union(doc_tokens(spark, sf_dir).select("word"))
+    return d.groupBy(x.consonant_final("word").alias("consonant_final")).agg(F.count("*").alias("n"))
+
+
+@query("grapheme_reverse", f"WITH {values('w', 'word', WORDS)} SELECT word, coalesce(array_to_string(list_reverse(regexp_extract_all(word, '(?s).[़्]*')), ''), '') AS turned FROM w")
+def grapheme_reverse(spark, sf_dir):
+    return frame(spark, "word string", WORDS).select("word", x.reversed_graphemes("word").alias("turned"))
+
+
+@query("final_char_histogram", f"WITH {DOC_TYPES} SELECT right(word, 1) AS char, lower(to_hex(unicode(right(word, 1)))) AS code, count(*)::BIGINT AS n FROM types GROUP BY 1, 2 ORDER BY n DESC, char LIMIT 20")
+def final_char_histogram(spark, sf_dir):
+    return etl.final_chars(doc_tokens(spark, sf_dir).select("word"))
+
+
+# ── suffix rules over whole texts ──
+
+LATIN = {"A": [("s", "", "x", "PL", "DIR"), ("", "", "x", "SG", "DIR")], "B": [("ing", "", "x", "SG", "OBL"), ("ed", "", "x", "PL", "OBL")], "C": [("tion", "te", "x", "SG", "DIR"), ("en", "", "x", "PL", "DIR")]}
+LATIN_ROWS = [(i, j, p, *r) for i, (p, rs) in enumerate(LATIN.items()) for j, r in enumerate(rs)]
+HITS = f"""{values('r', 'class_ord, rule_ord, paradigm, strip, addl, gender, number, kase', LATIN_ROWS)},
+{DOC_TYPES}, u AS (SELECT DISTINCT word FROM types),
+h AS (SELECT u.word AS surface, left(u.word, length(u.word) - length(strip)) || addl AS lemma, r.* FROM u JOIN r ON suffix(u.word, strip)),
+g AS (SELECT h.* FROM h JOIN u ON h.lemma = u.word),
+a AS (SELECT *, row_number() OVER (PARTITION BY surface, lemma, gender, number, kase ORDER BY class_ord, rule_ord) AS n FROM g)"""
+
+
+def latin_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distinct words of the documents, each of which may be a lemma of any class."""
+    w = doc_tokens(spark, sf_dir).select("word").distinct()
+    lexicon = w.select(F.col("word").alias("norm"), F.col("word").alias("display"), F.explode(F.array(*map(F.lit, LATIN))).alias("paradigm"), F.lit("certain").alias("confidence"))
+    return nouns.analyze_nouns(w, lexicon, rules.noun_rules(spark, LATIN))
+
+
+@query("suffix_analysis", f"WITH {HITS} SELECT surface, lemma, gender, number, kase AS \"case\", paradigm, (row_number() OVER (PARTITION BY surface ORDER BY class_ord, rule_ord, lemma))::INT AS ord FROM a WHERE n = 1")
+def suffix_analysis(spark, sf_dir):
+    return latin_analyses(spark, sf_dir).select("surface", "lemma", "gender", "number", "case", "paradigm", "ord")
+
+
+@query("suffix_class_counts", f"WITH {HITS} SELECT lang, paradigm, count(*)::BIGINT AS n, count(DISTINCT lemma)::BIGINT AS n_lemmas FROM types JOIN a ON surface = word AND n = 1 GROUP BY lang, paradigm")
+def suffix_class_counts(spark, sf_dir):
+    # words are counted by language before the join, so it moves types, not tokens
+    types = doc_tokens(spark, sf_dir).groupBy("lang", "word").agg(F.count("*").alias("c"))
+    hits = latin_analyses(spark, sf_dir).select(F.col("surface").alias("word"), "lemma", "paradigm")
+    return types.join(hits, "word").groupBy("lang", "paradigm").agg(F.sum("c").alias("n"), F.countDistinct("lemma").alias("n_lemmas"))
+
+
+LEXICON = [("लड़का", "M1"), ("घर", "M2"), ("आदमी", "M3"), ("आलू", "M4"), ("लड़की", "F1"), ("आशा", "F2"), ("रात", "F3"), ("शान्ति", "F4"), ("ऋतु", "F5"), ("कवि", "M3"), ("खाना", "M1"), ("राम", "M2"), ("किताब", "F3"), ("सड़क", "F3")]
+FORMS = [(w,) for w in "लड़का लड़के लड़कों लड़की लड़कियों लड़कियाँ घर घरों आदमी आदमियों आलुओं आशाएँ आशाओं रातें रातों शान्तियों ऋतुओं कवि खाने सड़कें अनजान".split()]
+NOUN_ROWS = [(i, j, p, *r) for i, (p, rs) in enumerate(t.NOUN_PARADIGMS.items()) for j, r in enumerate(rs)]
+NORMAL = "replace(replace(nfc_normalize({0}), 'ड़', 'ड'), 'ढ़', 'ढ')"
+NOUNS = f"""{values('lex', 'word, paradigm', LEXICON)}, {values('f', 'word', FORMS)}, {values('r', 'class_ord, rule_ord, paradigm, strip, addl, gender, number, kase', NOUN_ROWS)},
+h AS (SELECT f.word AS surface, left({NORMAL.format('f.word')}, length({NORMAL.format('f.word')}) - length(strip)) || addl AS norm, r.* FROM f JOIN r ON suffix({NORMAL.format('f.word')}, strip)),
+g AS (SELECT h.*, nfc_normalize(lex.word) AS lemma FROM h JOIN lex ON {NORMAL.format('lex.word')} = h.norm AND lex.paradigm = h.paradigm),
+a AS (SELECT *, row_number() OVER (PARTITION BY surface, lemma, gender, number, kase ORDER BY class_ord, rule_ord) AS n FROM g)"""
+
+
+def hindi_lexicon(spark: SparkSession) -> DataFrame:
+    return lexicons.keyed_lexicon(frame(spark, "word string, paradigm_class string", LEXICON))
+
+
+@query("hindi_noun_analysis", f"WITH {NOUNS} SELECT surface, (row_number() OVER (PARTITION BY surface ORDER BY class_ord, rule_ord))::INT AS ord, lemma, gender, number, kase AS \"case\", paradigm, 'certain' AS confidence FROM a WHERE n = 1")
+def hindi_noun_analysis(spark, sf_dir):
+    return nouns.analyze_nouns(frame(spark, "word string", FORMS), hindi_lexicon(spark))
+
+
+# ── verbs: the feature cascade in SQL ──
+
+def _in(c: str, words: str) -> str:
+    return f"{c} IN (" + ", ".join(f"'{w}'" for w in words.split()) + ")"
+
+
+def _when(tests: list[tuple[str, str | None]]) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN " + ("NULL" if v is None else f"'{v}'") for c, v in tests) + " END"
+
+
+def _flag(field: str) -> str:
+    tests = [(f"listed IS NULL AND contains(suffix, '{m}')", t.FLAG_FEATURES[f][field]) for m, f in t.SUFFIX_FLAGS if field in t.FLAG_FEATURES.get(f, {})]
+    return _when(tests) if tests else "NULL"
+
+
+def _gn(k: int, field: str) -> str:
+    future = _when([(f"suffix(suffix, '{r[0]}')", r[k + 1]) for r in t.FUTURE_GN])
+    whole = _when([(f"suffix = '{m}'", v[k]) for m, v in t.IMPERFECTIVE_GN.items()])
+    end = _when([(f"suffix(suffix, '{r[0]}')", r[k + 1]) for r in t.TERMINAL_GN])
+    return f"CASE WHEN tense = 'future' THEN coalesce({future}, {_flag(field)}) WHEN aspect = 'imperfective' THEN coalesce({whole}, {_flag(field)}) ELSE coalesce({_flag(field)}, {end}) END"
+
+
+_SPECIAL = {k: dict(zip(("aspect", "mood", "verbal_type", "person", "number", "gender"), v[0])) for k, v in t.AMBIGUOUS.items()} | {k: {"verbal_type": "infinitive", "gender": g, "number": n, "case": c} for k, (g, n, c) in t.INFINITIVES.items()}
+
+
+def _final(field: str, plain: str) -> str:
+    return "CASE " + " ".join(f"WHEN suffix = '{k}' THEN " + (f"'{v[field]}'" if v.get(field) else "NULL") for k, v in _SPECIAL.items()) + f" ELSE {plain} END AS \"{field}\""
+
+
+VERB_ROWS = [(k, *r) for k, r in enumerate(t.VERB_RULES, 1)]
+FEATURES = f"""{values('vr', 'rule_ord, suffix, add_back', VERB_ROWS)},
+v1 AS (SELECT *, CASE WHEN {_in('suffix', t.FUTURE)} THEN 'future' WHEN {_in('suffix', t.IMPERFECTIVE)} THEN 'imperfective' WHEN {_in('suffix', t.IMPERATIVE)} THEN 'imperative'
+       WHEN {_in('suffix', t.SUBJUNCTIVE)} THEN 'subjunctive' WHEN {_in('suffix', t.PERFECTIVE)} THEN 'perfective' END AS listed FROM vr),
+v2 AS (SELECT *, coalesce(CASE WHEN listed IN ('imperfective', 'perfective') THEN listed END, {_flag('aspect')}) AS aspect,
+       coalesce(CASE WHEN listed = 'future' THEN listed END, {_flag('tense')}) AS tense, CASE WHEN listed IN ('imperative', 'subjunctive') THEN listed END AS mood,
+       {_when([(f"(suffix(suffix, '{m}') OR prefix(suffix, '{m}'))", p) for p, ms in t.PERSONS for m in ms.split()])} AS person FROM v1),
+vf AS (SELECT rule_ord, suffix, add_back, {_final('aspect', 'aspect')}, {_final('tense', 'tense')}, {_final('mood', 'mood')},
+       {_final('verbal_type', f"coalesce({_flag('verbal_type')}, CASE WHEN tense IS NOT NULL OR mood IS NOT NULL THEN 'finite' WHEN aspect IS NOT NULL THEN 'participle' END)")},
+       {_final('person', "CASE WHEN mood = 'imperative' THEN coalesce(person, '2') ELSE person END")}, {_final('number', _gn(1, 'number'))}, {_final('gender', _gn(0, 'gender'))}, {_final('case', _flag('case'))} FROM v2)"""
+
+
+@query("verb_rule_features", f"WITH {FEATURES} SELECT rule_ord, suffix, add_back, aspect, tense, mood, verbal_type, person, number, gender, \"case\" FROM vf")
+def verb_rule_features(spark, sf_dir):
+    r = verbs.with_features(rules.verb_rules(spark))
+    return r.select("rule_ord", "suffix", "add_back", *(F.col(f"features.{f}").alias(f) for f in FIELDS))
+
+
+VERB_FORMS = [(w,) for w in "खाया गया करना जाऊंगा करेंगी लीजिए दी देंगे बोलती आईं पियूँ कीजिये सोया लेंगीं चलो ले छुआ हुए".split()]
+_IRREGULAR = [(s, lemma) for lemma, forms in t.IRREGULAR.items() for s in forms.split()]
+_PERF = [("ईं यीं", "F", "P"), ("ई यी", "F", "S"), ("ये ए", "M", "P"), ("या", "M", "S"), ("ी", "F", "S"), ("ीं", "F", "P")]
+_IGN = {k: _when([(" OR ".join(f"suffix(w, '{m}')" for m in r[0].split()), r[i]) for r in _PERF]) for k, i in (("gender", 1), ("number", 2))}
+_FGN = {k: _when([(f"suffix(w, '{r[0]}')", r[i]) for r in t.FUTURE_GN]) for k, i in (("gender", 1), ("number", 2))}
+VERBS = f"""{FEATURES}, {values('f', 'w', VERB_FORMS)}, {values('ir', 'w, lemma', _IRREGULAR)},
+i1 AS (SELECT w, lemma, regexp_matches(w, '(गा|गी|गे|गीं)$') AS fut, regexp_matches(w, '(जिए|जिये)$') AS imp FROM f JOIN ir USING (w)),
+every AS (
+SELECT w AS surface, lemma, '(irregular)' AS suffix, CASE WHEN fut OR imp THEN NULL ELSE 'perfective' END AS aspect, CASE WHEN fut THEN 'future' END AS tense, CASE WHEN imp AND NOT fut THEN 'imperative' END AS mood,
+       CASE WHEN fut OR imp THEN 'finite' ELSE 'participle' END AS verbal_type, CASE WHEN imp AND NOT fut THEN '2' END AS person,
+       CASE WHEN fut THEN {_FGN['number']} WHEN imp THEN NULL ELSE {_IGN['number']} END AS number, CASE WHEN fut THEN {_FGN['gender']} WHEN imp THEN NULL ELSE {_IGN['gender']} END AS gender,
+       NULL AS "case", true AS irregular, 'high' AS confidence, 0 AS rank, 0 AS rule_ord FROM i1
+UNION ALL
+SELECT w, left(w, length(w) - length(suffix)) || add_back, suffix, aspect, tense, mood, verbal_type, person, number, gender, "case", false,
+       CASE WHEN length(suffix) >= 3 THEN 'medium' ELSE 'low' END, CASE WHEN length(suffix) >= 3 THEN 1 ELSE 2 END, rule_ord
+FROM f JOIN vf ON suffix(w, suffix) WHERE length(left(w, length(w) - length(suffix)) || add_back) >= 2)"""
+
+
+@query("hindi_verb_analysis", f"WITH {VERBS} SELECT surface, (row_number() OVER (PARTITION BY surface ORDER BY rank, rule_ord))::INT AS ord, lemma, suffix, 'verb' AS paradigm, aspect, tense, mood, verbal_type, person, number, gender, \"case\", irregular, confidence FROM every")
+def hindi_verb_analysis(spark, sf_dir):
+    return verbs.analyze_verbs(frame(spark, "word string", VERB_FORMS)).drop("auxiliary", "aux_flag")
+
+
+STEM_FLAGS = [("जा", "ja", 1), ("जाना", "jn", 2), ("दे", "de", 3), ("कर", "kr", 4)]
+AUX = [("ले",), ("चुक",), ("सक",)]
+LEMMAS = [(w,) for w in ["जा", "जानादे", "करले", "बोलसक", "दे", "खा", "लेकर", "चुक"]]
+
+
+@query("aux_detection", f"""WITH {values('s', 'morpheme, flag, nth', STEM_FLAGS)}, {values('x', 'root', AUX)}, {values('l', 'lemma', LEMMAS)},
+h AS (SELECT lemma, morpheme, flag, 0 AS tier, nth FROM l JOIN s ON suffix(lemma, morpheme) OR prefix(lemma, morpheme)
+      UNION ALL SELECT lemma, root, 'aux', 1, 0 FROM l JOIN x ON suffix(lemma, root)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY tier, -length(morpheme), nth, morpheme) AS n FROM h)
+SELECT lemma, morpheme AS auxiliary, flag AS aux_flag FROM o WHERE n = 1""")
+def aux_detection(spark, sf_dir):
+    return verbs.detect_aux(frame(spark, "lemma string", LEMMAS), frame(spark, "morpheme string, flag string, file_ord int", STEM_FLAGS), frame(spark, "root string", AUX))
+
+
+# ── lexicon building ──
+
+LISTS = f"""t0 AS (SELECT source, unnest({TOKENS}) AS word FROM documents),
+old AS (SELECT DISTINCT word, CASE WHEN right(word, 1) IN ('e', 't') THEN 'ex_noun' WHEN right(word, 1) < 'n' THEN 'रात' ELSE 'घर' END AS paradigm FROM t0 WHERE source = 'src0'),
+new AS (SELECT DISTINCT word, CASE WHEN left(word, 1) IN ('e', 't') THEN 'ex_noun' WHEN left(word, 1) < 'h' THEN 'आशा' WHEN left(word, 1) < 'n' THEN 'रात' ELSE 'घर' END AS paradigm FROM t0 WHERE source <> 'src0'),
+m AS (SELECT coalesce(old.word, new.word) AS word, old.paradigm AS class_old, new.paradigm AS class_new FROM old FULL JOIN new ON old.word = new.word)"""
+
+
+def two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    w = doc_tokens(spark, sf_dir)
+    end, begin = x.last_char("word"), F.left("word", F.lit(1))
+    old = w.filter("source = 'src0'").select("word").distinct().withColumn("paradigm", F.when(end.isin("e", "t"), "ex_noun").when(end < "n", "रात").otherwise("घर"))
+    new = w.filter("source <> 'src0'").select("word").distinct().withColumn("paradigm", F.when(begin.isin("e", "t"), "ex_noun").when(begin < "h", "आशा").when(begin < "n", "रात").otherwise("घर"))
+    return old, new
+
+
+RESOLVED = f"""{LISTS}, res AS (SELECT *, CASE WHEN class_old IS NULL THEN class_new WHEN class_new IS NULL OR class_old = class_new THEN class_old WHEN class_old = 'ex_noun' THEN class_new
+  WHEN class_new = 'ex_noun' THEN class_old ELSE class_new END AS paradigm,
+  coalesce(class_old <> class_new AND class_old <> 'ex_noun' AND class_new <> 'ex_noun' AND NOT (class_old IN ('रात', 'घर') AND class_new IN ('रात', 'घर')), false) AS logged FROM m)"""
+
+
+@query("lexicon_merge_conflicts", f"WITH {RESOLVED} SELECT word, paradigm, logged, class_old, class_new FROM res")
+def lexicon_merge_conflicts(spark, sf_dir):
+    return etl.resolved(*two_lists(spark, sf_dir))
+
+
+@query("lexicon_conflict_words", f"WITH {LISTS} SELECT word, class_old, class_new FROM m WHERE class_old <> class_new")
+def lexicon_conflict_words(spark, sf_dir):
+    return etl.conflicts(*two_lists(spark, sf_dir))
+
+
+@query("lexicon_merged_right", f"WITH {LISTS} SELECT word, coalesce(class_new, class_old) AS paradigm FROM m")
+def lexicon_merged_right(spark, sf_dir):
+    return etl.merged_right(*two_lists(spark, sf_dir))
+
+
+@query("lexicon_overlap_stats", f"""WITH {LISTS} SELECT count(class_old)::BIGINT AS n_old, count(class_new)::BIGINT AS n_new, count(*) FILTER (class_old IS NOT NULL AND class_new IS NOT NULL)::BIGINT AS n_both,
+count(*) FILTER (class_new IS NULL)::BIGINT AS only_old, count(*) FILTER (class_old IS NULL)::BIGINT AS only_new, count(*) FILTER (class_old <> class_new)::BIGINT AS n_conflicts, count(*)::BIGINT AS n_union FROM m""")
+def lexicon_overlap_stats(spark, sf_dir):
+    return etl.overlap(*two_lists(spark, sf_dir))
+
+
+@query("conflict_pattern_count", f"WITH {RESOLVED} SELECT count(*) FILTER (logged AND class_old IN ('रात', 'आशा') AND class_new IN ('रात', 'आशा') AND class_old <> class_new)::BIGINT AS n FROM res")
+def conflict_pattern_count(spark, sf_dir):
+    return etl.pattern_count(etl.conflict_log(etl.resolved(*two_lists(spark, sf_dir))), "रात", "आशा")
+
+
+@query("class_histogram", f"WITH {RESOLVED} SELECT paradigm, count(*)::BIGINT AS n FROM res GROUP BY paradigm")
+def class_histogram(spark, sf_dir):
+    return lexicons.class_histogram(etl.resolved(*two_lists(spark, sf_dir)))
+
+
+LABELS = [(w, c) for w, c in zip("क ख ग घ ङ च छ ज झ ञ ट ठ".split(), ["लड़का", "<क्रोध", "ेex_noun", "लडकी", "भिड़", "माँ", "कुछ", "ex_noun", "रातन", "फोटो", "बहू", "proper_noun"])]
+_FIX = [(k, v) for k, v in t.LABEL_FIXES.items()]
+_EX = [(w, c) for c, ws in t.EXEMPLARS.items() for w in ws.split()]
+
+
+@query("class_mapping", f"""WITH {values('l', 'word, label', LABELS)}, {values('fx', 'a, b', _FIX)}, {values('ex', 'w, c', _EX)},
+j AS (SELECT word, label, coalesce(ex.c, 'UNKNOWN') AS mapped FROM l LEFT JOIN fx ON label = a LEFT JOIN ex ON ex.w = coalesce(b, label))
+SELECT word, label, mapped, mapped IN ('UNKNOWN', 'IRREG') AS skipped FROM j""")
+def class_mapping(spark, sf_dir):
+    final, skipped = etl.classified(frame(spark, "word string, paradigm string", LABELS))
+    l = frame(spark, "word string, label string", LABELS)
+    return l.join(final, "word").select("word", "label", F.col("paradigm_class").alias("mapped"), F.lit(False).alias("skipped")).union(skipped.select("word", "label", "mapped", F.lit(True)))
+
+
+MERGED = [("गाड़ी", "ex_noun"), ("गाडी", "ex_noun"), ("चावल", "ex_noun"), ("माला", "ex_noun"), ("गति", "ex_noun"), ("घर", "घर"), ("कोई", "ex_noun"), ("रोटी", "ex_noun"), ("पेड़", "ex_noun"), ("पेड", "ex_noun"), ("नाक", "ex_noun")]
+FINAL = [("घर", "M2", "certain"), ("रोटी", "F1", "certain"), ("नाक", "F3", "certain")]
+_HEUR = "CASE right({0}, 1) WHEN 'ा' THEN 'M1' WHEN 'ी' THEN 'F1' WHEN 'ि' THEN 'F4' WHEN 'ई' THEN 'F1' END"
+_N = NORMAL.format("word")
+
+
+@query("heuristic_expansion", f"""WITH {values('m', 'word, paradigm', MERGED)}, {values('f', 'word, paradigm_class, confidence', FINAL)},
+n AS (SELECT DISTINCT {_N} AS word FROM m WHERE paradigm = 'ex_noun')
+SELECT * FROM f UNION ALL SELECT word, {_HEUR.format('word')}, 'heuristic' FROM n WHERE {_HEUR.format('word')} IS NOT NULL AND word NOT IN (SELECT word FROM f)""")
+def heuristic_expansion(spark, sf_dir):
+    return etl.expanded(frame(spark, "word string, paradigm_class string, confidence string", FINAL), frame(spark, "word string, paradigm string", MERGED))
+
+
+@query("unclassified_anti_join", f"""WITH {values('m', 'word, paradigm', MERGED)}, {values('f', 'word, paradigm_class, confidence', FINAL)},
+n AS (SELECT {_N} AS norm, list_sort(list_distinct(list(word))) AS o FROM m WHERE paradigm = 'ex_noun' GROUP BY 1)
+SELECT norm AS word, array_to_string(o, '|') AS originals, len(o) > 1 AS clash FROM n WHERE norm NOT IN (SELECT {_N} FROM f) AND right(norm, 1) NOT IN ({VOWELS})""")
+def unclassified_anti_join(spark, sf_dir):
+    out = lexicons.excluded_words(frame(spark, "word string, paradigm_class string", MERGED), frame(spark, "word string, paradigm_class string, confidence string", FINAL))
+    return out.select("word", F.array_join("originals", "|").alias("originals"), "clash")
+
+
+RAW = [(1, "घर,घर,noun"), (2, "//रात,<रात,noun"), (3, "घर,क्रोध,noun"), (4, "चल,x,verb"), (5, ",घर,noun"), (6, "a,b"), (7, " <आशा> , आशा , noun "), (8, "a,b,c,d"), (9, "")]
+
+
+@query("raw_lexicon", f"""WITH {values('l', 'line_no, line', RAW)}, p AS (SELECT line_no, list_transform(string_split(ltrim(trim(line), '/'), ','), lambda x: rtrim(ltrim(trim(x), '<'), '>')) AS f FROM l),
+g AS (SELECT line_no, f[1] AS word, f[2] AS paradigm FROM p WHERE len(f) = 3 AND f[3] = 'noun' AND f[1] <> '')
+SELECT word, arg_max(paradigm, line_no) AS paradigm FROM g GROUP BY word""")
+def raw_lexicon(spark, sf_dir):
+    return lexicons.parsed_lexicon(frame(spark, "line_no int, line string", RAW))
+
+
+RULE_LINES = [(0, 1, "verb, या, ,,,,1"), (0, 2, "verb, या,,,"), (0, 3, "// comment"), (0, 4, "copula, है, ै,,"), (0, 5, "verb, िया, ी ,,,,1"), (0, 6, "noun, ा, ,"), (0, 7, "verb, ता, nil"), (1, 1, "verb, ती, "), (1, 2, "verb, िया, ी"), (1, 3, "verb, , x"), (1, 4, "copula, था, ,")]
+
+
+@query("suffix_rule_loading", f"""WITH {values('l', 'file_ord, line_no, line', RULE_LINES)}, p AS (SELECT file_ord, line_no, list_transform(string_split(trim(line), ','), lambda x: trim(x)) AS f FROM l WHERE trim(line) <> '' AND NOT prefix(trim(line), '//')),
+g AS (SELECT f[1] AS paradigm, f[2] AS suffix, f[3] AS add_back, file_ord, line_no FROM p WHERE len(f) >= 3),
+k AS (SELECT paradigm, suffix, add_back, min((file_ord, line_no)) AS seen FROM g WHERE paradigm IN ('verb', 'copula') AND add_back NOT IN ('ै', 'ो') AND suffix <> '' AND lower(add_back) <> 'nil' GROUP BY ALL)
+SELECT (row_number() OVER (ORDER BY length(suffix) DESC, seen))::INT AS rule_ord, paradigm, suffix, add_back FROM k""")
+def suffix_rule_loading(spark, sf_dir):
+    return rules.load_suffix_rules(frame(spark, "file_ord int, line_no int, line string", RULE_LINES))
+
+
+FLAG_LINES = [("f", k, line) for k, line in enumerate(["// x", "#verb", "त\tt", "य\ty", "bad line", "त\tt2", "#other", "ो\to", "", "#verb", "ग\tg"], 1)]
+
+
+@query("flag_map_loading", f"""WITH {values('l', 'file, line_no, line', FLAG_LINES)}, c AS (SELECT line_no, trim(line) AS line FROM l WHERE trim(line) <> '' AND NOT prefix(trim(line), '//')),
+s AS (SELECT *, last_value(CASE WHEN prefix(line, '#') THEN line END IGNORE NULLS) OVER (ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM c),
+p AS (SELECT line_no, string_split(line, chr(9)) AS f FROM s WHERE section = '#verb' AND NOT prefix(line, '#'))
+SELECT f[1] AS morpheme, arg_max(f[2], line_no) AS flag, min(line_no)::INT AS file_ord FROM p WHERE len(f) = 2 GROUP BY 1""")
+def flag_map_loading(spark, sf_dir):
+    return rules.load_flag_map(frame(spark, "file string, line_no int, line string", FLAG_LINES))
+
+
+# ── bigrams and context ──
+
+@query("bigram_counts", "WITH p AS (SELECT event_type AS prev, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS curr FROM events) SELECT prev, curr, count(*)::BIGINT AS n FROM p WHERE curr IS NOT NULL GROUP BY ALL")
+def bigram_counts(spark, sf_dir):
+    return bigram.bigram_counts(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query("bigram_smoothed", """WITH p AS (SELECT event_type AS prev, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS curr FROM events),
+c AS (SELECT prev, curr, count(*)::BIGINT AS n FROM p WHERE curr IS NOT NULL GROUP BY ALL), v AS (SELECT prev AS curr FROM c UNION SELECT curr FROM c), t AS (SELECT prev, sum(n) AS total FROM c GROUP BY prev)
+SELECT t.prev, v.curr, coalesce(n, 0)::BIGINT AS n, round((coalesce(n, 0) + 0.1) / (total + 0.1 * (SELECT count(*) FROM v)), 9) AS p FROM t CROSS JOIN v LEFT JOIN c ON c.prev = t.prev AND c.curr = v.curr""")
+def bigram_smoothed(spark, sf_dir):
+    m = bigram.bigram_model(bigram_counts(spark, sf_dir))
+    return m.select("prev", "curr", F.col("n").cast("long").alias("n"), F.round("p", 9).alias("p"))
+
+
+@query("context_prev_next", f"""WITH {TURN_TOKENS} SELECT sent_id, pos::INT AS pos, token,
+last_value(CASE WHEN token NOT IN ('the', 'of', 'la', 'die') THEN token END IGNORE NULLS) OVER (PARTITION BY sent_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+first_value(CASE WHEN token NOT IN ('the', 'of', 'la', 'die') THEN token END IGNORE NULLS) OVER (PARTITION BY sent_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM tok""")
+def context_prev_next(spark, sf_dir):
+    content = ~F.col("token").isin("the", "of", "la", "die")
+    return turn_tokens(spark, sf_dir).withColumn("before", context.previous(content, F.col("token"))).withColumn("after", context.following(content, F.col("token")))
+
+
+@query("compound_terms", f"""WITH {TURN_TOKENS}, l AS (SELECT *, lead(token) OVER w AS t1, lead(token, 2) OVER w AS t2 FROM tok WINDOW w AS (PARTITION BY sent_id ORDER BY pos)),
+a AS (SELECT *, coalesce(token || ' ' || t1 || ' ' || t2 IN ('of the the', 'in the of'), false) AS m3 FROM l),
+b AS (SELECT *, m3 OR coalesce(lag(m3) OVER w, false) OR coalesce(lag(m3, 2) OVER w, false) AS in3 FROM a WINDOW w AS (PARTITION BY sent_id ORDER BY pos)),
+c AS (SELECT *, coalesce(token || ' ' || t1 IN ('of the', 'in the', 'la que', 'the of'), false) AND NOT in3 AND NOT coalesce(lead(in3) OVER w, true) AS m2 FROM b WINDOW w AS (PARTITION BY sent_id ORDER BY pos))
+SELECT sent_id, pos::INT AS pos, token, m2 OR m3 AS starts_compound, in3 OR m2 OR coalesce(lag(m2) OVER (PARTITION BY sent_id ORDER BY pos), false) AS in_compound FROM c""")
+def compound_terms(spark, sf_dir):
+    return context.compounds(turn_tokens(spark, sf_dir), ["of the", "in the", "la que", "the of"], ["of the the", "in the of"])
+
+
+@query("nearest_marker_right", f"""WITH {TURN_TOKENS} SELECT sent_id, pos::INT AS pos, token,
+first_value(CASE WHEN suffix(token, 'ing') OR suffix(token, 'ed') THEN pos END IGNORE NULLS) OVER (PARTITION BY sent_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)::INT AS marker FROM tok""")
+def nearest_marker_right(spark, sf_dir):
+    marks = F.col("token").endswith("ing") | F.col("token").endswith("ed")
+    return turn_tokens(spark, sf_dir).withColumn("marker", context.following(marks, F.col("pos")))
+
+
+@query("negation_scope", f"""WITH {TURN_TOKENS} SELECT sent_id, count(*)::BIGINT AS n, arg_min(CASE WHEN token IN ('no', 'not', 'nicht', 'pas') THEN token END, pos) AS negation FROM tok GROUP BY sent_id""")
+def negation_scope(spark, sf_dir):
+    neg = F.col("token").isin("no", "not", "nicht", "pas")
+    first = F.first(F.when(neg, F.col("token")), ignorenulls=True).over(context.whole())
+    return turn_tokens(spark, sf_dir).withColumn("negation", first).groupBy("sent_id").agg(F.count("*").alias("n"), F.min("negation").alias("negation"))
+
+
+# ── scoring ──
+
+CANDS = [("t1", "a", "M", "SG", "DIR"), ("t1", "a", "M", "PL", "DIR"), ("t1", "a", "M", "SG", "OBL"), ("t2", "b", "F", "SG", "DIR"), ("t2", "c", "M", "SG", "OBL"), ("t3", "d", "F", "PL", "DIR"), ("t3", "d", "F", "PL", "OBL"), ("t4", "e", "M", "SG", "DIR"), ("t4", "e", "M", "PL", "OBL")]
+SIGNALS = [("t1", "M", False, "SG", "M", "SG"), ("t2", "F", True, None, None, None), ("t3", None, False, None, None, None), ("t4", None, False, None, "M", "SG")]
+ARRAYS = ", ".join(f"{c}:string" for c in ("lemma", "gender", "number", "case"))
+
+
+def scored_tokens(spark: SparkSession) -> DataFrame:
+    c = frame(spark, "tok string, lemma string, gender string, number string, case string", CANDS)
+    c = c.groupBy("tok").agg(F.array_sort(F.collect_list(F.struct("lemma", "gender", "number", "case"))).alias("nouns"))
+    s = frame(spark, "tok string, g string, oblique boolean, n string, ag string, an string", SIGNALS)
+    return c.join(s.select("tok", F.col("g").alias("gender_signal"), "oblique", F.col("n").alias("number_signal"), F.struct(F.col("ag").alias("gender"), F.col("an").alias("number")).alias("agreement")), "tok")
+
+
+@query("score_argmax_ties", f"""WITH {values('c', 'tok, lemma, gender, number, kase', CANDS)}, {values('s', 'tok, g, oblique, n, ag, an', SIGNALS)},
+p AS (SELECT c.*, (CASE WHEN g IS NULL THEN 0 WHEN gender = g THEN 8 ELSE -8 END + CASE WHEN NOT oblique THEN 0 WHEN kase = 'OBL' THEN 4 ELSE -4 END + CASE WHEN number = n THEN 2 ELSE 0 END
+      + CASE WHEN NOT oblique AND kase = 'DIR' AND gender = ag AND number = an THEN 1 ELSE 0 END)::DOUBLE AS score FROM c JOIN s USING (tok)),
+q AS (SELECT *, max(score) OVER (PARTITION BY tok) AS top, bool_and(score = 0) OVER (PARTITION BY tok) AS still FROM p)
+SELECT tok, lemma, gender, number, kase AS "case" FROM q WHERE still OR score = top""")
+def score_argmax_ties(spark, sf_dir):
+    own = lambda n: F.col(n)
+    best = scored_tokens(spark).select("tok", F.explode(dis.best(F.col("nouns"), lambda c: dis.base_score(c, own))).alias("c"))
+    return best.select("tok", "c.lemma", "c.gender", "c.number", "c.case")
+
+
+@query("ambiguity_flags", f"WITH {values('c', 'tok, lemma, gender, number, kase', CANDS)} SELECT tok, count(DISTINCT (lemma, gender, number, kase)) > 1 AS ambiguous FROM c GROUP BY tok")
+def ambiguity_flags(spark, sf_dir):
+    return scored_tokens(spark).select("tok", dis.ambiguous(F.col("nouns"), F.array().cast(dis.VERBS)).alias("ambiguous"))
+
+
+FEATS = [(k, f) for k, f in enumerate(["cat-n|gen-m|num-sg|case-o|vib-0_का", "_", "gen-any|gen-f|x", "a-b-c| d-e ", "", "-x|y-"])]
+
+
+@query("feature_map_parse", f"""WITH {values('f', 'k, feats', FEATS)}, p AS (SELECT k, unnest(list_filter(list_transform(string_split(feats, '|'), lambda x: trim(x)), lambda x: contains(x, '-'))) AS part, generate_subscripts(list_filter(list_transform(string_split(feats, '|'), lambda x: trim(x)), lambda x: contains(x, '-')), 1) AS i FROM f WHERE trim(feats) <> '_')
+SELECT k, part[1:instr(part, '-') - 1] AS name, arg_max(part[instr(part, '-') + 1:], i) AS value FROM p GROUP BY 1, 2""")
+def feature_map_parse(spark, sf_dir):
+    return frame(spark, "k int, feats string", FEATS).select("k", F.explode(x.feature_map("feats")).alias("name", "value"))
+
+
+# ── evaluation ──
+
+JUDGED = """j AS (SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic, n_chars, n_chars > 200 AS has_analysis, (n_chars > 200 AND quality = 1) AS lemma_ok, (n_chars > 200 AND quality = 1 AND toxic = 0) AS full_ok FROM documents d JOIN labels l USING (doc_id)),
+jf AS (SELECT *, CASE WHEN full_ok THEN NULL WHEN NOT has_analysis THEN 'no_analysis' WHEN lang = 'es' THEN 'oov' WHEN NOT lemma_ok THEN 'wrong_lemma' ELSE 'wrong_features' END AS failure_type FROM j)"""
+
+
+def judged(spark: SparkSession, sf_dir: str, least: int = 200) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("has_analysis", F.col("n_chars") > least)
+    d = d.withColumn("lemma_ok", F.col("has_analysis") & (F.col("quality") == 1)).withColumn("full_ok", F.col("lemma_ok") & (F.col("toxic") == 0))
+    return d.withColumn("failure_type", ev.failure(F.col("lang") != "es"))
+
+
+_SUMS = "count(*)::BIGINT AS total, count(*) FILTER (has_analysis)::BIGINT AS covered, count(*) FILTER (lemma_ok)::BIGINT AS lemma_ok, count(*) FILTER (lemma_ok AND NOT full_ok)::BIGINT AS lemma_only, count(*) FILTER (full_ok)::BIGINT AS full_ok"
+
+
+@query("eval_rollup", f"""WITH {JUDGED} SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS dim,
+CASE WHEN grouping(lang) = 0 THEN lang WHEN grouping(source) = 0 THEN source ELSE 'all' END AS value, {_SUMS} FROM jf GROUP BY GROUPING SETS ((), (lang), (source))""")
+def eval_rollup(spark, sf_dir):
+    return ev.rollup(judged(spark, sf_dir), "lang", "source")
+
+
+@query("eval_failures", f"WITH {JUDGED} SELECT failure_type, count(*)::BIGINT AS n FROM jf WHERE failure_type IS NOT NULL GROUP BY 1")
+def eval_failures(spark, sf_dir):
+    return ev.failures(judged(spark, sf_dir))
+
+
+@query("eval_compare", """WITH s AS (SELECT 'coverage' AS metric, avg((n_chars > 200)::INT) AS a, avg((n_chars > 1000)::INT) AS b FROM documents JOIN labels USING (doc_id)
+UNION ALL SELECT 'lemma', avg((n_chars > 200 AND quality = 1)::INT), avg((n_chars > 1000 AND quality = 1)::INT) FROM documents JOIN labels USING (doc_id)
+UNION ALL SELECT 'full', avg((n_chars > 200 AND quality = 1 AND toxic = 0)::INT), avg((n_chars > 1000 AND quality = 1 AND toxic = 0)::INT) FROM documents JOIN labels USING (doc_id))
+SELECT metric, round(a, 9) AS a, round(b, 9) AS b, round(b - a, 9) AS delta FROM s""")
+def eval_compare(spark, sf_dir):
+    c = ev.compared(ev.rollup(judged(spark, sf_dir)), ev.rollup(judged(spark, sf_dir, 1000)))
+    return c.select("metric", *(F.round(k, 9).alias(k) for k in ("a", "b", "delta")))
+
+
+@query("eval_report", f"""WITH {JUDGED}, r AS (SELECT lang AS value, {_SUMS} FROM jf GROUP BY lang)
+SELECT value, total, format('{{:.1f}}%', 100.0 * covered / total) AS coverage, format('{{:.1f}}%', 100.0 * lemma_ok / total) AS lemma_share, format('{{:.1f}}%', 100.0 * full_ok / total) AS full_share FROM r""")
+def eval_report(spark, sf_dir):
+    return sinks.metric_report(ev.rollup(judged(spark, sf_dir), "lang")).filter("dim = 'lang'").select("value", "total", "coverage", "lemma_share", "full_share")
+
+
+@query("stratified_quota", "WITH c AS (SELECT lang AS stratum, count(*)::BIGINT AS cnt FROM documents GROUP BY 1) SELECT stratum, cnt, greatest(1, round_even(50.0 * cnt / sum(cnt) OVER (), 0))::BIGINT AS quota FROM c")
+def stratified_quota(spark, sf_dir):
+    return ev.quotas(table(spark, sf_dir, "documents"), "lang", 50)
+
+
+@query("stratified_sample_sizes", "WITH c AS (SELECT lang, count(*) AS cnt FROM documents GROUP BY 1), q AS (SELECT lang, greatest(1, round_even(40.0 * cnt / sum(cnt) OVER (), 0)) AS quota FROM c) SELECT least(40, sum(quota))::BIGINT AS n FROM q")
+def stratified_sample_sizes(spark, sf_dir):
+    return ev.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 40, "doc_id").agg(F.count("*").alias("n"))
+
+
+@query("confidence_tiers", """WITH p AS (SELECT label, 1 / (1 + exp(-4 * embedding[1]::DOUBLE)) AS p FROM embeddings), q AS (SELECT label, greatest(p, 1 - p) AS p FROM p),
+r AS (SELECT CASE WHEN p >= 0.8 THEN 'high' WHEN p >= 0.65 THEN 'medium' WHEN p >= 0.55 THEN 'low' ELSE 'abstain' END AS tier, label::VARCHAR AS paradigm_class FROM q)
+SELECT tier, paradigm_class, count(*)::BIGINT AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM r GROUP BY ALL""")
+def confidence_tiers(spark, sf_dir):
+    p = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("paradigm_class"), (1 / (1 + F.exp(-4 * F.get("embedding", F.lit(0)).cast("double")))).alias("p"))
+    s = gender.summary(p.select("paradigm_class", gender.tier(F.greatest("p", 1 - F.col("p"))).alias("tier")))
+    return s.select("tier", "paradigm_class", "n", F.round("share", 9).alias("share"))
+
+
+@query("ngram_features", f"""WITH {DOC_TYPES}, u AS (SELECT DISTINCT reverse(lower(word)) AS w FROM types WHERE NOT regexp_matches(word, '[^\\x00-\\x7f]')),
+g AS (SELECT w, unnest(list_distinct(flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, length(w) - n + 2), lambda i: w[i:i + n - 1]))))) AS gram FROM u)
+SELECT gram, count(*)::BIGINT AS n FROM g GROUP BY gram HAVING count(*) >= 2""")
+def ngram_features(spark, sf_dir):
+    w = doc_tokens(spark, sf_dir).filter(~F.col("word").rlike(r"[^\x00-\x7f]")).select(F.lower("word").alias("word")).distinct()
+    g = w.select(F.explode(F.array_distinct(x.ngrams(x.reversed_graphemes("word")))).alias("gram"))
+    return g.groupBy("gram").agg(F.count("*").alias("n")).filter("n >= 2")
+
+
+# ── treebank ──
+
+BANK = [("f.dat", k, line) for k, line in enumerate([
+    "1\tघर\tघर\tn\tNN\tcat-n|gen-m|num-sg|case-d\t0\troot\t_\t_", "2\tनई\tनया\tadj\tJJ\tcat-adj\t1\tx\t_\t_", "3\tरातों\tरात\tn\tNN\tcat-n|gen-f|num-pl|case-o\t1\tx\t_\t_", "",
+    "1\tगया\tजा\tv\tVM\tcat-v|gen-m|num-sg|pers-3h|tam-yA\t0\troot\t_\t_", "2\tनाम\t_\tn\tNN\tgen-m|case-o\t1\tx\t_\t_", "3\tफल\tफल\tn\tNN\tgen-m|num-any|case-o_x\t1\tx\t_\t_",
+    "# note", "", "1\tचीज\tचीज\tn\tNN\tgen-f|case-o\t1\tx\t_\t_", "2\tकम\tकम\tn\tNN", "3\tहै\tहै\tv\tVAUX\ttam-hE|gen-any\t1\tx\t_\t_"], 1)]
+
+
+def bank(spark: SparkSession) -> DataFrame:
+    return frame(spark, "file string, line_no int, line string", BANK)
+
+
+_BANK = f"""{values('l', 'file, line_no, line', BANK)}, c AS (SELECT file, line_no, string_split_regex(trim(line), '\\s+') AS f FROM l WHERE trim(line) <> '' AND NOT prefix(trim(line), '#')),
+m AS (SELECT *, coalesce(f[6], '') AS feats FROM c)"""
+
+
+def _feat(name: str) -> str:
+    return f"regexp_extract('|' || feats, '\\|{name}-([^|]*)', 1)"
+
+
+@query("gold_nouns", f"""WITH {_BANK} SELECT file, line_no::INT AS line_no, f[2] AS surface, f[3] AS lemma, CASE {_feat('gen')} WHEN 'm' THEN 'M' WHEN 'f' THEN 'F' END AS gender, CASE {_feat('num')} WHEN 'sg' THEN 'SG' WHEN 'pl' THEN 'PL' END AS number,
+CASE WHEN {_feat('case')} = 'd' THEN 'DIR' WHEN prefix({_feat('case')}, 'o') THEN 'OBL' END AS "case" FROM m WHERE f[5] = 'NN' AND len(f) > 5 AND f[3] <> '_'""")
+def gold_nouns(spark, sf_dir):
+    return treebank.gold_nouns(bank(spark))[0]
+
+
+@query("gold_verbs", f"""WITH {_BANK} SELECT file, line_no::INT AS line_no, f[5] AS cpos, f[2] AS surface, f[3] AS lemma, CASE WHEN {_feat('tam')} IN ('yA', 'yA1', 'vA') THEN 'perfective' WHEN {_feat('tam')} = 'wA' THEN 'imperfective' END AS aspect,
+CASE {_feat('tam')} WHEN 'gA' THEN 'future' WHEN 'WA' THEN 'past' WHEN 'hE' THEN 'present' END AS tense, CASE WHEN {_feat('tam')} IN ('eM', 'Uz') THEN 'subjunctive' WHEN lower({_feat('tam')}) = 'ao' THEN 'imperative' END AS mood,
+CASE {_feat('gen')} WHEN 'm' THEN 'M' WHEN 'f' THEN 'F' END AS gender, CASE {_feat('num')} WHEN 'sg' THEN 'S' WHEN 'pl' THEN 'P' END AS number, nullif(regexp_extract({_feat('pers')}, '^([123])h?$', 1), '') AS person FROM m WHERE f[5] IN ('VM', 'VAUX') AND len(f) > 5 AND f[3] <> '_'""")
+def gold_verbs(spark, sf_dir):
+    return treebank.gold_verbs(bank(spark))[0]
+
+
+@query("treebank_class_bigrams", f"""WITH {values('l', 'file, line_no, line', BANK)}, {values('lex', 'word, paradigm', LEXICON)},
+s AS (SELECT file, line_no, line, sum((trim(line) = '')::INT) OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS sent FROM l),
+c AS (SELECT file, sent, line_no, string_split(line, chr(9)) AS f FROM s WHERE trim(line) <> '' AND NOT prefix(line, '#')),
+k AS (SELECT file, sent, line_no, f[3] AS lemma, f[6] AS feats FROM c WHERE len(f) >= 6 AND f[5] = 'NN'),
+p AS (SELECT file, sent, line_no, coalesce(lex.paradigm, CASE WHEN {_feat('case')} IN ('d', 'o') THEN CASE {_feat('gen')} WHEN 'm' THEN 'M2' WHEN 'f' THEN 'F3' END END, 'UNK') AS prev FROM k LEFT JOIN lex ON {NORMAL.format('lex.word')} = {NORMAL.format('lemma')}),
+b AS (SELECT prev, lead(prev) OVER (PARTITION BY file, sent ORDER BY line_no) AS curr FROM p)
+SELECT prev, curr, count(*)::BIGINT AS n FROM b WHERE curr IS NOT NULL AND prev <> 'UNK' AND curr <> 'UNK' GROUP BY ALL""")
+def treebank_class_bigrams(spark, sf_dir):
+    return bigram.bigram_counts(treebank.class_sequences(bank(spark), hindi_lexicon(spark)), ["file", "sent_id"], ["line_no"], "paradigm")
+
+
+# ── beyond SQL: sequential folds and a fitted model ──
+
+SENTENCES = list(enumerate(["लड़की ने खाना खाया", "राम का घर और लड़के के साथ", "आदमी नहीं गया", "घर और रात और लड़कों में", "एक भी किताब मत पढ़ो", "", "आशा की वजह से"]))
+
+
+@query("disambiguate_hindi")
+def disambiguate_hindi(spark, sf_dir):
+    s = frame(spark, "sent_id long, text string", SENTENCES)
+    model = {"M2": ({"F3": 0.6, "M1": 0.3}, 0.1), "M1": ({"M1": 0.5}, 0.05)}
+    return dis.shown(dis.disambiguate(s, hindi_lexicon(spark), bigrams=model))
+
+
+@query("char_ngram_classifier")
+def char_ngram_classifier(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").filter("lang in ('en', 'de')").select("lang", F.explode(x.tokens("text")).alias("word")).filter(F.length("word") > 4)
+    n = w.groupBy("word").agg(F.min(F.when(F.col("lang") == "en", "M").otherwise("F")).alias("label"), F.countDistinct("lang").alias("k")).filter("k = 1").select("word", "label")
+    f = gender.folds(n)
+    return gender.summary(gender.predict(gender.fit(f.filter("fold != 0").select("word", "label")), f.filter("fold = 0")))
