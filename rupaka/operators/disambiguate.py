@@ -8,7 +8,7 @@ Split long texts into sentences first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rupaka.functions import tables as t
 from rupaka.functions.text import cases, last_char, tokens
@@ -179,3 +179,8 @@ def shown(results: DataFrame) -> DataFrame:
     verbs = F.array_join(F.transform("verb_candidates", lambda c: F.concat_ws("/", c.lemma, c.suffix, c.gender, c.number, c.aspect, c.tense, c.mood)), ", ")
     mark = F.when(F.col("ambiguous"), "?").when((F.size("noun_candidates") == 0) & (F.size("verb_candidates") == 0), "-").otherwise("=")
     return results.select("sent_id", "pos", F.concat_ws(" ", mark, "token", F.concat(F.lit("N["), nouns, F.lit("]")), F.concat(F.lit("V["), verbs, F.lit("]")), F.concat(F.lit("{"), F.array_join("signals_applied", ", "), F.lit("}"))).alias("line"))
+
+
+def disambiguate_sentence(spark: SparkSession, sentence: str, lexicon: DataFrame, **how) -> DataFrame:
+    """disambiguate() of one sentence, in order."""
+    return disambiguate(spark.createDataFrame([(0, sentence)], "sent_id long, text string"), lexicon, **how).orderBy("pos").drop("sent_id")

@@ -115,3 +115,18 @@ def test_evaluation_of_nouns_and_verbs(spark):
 
 def test_lexicon_has_every_class():
     assert {p for _, p in LEXICON} == {"M1", "M2", "M3", "M4", "F1", "F2", "F3", "F4", "F5"}
+
+
+def test_one_sentence_through_the_public_names(spark):
+    from rupaka import api
+
+    rows = api.disambiguate_sentence(spark, "लड़कियों ने", hindi_lexicon(spark)).collect()
+    assert [r.token for r in rows] == ["लड़कियों", "ने"] and all(hasattr(api, n) for n in api.__all__)
+
+
+def test_the_first_rule_decides(spark):
+    from rupaka.operators.decisions import decide
+
+    t = spark.createDataFrame([(1, k, g) for k, g in enumerate("NN VM NN JJ NN".split())], "sent_id int, pos int, tag string")
+    got = decide(t, [({-1: "VM"}, "a"), ({0: "NN", 1: "VM"}, "b"), ({0: "NN"}, "c")], "d").orderBy("pos").collect()
+    assert [(r.decision, r.rule_ord) for r in got] == [("b", 1), ("d", 3), ("a", 0), ("d", 3), ("c", 2)]
