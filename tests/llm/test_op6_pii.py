@@ -1,7 +1,10 @@
 import hashlib
 import re
 
+import pytest
+
 from rupaka.llm import op6_pii as pii
+from tests.llm.common import same
 
 E = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 I = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -64,6 +67,12 @@ def test_driver_table(spark, sf):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, _, _ in want) for x in pii.BASE)
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_against_sql(spark, folder):
+    d = f"/root/testdata/{folder}"
+    same(pii.op6_personal_data(spark, d), pii.SQL, d)
+
+
 def test_redaction_extra_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "x", "mail me@x.org or 10.0.0.1!", "q"), (1, "y", "mail me@x.org or 10.0.0.1!", "q"), (2, None, None, None)], "doc_id long, spans string, text string, base string")
     out = pii.find_pii(df).select("doc_id", pii.redacted(pii.F.col("text"), pii.F.col("spans")).alias("t")).collect()
