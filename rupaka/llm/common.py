@@ -33,11 +33,22 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rupaka-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # what led to the table isn't needed any more; the cleaner drops its shuffle files once the driver's JVM has let go of it
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lets no Arrow batch of the session hold more than ``most`` bytes: the JVM's and the worker's copies of a batch are most of what a task needs besides its sort."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    if int(now.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(now[-1], 0) > most:
+        spark.conf.set(key, str(most))
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id (as ``doc_id``) and the text (as ``text``); whatever else a table holds can't clash with names used later."""
+    """Only the id (as ``doc_id``) and the text (as ``text``); whatever else a table holds can't clash with names used later. Texts then go through Arrow in small batches."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

@@ -23,6 +23,7 @@ rows in proportion to its size, and no bucket is capped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from rupaka.llm.common import MIX, id_text, mix, table, window_hashes, word_hash
 from rupaka.llm.components import components
 
 HALVES, DEPTH, SEED = 12, 3, 20240607
-#: Members of one block in step 3.
-BLOCK = 128
+#: Members of one block in step 3; ids that may be broadcast (8 bytes each), beyond which texts are shuffled.
+BLOCK, FEW = 128, 500_000
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -46,11 +47,17 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(window_hashes(h, size))
 
 
+@lru_cache(maxsize=4)
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """An odd factor and a mask for each of n minhash functions."""
+    rng = np.random.default_rng(SEED)
+    odd, flip = (rng.integers(0, 1 << 63, (n, 1), dtype=np.uint64) for _ in range(2))
+    return odd * np.uint64(2) + np.uint64(1), flip
+
+
 def half_keys(sets: np.ndarray, halves: int = HALVES, depth: int = DEPTH) -> np.ndarray:
     """The 2 * halves half keys of a set of hashes."""
-    rng = np.random.default_rng(SEED)
-    odd, flip = (rng.integers(0, 1 << 63, (2 * halves * depth, 1), dtype=np.uint64) for _ in range(2))
-    odd = odd * np.uint64(2) + np.uint64(1)
+    odd, flip = _functions(2 * halves * depth)
     least = np.full(len(odd), np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(sets), 1 << 14):
         x = (sets[None, i : i + (1 << 14)] ^ flip) * odd
@@ -140,12 +147,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, halves
     rep_of = sig.join(classes, "set_hash").select("doc_id", "rep")
     tables = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(halves - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(halves - 1)), lambda j: F.xxhash64(i, j, F.get("keys", i), F.get("keys", j + halves)))))
     reps = sig.join(classes, (sig.doc_id == classes.rep) & (sig.set_hash == classes.set_hash)).select("rep", "keys", "n_shingles").dropDuplicates(["rep"])
-    keys = reps.select("rep", F.explode(tables).alias("key"))
+    # a row becomes one for each table, so the few rows that come out of the joins are dealt out first
+    keys = reps.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep").select("rep", F.explode(tables).alias("key"))
     heads = keys.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("last")).filter("c < last").select("key", "c")
     stars = written(keys.join(heads, "key").filter("rep > c").select("rep", "c").distinct())
 
     wanted = stars.select("rep").union(stars.select("c")).distinct()
-    sets = written(full_sets(d.join(wanted, d.doc_id == wanted.rep, "left_semi").dropDuplicates(["doc_id"]), shingle))
+    wanted = written(wanted)
+    few = wanted.count() <= FEW
+    texts = d.join(F.broadcast(wanted) if few else wanted, d.doc_id == wanted.rep, "left_semi")
+    sets = written(full_sets(texts, shingle))
     both = F.size(F.array_intersect("shingles", "c_shingles"))
     either = F.size("shingles") + F.size("c_shingles") - both
     pairs = stars.join(sets, "rep").join(sets.select(F.col("rep").alias("c"), F.col("shingles").alias("c_shingles")), "c")
