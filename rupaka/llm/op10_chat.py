@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
-from rupaka.llm.common import table, written
+from rupaka.llm.common import small_batches, table, written
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, then the role of the last message.
@@ -168,6 +168,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     come first. Roles other than system, user and assistant, and null, get the role that
     costs least. Null texts are empty. Rows without conv_id form one conversation.
     """
+    small_batches(turns.sparkSession)
     order = ("conv_id", "turn", "role", "text")
     t = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     # which task has a row is fixed by writing it down

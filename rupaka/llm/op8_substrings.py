@@ -117,13 +117,14 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     index = blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     kinds = index.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("first").alias("a_first"), F.max("last").alias("a_last")).filter("a_first < a_last")
     index = written(index.join(kinds, "anchor").select("anchor", "block", "first", (F.col("kinds") > 1).alias("several")))
-    found = blocks.join(index, ["anchor", "block"])
-    whole = found.filter("first < doc_id").select("doc_id", "start", "n")
-    edges = found.filter("first = doc_id and several").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("open"))
+    found = written(blocks.join(index, ["anchor", "block"]).filter("first < doc_id or several").select("doc_id", "anchor", "start", "n", (F.col("first") < F.col("doc_id")).alias("whole")))
+    whole = found.filter("whole").select("doc_id", "start", "n")
+    edges = found.filter("not whole").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("open"))
     single = written(_windows(d.join(edges, "doc_id").select("doc_id", "text", "open"), window))
     firsts = single.groupBy("anchor", "hashed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("anchor", "hashed", "first")
     part = single.join(firsts, ["anchor", "hashed"]).filter("first < doc_id").select("doc_id", "start", F.lit(1).alias("n"))
-    return whole.union(part).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    # written, so that what led to the spans is gone from disk before texts are shuffled again
+    return written(whole.union(part).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
 
 
 def factors(spans: list[tuple[int, int]], n_words: int, window: int) -> np.ndarray:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rupaka.llm.common import table, written
+from rupaka.llm.common import small_batches, table, written
 
 SAMPLE, PIVOTS, RINGS, BLOCK = 4096, 16, 8, 2048
 #: Ranks of the rings that each round visits, in order of their bound.
@@ -179,6 +179,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
     component, take no part; vectors of another dimension than a query's are no candidates
     of it; rows that have a query's own id aren't either.
     """
+    small_batches(vectors.sparkSession)
     base = scaled(vectors, scale, id_col, vec_col)
     pivots = pivots_of(base)
     index = written(keyed(base, pivots))
