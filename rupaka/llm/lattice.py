@@ -33,10 +33,14 @@ class Lattice:
         self.longest = max(map(len, self.pieces.values()))
         ids = np.array(plain, np.int64)
         hashes = np.array([self._hash(np.array([list(map(ord, p))], np.uint64), 0, len(p))[0] for p in self.pieces.values()], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], ids[order]
-        if (self.hashes[1:] == self.hashes[:-1]).any():
+        if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two pieces have one hash")
+        # beginnings of pieces that are no pieces themselves have -1
+        begun = {p[:k] for p in self.pieces.values() for k in range(1, len(p))} - set(self.pieces.values())
+        more = np.array([self._hash(np.array([list(map(ord, p))], np.uint64), 0, len(p))[0] for p in begun], np.uint64)
+        hashes, ids = np.concatenate([hashes, more]), np.concatenate([ids, np.full(len(more), -1)])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.ids = hashes[order], ids[order]
 
     @staticmethod
     def _hash(codes: np.ndarray, start: int, n: int) -> np.ndarray:
@@ -50,17 +54,28 @@ class Lattice:
         h = (h + code + np.uint64(1)) * STEP
         return h ^ (h >> np.uint64(29))
 
-    def matched(self, codes: np.ndarray) -> Iterator[list[np.ndarray]]:
-        """For each end 1, 2, ... the ids of the pieces of 1, 2, ... characters that end there; -1 where there is none. codes: words of one length, a row each."""
+    def matched(self, codes: np.ndarray) -> Iterator[list[np.ndarray | None]]:
+        """For each end 1, 2, ... the ids of the pieces of 1, 2, ... characters that end there; -1 where there is none, None in place of nothing but -1. codes: words of one length, a row each.
+
+        Spans that no piece begins with aren't followed any further.
+        """
         n, width = codes.shape
-        open_: list[np.ndarray] = []  # hashes of the spans that start at each of the last positions
+        open_: list[tuple[np.ndarray, np.ndarray]] = []  # rows and hashes of the spans from each of the last positions
         for end in range(1, width + 1):
-            open_ = [self._next(h, codes[:, end - 1]) for h in open_[-(self.longest - 1) :]] + [self._next(np.zeros(n, np.uint64), codes[:, end - 1])]
-            found = []
-            for h in reversed(open_):
+            code = codes[:, end - 1]
+            spans = [(rows, self._next(h, code[rows])) for rows, h in open_[-(self.longest - 1) :]] + [(np.arange(n), self._next(np.zeros(n, np.uint64), code))]
+            open_, found = [], []
+            for rows, h in spans:
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                found.append(np.where(self.hashes[at] == h, self.ids[at], -1))
-            yield found
+                on = self.hashes[at] == h
+                rows, h, ids = rows[on], h[on], self.ids[at[on]]
+                open_.append((rows, h))
+                whole = None
+                if (ids >= 0).any() or len(spans) == len(found) + 1:
+                    whole = np.full(n, -1)
+                    whole[rows] = ids
+                found.append(whole)
+            yield found[::-1]
 
     def by_length(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Indexes and character codes of the words of each length, in parts of bounded size."""

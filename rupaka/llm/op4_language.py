@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rupaka.llm.common import table, written
+from rupaka.llm.common import small_batches, table, written
 from rupaka.llm.lattice import Lattice, lattice
 from rupaka.llm.op1_token_counts import MODEL, by_bytes
 
@@ -44,7 +44,7 @@ def forward(lat: Lattice, words: list[str], p: np.ndarray) -> np.ndarray:
         for end, found in enumerate(lat.matched(codes), 1):
             new = np.where((found[0] < 0)[:, None], UNKNOWN, p[found[0]]) * alpha[-1]
             for n, ids in enumerate(found[1:], 2):
-                if (ids >= 0).any():
+                if ids is not None:
                     new += p[ids] * alpha[-n]
             alpha = [*alpha[-lat.longest :], new]
             if end % 8 == 0:  # keeps numbers within range; ratios stay
@@ -60,23 +60,25 @@ def expected(lat: Lattice, words: list[str], counts: np.ndarray, p: np.ndarray)
     for members, codes in lat.by_length(words):
         n, width = codes.shape
         edges = list(lat.matched(codes))
-        weight = [[np.where(ids < 0, UNKNOWN if k == 0 else 0.0, p[ids]) for k, ids in enumerate(found)] for found in edges]
+        weight = [[None if ids is None else np.where(ids < 0, UNKNOWN if k == 0 else 0.0, p[ids]) for k, ids in enumerate(found)] for found in edges]
         alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
         alpha[0], beta[width] = 1, 1
         scale = np.ones((width + 1, n))
         for end in range(1, width + 1):  # alpha is scaled at each end, so long words don't underflow
             run = np.ones(n)
             for k, w in enumerate(weight[end - 1]):
-                alpha[end] += w * alpha[end - 1 - k] / run
+                if w is not None:
+                    alpha[end] += w * alpha[end - 1 - k] / run
                 run = run * scale[end - 1 - k] if end - 1 - k > 0 else run
             scale[end] = alpha[end]
             alpha[end] = 1
         for end in range(width, 0, -1):
             run = scale[end].copy()
             for k, w in enumerate(weight[end - 1]):
-                share = w * beta[end] / run
-                beta[end - 1 - k] += share
-                np.add.at(out, edges[end - 1][k], counts[members] * share)
+                if w is not None:
+                    share = w * beta[end] / run
+                    beta[end - 1 - k] += share
+                    np.add.at(out, edges[end - 1][k], counts[members] * share)
                 run = run * scale[end - 1 - k] if end - 1 - k > 0 else run
     out[-1] = 0
     return out[:-1]
@@ -177,6 +179,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     without letters get ``und`` and 0, as does every text if the model has no languages.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = docs.select(*(F.col(c).alias(f"keep_{c}") for c in keep))
     names = kept.columns

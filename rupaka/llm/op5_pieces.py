@@ -17,13 +17,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
-from rupaka.llm.common import MIX, mix, table
+from rupaka.llm.common import mix, MIX, small_batches, table
 from rupaka.llm.lattice import Lattice, lattice
 from rupaka.llm.op1_token_counts import MODEL, by_bytes
 
@@ -69,6 +70,9 @@ def _sampled(lat: Lattice, w: np.ndarray, words: list[str], word: np.ndarray, ke
         for end, found in enumerate(lat.matched(codes), 1):
             total = np.zeros(n)
             for k, f in enumerate(found):
+                if f is None:  # no piece of this length ends here in any word
+                    upto[end - 1, :, k] = total
+                    continue
                 if k == 0:
                     f = np.where(f < 0, lat.size + codes[:, end - 1].astype(np.int64), f)
                     total = total + np.where(f < lat.size, w[np.minimum(f, lat.size)], BYTES) * alpha[-1]
@@ -102,20 +106,36 @@ def encode_texts(keys: list, texts: list[str], model: str = MODEL, smoothing: fl
     """Sampled piece ids of each text."""
     lat, w = lattice(model), weights(model, smoothing)
     split = [CHUNK.findall(" " + t) if t else [] for t in texts]
-    known: dict[str, int] = {}
-    word = np.array([known.setdefault(c, len(known)) for s in split for c in s], np.int64)
+    words = list(set().union(*split)) if split else []
+    known = dict(zip(words, range(len(words))))
     sizes = np.array([len(s) for s in split], np.int64)
+    word = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, sizes.sum())
     row = np.array([xxh3_64_intdigest(str(k), seed) for k in keys], np.uint64)
     place = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    ids, used = _sampled(lat, w, list(known), word, mix(np.repeat(row, sizes) + place.astype(np.uint64) * MIX))
+    ids, used = _sampled(lat, w, words, word, mix(np.repeat(row, sizes) + place.astype(np.uint64) * MIX))
     bounds = np.cumsum(np.r_[0, used])[np.cumsum(np.r_[0, sizes])]
-    out = []
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        x = ids[a:b]
-        if len(x) and x.max() >= lat.size:
-            x = np.concatenate([[i] if i < lat.size else [lat.bytes_at + c for c in chr(i - lat.size).encode("utf-8", "surrogatepass")] for i in x.tolist()])
-        out.append(x.astype(np.int32))
-    return out
+    ids, bounds = _as_bytes(lat, ids, bounds)
+    return [ids[a:b].astype(np.int32) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def _as_bytes(lat: Lattice, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids from the vocabulary's size on stand for characters without a piece; they become the byte pieces of their UTF-8 form."""
+    at = np.flatnonzero(ids >= lat.size)
+    if not len(at):
+        return ids, bounds
+    char = ids[at] - lat.size
+    size = 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)
+    repeat = np.ones(len(ids), np.int64)
+    repeat[at] = size
+    end = np.cumsum(np.r_[0, repeat])
+    out = np.repeat(ids, repeat)
+    for k in range(4):  # the k-th of n bytes holds six bits, the first what is left above its mark
+        some = size > k
+        n, c = size[some], char[some]
+        low = (c >> (6 * (n - 1 - k))) & 0x3F | 0x80
+        lead = np.where(n == 1, c, (c >> (6 * (n - 1))) | np.array([0, 0, 0xC0, 0xE0, 0xF0])[n])
+        out[end[at[some]] + k] = lat.bytes_at + (lead if k == 0 else low)
+    return out, end[bounds]
 
 
 @lru_cache(maxsize=2)
@@ -136,6 +156,7 @@ def encode(docs: DataFrame, model: str = MODEL, smoothing: float = 1.0, seed: in
     The row's key is its id: rows with equal id and text get equal pieces, equal
     texts with different ids needn't. Null texts have null ids, empty ones none.
     """
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
