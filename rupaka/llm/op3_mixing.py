@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from rupaka.llm.common import table
+from rupaka.llm.common import table, written
 
 #: Sections of the exponent's interval that one step evaluates at once, and steps: the interval shrinks to 64 ** -6.
 SECTIONS, STEPS = 64, 6
@@ -97,8 +97,9 @@ def mix(docs: DataFrame, evenness: float = 0.5, max_repeat: float = 4.0, budget:
     share their fate as far as the budget allows. An empty table gives an empty result.
     Parameters: see temperature(); seed: of the permutations.
     """
-    d = sized(docs, id_col, text_col, source_col)
-    all_totals = d.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    # three narrow columns and a row for each source, written down: the texts are read once, not in every step of the bisection
+    d = written(sized(docs, id_col, text_col, source_col))
+    all_totals = written(d.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
     totals = all_totals.filter("tokens > 0")
     exponent, fixed, tokens, k = temperature(totals, evenness, max_repeat, budget)
     share = F.pow(F.col("tokens") / F.lit(float(max(1, tokens))), F.lit(exponent))
