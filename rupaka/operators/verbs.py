@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from rupaka.functions.features import FIELDS, irregular_features, shown as shown_features, suffix_readings
 from rupaka.functions.text import beginnings, col, endings, nfc, restored, stripped
 from rupaka.operators.nouns import suffix_matches
-from rupaka.sources.rules import irregular_verbs, verb_rules
+from rupaka.sources.rules import irregular_verbs, literal, verb_rules
 
 
 def with_features(rules: DataFrame, flags: list[tuple[str, str]] | None = None, all_readings: bool = False) -> DataFrame:
@@ -24,8 +24,8 @@ def detect_aux(lemmas: DataFrame, stem_flags: DataFrame | None, aux: DataFrame |
     stem_flags: morpheme, flag, file_ord; aux: root. Equally long ones go by file order, auxiliaries by their text.
     """
     spark = lemmas.sparkSession
-    stem_flags = spark.createDataFrame([], "morpheme string, flag string, file_ord int") if stem_flags is None else stem_flags
-    aux = spark.createDataFrame([], "root string") if aux is None else aux
+    stem_flags = literal(spark, [], "morpheme string, flag string, file_ord int") if stem_flags is None else stem_flags
+    aux = literal(spark, [], "root string") if aux is None else aux
     known = stem_flags.select("morpheme", "flag", F.lit(0).alias("tier"), F.col("file_ord").cast("int").alias("at"), F.lit(True).alias("front")).union(aux.select("root", F.lit("aux"), F.lit(1), F.lit(0), F.lit(False)))
     longest = known.agg(F.max(F.length("morpheme"))).first()[0] or 0
     w = lemmas.select("lemma").distinct()

@@ -38,7 +38,7 @@ def values(name: str, columns: str, rows: list) -> str:
 
 
 def frame(spark: SparkSession, columns: str, rows: list) -> DataFrame:
-    return spark.createDataFrame(rows, columns)
+    return rules.literal(spark, rows, columns)
 
 
 # RE2 and Java spell the same class of white space differently

@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from rupaka.functions import tables as t
 from rupaka.functions.text import stripped
 from rupaka.sources.lexicons import latest, numbered_lines
 
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as a local relation of the plan: no task runs to make it, and its size is known to the planner."""
+    kind = StructType.fromDDL(schema)
+    fields = to_arrow_schema(kind)
+    columns = list(zip(*rows)) if rows else [[]] * len(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields), kind)
+
+
 def noun_rules(spark: SparkSession, paradigms: dict | None = None) -> DataFrame:
     """class_ord, rule_ord, paradigm, strip, add, gender, number, case."""
     rows = [(i, j, p, *r) for i, (p, rules) in enumerate((paradigms or t.NOUN_PARADIGMS).items()) for j, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "class_ord int, rule_ord int, paradigm string, strip string, add string, gender string, number string, case string")
+    return literal(spark, rows, "class_ord int, rule_ord int, paradigm string, strip string, add string, gender string, number string, case string")
 
 
 def verb_rules(spark: SparkSession, rules: list[tuple[str, str]] | None = None, paradigm: str = "verb") -> DataFrame:
     """rule_ord, paradigm, suffix, add_back."""
-    return spark.createDataFrame([(k, paradigm, *r) for k, r in enumerate(rules or t.VERB_RULES, 1)], "rule_ord int, paradigm string, suffix string, add_back string")
+    return literal(spark, [(k, paradigm, *r) for k, r in enumerate(rules or t.VERB_RULES, 1)], "rule_ord int, paradigm string, suffix string, add_back string")
 
 
 def irregular_verbs(spark: SparkSession, forms: dict | None = None) -> DataFrame:
     """surface, lemma."""
-    return spark.createDataFrame([(s, lemma) for lemma, forms in (forms or t.IRREGULAR).items() for s in forms.split()], "surface string, lemma string")
+    return literal(spark, [(s, lemma) for lemma, forms in (forms or t.IRREGULAR).items() for s in forms.split()], "surface string, lemma string")
 
 
 def term_sets(spark: SparkSession) -> DataFrame:
     """kind, term, gender, number, tag of the closed word classes."""
     rows = [(k, w, None, n, None) for k, words, n in (("clitic", t.CLITICS, None), ("postposition", t.POSTPOSITIONS, None), ("oblique", t.OBLIQUE_POSTPOSITIONS, None), ("quantifier", t.SINGULAR_QUANTIFIERS, "SG"), ("quantifier", t.PLURAL_QUANTIFIERS, "PL")) for w in words.split()]
     rows += [("genitive", w, g, n, None) for w, (g, n) in t.GENITIVES.items()] + [("negation", w, None, None, tag) for w, tag in t.NEGATIONS.items()]
-    return spark.createDataFrame(rows, "kind string, term string, gender string, number string, tag string")
+    return literal(spark, rows, "kind string, term string, gender string, number string, tag string")
 
 
 def _content(lines: DataFrame) -> DataFrame:
