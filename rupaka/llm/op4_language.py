@@ -24,7 +24,7 @@ from rupaka.llm.op1_token_counts import MODEL, by_bytes
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents that the model is fitted on, at most; rounds of fitting; words that one worker remembers.
-SAMPLE, ROUNDS, REMEMBERED = 8000, 3, 300_000
+SAMPLE, ROUNDS, REMEMBERED = 8000, 3, 100_000
 #: Probability of a character that the vocabulary doesn't have; pseudo-counts in all, shared out by the languages' mean.
 UNKNOWN, SMOOTH = 1e-9, 200.0
 NONE = "und"
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         score = _scorers[m.name]
         for b in batches:
             out = []
-            for group in by_bytes(b.column("text").to_pylist(), 4 << 20):
+            for group in by_bytes(b.column("text").to_pylist(), 1 << 20):
                 for x in score(group) if m.langs else [None] * len(group):
                     if x is None:
                         out.append((NONE, 0.0))
