@@ -498,6 +498,14 @@ def ngram_features(spark, sf_dir):
     return g.groupBy("gram").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
+@query("ngram_features_all")
+def ngram_features_all(spark, sf_dir):
+    """The n-grams of all words, whatever their script; ngram_features and its SQL see ASCII words only."""
+    w = doc_tokens(spark, sf_dir).select(F.lower("word").alias("word")).distinct()
+    g = w.select(F.explode(F.array_distinct(x.ngrams(x.reversed_graphemes("word")))).alias("gram"))
+    return g.groupBy("gram").agg(F.count("*").alias("n")).filter("n >= 2")
+
+
 # ── treebank ──
 
 BANK = [("f.dat", k, line) for k, line in enumerate([
