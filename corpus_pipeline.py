@@ -26,9 +26,22 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near duplicates (five words, similarity 0.8)."""
-    kept = op2_minhash.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """The first document of each class of near duplicates (five words, similarity 0.8).
+
+    Rows without an id are all kept. Of the rows that repeat one id and text one is kept,
+    the smallest by its other columns. An id with several texts isn't one document: it
+    keeps one row for each of them, whatever its class.
+    """
+    kept = op2_minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct().withColumn("kept", F.lit(True))
+    h = F.xxhash64("text")
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), (F.min(h) != F.max(h)).alias("clash"))
+    wanted = written(ids.join(kept, "doc_id", "left").filter("kept or clash").select("doc_id", (F.col("n") > 1).alias("repeated")))
+    out = docs.join(wanted.filter("not repeated"), "doc_id", "left_semi").select(*COLUMNS).union(docs.filter("doc_id is null").select(*COLUMNS))
+    if wanted.filter("repeated").isEmpty():
+        return out
+    rows = docs.join(wanted.filter("repeated"), "doc_id", "left_semi")
+    first = rows.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r"))
+    return out.union(first.select("doc_id", "text", "r.lang", "r.source", "r.n_chars").select(*COLUMNS))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,14 @@ def test_edges(spark, sf):
     for _, stage in cp.STAGES[:-1]:
         docs = written(stage(spark, docs, sf))
     assert cp.encode(spark, docs, sf).count() == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_dedup_keeps_rows_without_id_and_one_of_repeated_rows(spark, sf):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey")
+    data = [(None, a, "en", "s", 1), (None, a, "en", "s", 1), (None, b, "en", None, 1), (3, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1)]
+    data += [(7, c, "en", "s", 2), (7, c, "en", "s", 1), (7, c, "en", "s", 1), (8, c, "en", "s", 1), (8, c, "en", "s", 1)]
+    out = Counter((r.doc_id, r.text, r.n_chars) for r in cp.deduplicate(spark, spark.createDataFrame(data, SCHEMA), sf).select("doc_id", "text", "n_chars").collect())
+    assert out == {(None, a, 1): 2, (None, b, 1): 1, (3, a, 1): 1, (5, a, 1): 1, (5, b, 1): 1, (7, c, 1): 1}
