@@ -53,8 +53,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix has it: the smallest budget under which every source stays whole, so none is lost and small sources repeat."""
-    copies = op3_mixing.mix(docs, evenness=0.25, budget=0).select("doc_id", F.greatest(F.lit(1), "n_copies").cast("int").alias("n"))
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*COLUMNS)
+    given = docs.withColumn("given", F.col("source"))  # mix() names the sources of rows without one
+    mixed = op3_mixing.mix(given, evenness=0.25, budget=0, keep=("text", "lang", "given", "n_chars"))
+    each = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "n_copies").cast("int"))))
+    return each.withColumn("source", F.col("given")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,8 +37,11 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("source"), n_words(F.col(text_col)).alias("n_tokens"))
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, n_tokens, spread (tells rows without an id apart; null for others) and the columns of ``keep``, named keep_*."""
+    spread = F.when(F.col(id_col).isNull(), F.md5(F.col(text_col)))
+    columns = F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("source"), n_words(F.col(text_col)).alias("n_tokens"), spread.alias("spread")
+    return docs.select(*columns, *(F.col(c).alias(f"keep_{c}") for c in keep))
 
 
 def _first_within(totals: DataFrame, all_tokens: int, good) -> float:
@@ -88,17 +91,18 @@ def temperature(totals: DataFrame, evenness: float = 0.5, max_repeat: float = 4.
     return round(max(exponent, _first_within(totals, one.n, limit)), 6), fixed, one.n, one.k
 
 
-def mix(docs: DataFrame, evenness: float = 0.5, max_repeat: float = 4.0, budget: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How often each document is in the mix: doc_id, source, n_tokens, weight, n_copies, block.
+def mix(docs: DataFrame, evenness: float = 0.5, max_repeat: float = 4.0, budget: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """How often each document is in the mix: doc_id, source, n_tokens, weight, n_copies, block, and the columns of docs named in ``keep``.
 
     One row for each row of ``docs``; tokens are words. A null source counts as one
     source named NO_SOURCE. Null and empty texts have no tokens, cost nothing and
     are in every pass, at least once. Repeated rows are told apart by nothing and
-    share their fate as far as the budget allows. An empty table gives an empty result.
+    share their fate as far as the budget allows; rows without an id are dealt out by
+    their texts. An empty table gives an empty result.
     Parameters: see temperature(); seed: of the permutations.
     """
-    # three narrow columns and a row for each source, written down: the texts are read once, not in every step of the bisection
-    d = written(sized(docs, id_col, text_col, source_col))
+    # narrow columns (and what is kept) and a row for each source, written down: the texts are read once, not in every step of the bisection
+    d = written(sized(docs, id_col, text_col, source_col, keep))
     all_totals = written(d.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
     totals = all_totals.filter("tokens > 0")
     exponent, fixed, tokens, k = temperature(totals, evenness, max_repeat, budget)
@@ -113,16 +117,16 @@ def mix(docs: DataFrame, evenness: float = 0.5, max_repeat: float = 4.0, budget:
         .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block))))
     )
     d = d.join(F.broadcast(t) if k <= FEW_SOURCES else t, "source")
-    d = d.withColumn("block", F.pmod(hashed(F.lit(seed), F.col("doc_id")), F.col("blocks")))
+    d = d.withColumn("block", F.pmod(hashed(F.lit(seed), F.col("doc_id"), F.col("spread")), F.col("blocks")))
     # the last, partial pass: blocks in permuted order up to the quota
     blocks = d.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"), F.first("left").alias("left"))
     order = Window.partitionBy("source").orderBy(hashed(F.lit(seed + 1), F.col("source"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = blocks.withColumn("room", F.col("left") - F.sum("block_tokens").over(order) + F.col("block_tokens")).select("source", "block", "block_tokens", "room")
     d = d.join(blocks, ["source", "block"])
-    inner = Window.partitionBy("source", "block").orderBy(hashed(F.lit(seed + 2), F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy("source", "block").orderBy(hashed(F.lit(seed + 2), F.col("doc_id"), F.col("spread")), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = F.when(F.col("room") <= 0, False).when(F.col("block_tokens") <= F.col("room"), True).otherwise(F.sum("n_tokens").over(inner) <= F.col("room"))
     copies = F.col("passes") + F.when(F.col("n_tokens") == 0, F.when(F.col("passes") == 0, 1).otherwise(0)).otherwise(within.cast("long"))
-    return d.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), copies.cast("long").alias("n_copies"), F.col("block").cast("long").alias("block"))
+    return d.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), copies.cast("long").alias("n_copies"), F.col("block").cast("long").alias("block"), *(F.col(f"keep_{c}").alias(c) for c in keep))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

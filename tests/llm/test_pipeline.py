@@ -64,3 +64,15 @@ def test_near_dedup_keeps_rows_without_id_and_one_of_repeated_rows(spark, sf):
     data += [(7, c, "en", "s", 2), (7, c, "en", "s", 1), (7, c, "en", "s", 1), (8, c, "en", "s", 1), (8, c, "en", "s", 1)]
     out = Counter((r.doc_id, r.text, r.n_chars) for r in cp.deduplicate(spark, spark.createDataFrame(data, SCHEMA), sf).select("doc_id", "text", "n_chars").collect())
     assert out == {(None, a, 1): 2, (None, b, 1): 1, (3, a, 1): 1, (5, a, 1): 1, (5, b, 1): 1, (7, c, 1): 1}
+
+
+def test_mix_counts_repeated_rows_once_each_and_keeps_rows_without_id(spark, sf):
+    text = "w " * 50
+    data = [(1, text, "en", "a", 100)] * 5 + [(None, text, "en", "a", 100), (None, "x", "en", None, 1), (2, None, None, None, None)]
+    data += [(i, text, "de", "a", 100) for i in range(10, 20)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    out = cp.mix(spark, docs, sf)
+    assert out.columns == docs.columns
+    got, given = Counter(map(tuple, out.collect())), Counter(data)
+    assert set(got) == set(given) and all(n <= got[r] <= 5 * n for r, n in given.items())
+    assert got[1, text, "en", "a", 100] <= 10  # the largest source has one pass and a part of another at most
