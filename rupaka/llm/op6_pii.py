@@ -20,12 +20,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rupaka.llm.common import table
 
 NEAR, KEEP, CHUNK = 40, 0.5, 512
+#: Characters that an account number with spaces takes at most, and the one after it.
+REACH = 34 + 33 + 1
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Where a number may start; iban_at() finds where it ends.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+#: Characters of the countries' numbers, spaces not counted.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 LOCAL = r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])"
 BASE = ("email", "ip", "card", "phone")
 #: Kind, pattern, what a text must hold for the pattern to be tried, confidence, context words.
@@ -56,6 +65,23 @@ def mod97(code: Column) -> Column:
     return F.aggregate(turned, F.lit(0), step) == 1
 
 
+def iban_at(ahead: Column) -> Column:
+    """The account number that ``ahead`` (68 characters at least, or up to the text's end) starts with, or null.
+
+    Of the lengths at which no letter or digit follows, the country's own is tried
+    first, then the others from the longest; the first that passes mod97() counts.
+    """
+    own = F.coalesce(*(F.when(F.left(ahead, F.lit(2)).isin(*c.split()), F.lit(n)) for n, c in IBAN_LENGTHS.items()), F.lit(34))
+    lengths = F.concat(F.array(own), F.sequence(F.lit(34), F.lit(15), F.lit(-1)))
+    cut = lambda n: F.regexp_substr(ahead, F.concat(F.lit(r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){"), (n - 4).cast("string"), F.lit("}(?![A-Za-z0-9])")))
+    return F.get(F.filter(F.transform(lengths, cut), lambda x: F.when(x.isNotNull(), CONFIRMS["iban"](x)).otherwise(False)), F.lit(0))
+
+
+def apart(spans: Column) -> Column:
+    """``spans`` without those that start within an earlier one."""
+    return F.aggregate(spans, F.array().cast(SPAN), lambda acc, x: F.when((F.size(acc) == 0) | (x.start >= F.element_at(acc, -1).end), F.concat(acc, F.array(x))).otherwise(acc))
+
+
 def _octets(ip: Column) -> Column:
     return F.forall(F.split(ip, r"\."), lambda p: p.rlike(r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
 
@@ -70,7 +96,7 @@ CONFIRMS = {
     "ip": _octets,
     "card": lambda m: F.when(_digits_between(16, 19)(m), luhn(m)).otherwise(False),
     "phone": _digits_between(8, 15),
-    "iban": lambda m: F.when(F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34), mod97(m)).otherwise(False),
+    "iban": mod97,
     "local_phone": lambda m: F.lit(True),
 }
 
@@ -87,6 +113,18 @@ def running_starts(sizes: Column) -> Column:
     return F.flatten(F.zip_with(chunks, before(totals), lambda c, o: F.transform(before(c), lambda v: v + o)))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _joined(m: Column, g: Column, i: Column, size: int) -> Column:
+    """The text from match ``i`` on, ``size`` characters of it at least as far as there are so many; a match and its gap have two characters or more."""
+    one = lambda k: F.concat(F.get(m, k), F.left(F.get(g, k + 1), F.lit(size)))
+    last = F.least(i + size // 2, F.size(m) - 1)
+    return F.array_join(F.transform(F.sequence(i, last), one), "")
+
+
 def _proposed(df: DataFrame, kind: str, pattern: str, tried, confidence: float, words: str) -> DataFrame:
     """Adds the column ``kind``: its confirmed and scored spans."""
     t, m, g, s = F.col("text"), f"m_{kind}", f"g_{kind}", f"s_{kind}"
@@ -94,14 +132,21 @@ def _proposed(df: DataFrame, kind: str, pattern: str, tried, confidence: float,
     df = df.withColumn(g, F.when(F.size(m) > 0, F.split(t, pattern, -1)).otherwise(F.array().cast("array<string>")))
     df = df.withColumn(s, running_starts(F.transform(m, lambda x, i: (F.length(x) + F.length(F.get(F.col(g), i))).cast("long"))))
 
+    def scored(x: Column, start: Column, before: Column, after: Column) -> Column:
+        near = F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR))))
+        score = F.lit(confidence) + F.when(near.rlike(words), 0.2).otherwise(0.0)
+        return F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), (start + F.length(x)).cast("long").alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+
     def span(x: Column, i: Column) -> Column:
         gap = F.get(F.col(g), i)
         start = F.get(F.col(s), i) + F.length(gap)
-        near = F.lower(F.concat(F.right(gap, F.lit(NEAR)), F.lit(" "), F.left(F.get(F.col(g), i + 1), F.lit(NEAR))))
-        score = F.lit(confidence) + F.when(near.rlike(words), 0.2).otherwise(0.0)
-        return F.when(CONFIRMS[kind](x), F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), (start + F.length(x)).cast("long").alias("end"), F.least(score, F.lit(1.0)).alias("score")))
+        if kind != "iban":
+            return F.when(CONFIRMS[kind](x), scored(x, start, gap, F.get(F.col(g), i + 1)))
+        whole = lambda ahead, number: F.when(number.isNotNull(), scored(number, start, gap, F.substr(ahead, F.length(number) + 1)))
+        return _let(_joined(F.col(m), F.col(g), i, REACH + NEAR), lambda ahead: _let(iban_at(ahead), lambda number: whole(ahead, number)))
 
     found = F.filter(F.transform(m, span), lambda x: x.isNotNull())
+    found = apart(found) if kind == "iban" else found
     return df.withColumn(kind, F.when(F.size(m) > 0, found).otherwise(F.array().cast(SPAN))).drop(m, g, s)
 
 

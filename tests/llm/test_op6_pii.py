@@ -78,3 +78,15 @@ def test_redaction_extra_columns_and_empty_table(spark):
     out = pii.find_pii(df).select("doc_id", pii.redacted(pii.F.col("text"), pii.F.col("spans")).alias("t")).collect()
     assert sorted(r.t for r in out) == ["", "mail [EMAIL] or [IP]!", "mail [EMAIL] or [IP]!"]
     assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_ibans_whatever_follows(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947"
+    after = ["", " BIC COBADEFFXXX", " 00 EUR 500", " I paid", " EUR", ", ok", f" {gb} X", f" {no} {de} 12"]
+    texts = [f"KONTO {n}{a}" for n in (de, de.replace(" ", ""), gb, no) for a in after]
+    texts += [f"AT12 {de}", f"ZZ12 {de} 00", "A" + de, de + "A", de[:-1] + "1", "DE89 " * 400 + de]
+    out = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in out:
+        t, found = texts[r.doc_id], [(s.start, s.end) for s in r.spans if s.kind == "iban"]
+        want = {(m.start(), m.end()) for n in (de, de.replace(" ", ""), gb, no) for m in re.finditer(rf"(?<![A-Za-z0-9]){n}(?![A-Za-z0-9])", t)}
+        assert found == sorted(want), t
