@@ -119,12 +119,18 @@ def _let(value: Column, f) -> Column:
 
 
 def _joined(m: Column, g: Column, i: Column, size: int) -> Column:
-    """The text from match ``i`` on, ``size`` characters of it at least as far as there are so many; a match and its gap have two characters or more."""
+    """The text from match ``i`` on, with ``size`` characters past the match as far as there are so many; a match has two characters or more."""
     one = lambda k: F.concat(F.get(m, k), F.left(F.get(g, k + 1), F.lit(size)))
     last = F.least(i + size // 2, F.size(m) - 1)
     return F.array_join(F.transform(F.sequence(i, last), one), "")
 
 
+def _joined_before(m: Column, g: Column, i: Column, size: int) -> Column:
+    """The text up to match ``i``, its last ``size`` characters at least as far as there are so many."""
+    one = lambda k: F.concat(F.right(F.get(g, k), F.lit(size)), F.when(k < i, F.get(m, k)).otherwise(""))
+    return F.array_join(F.transform(F.sequence(F.greatest(i - size // 2, F.lit(0)), i), one), "")
+
+
 def _proposed(df: DataFrame, kind: str, pattern: str, tried, confidence: float, words: str) -> DataFrame:
     """Adds the column ``kind``: its confirmed and scored spans."""
     t, m, g, s = F.col("text"), f"m_{kind}", f"g_{kind}", f"s_{kind}"
@@ -138,11 +144,11 @@ def _proposed(df: DataFrame, kind: str, pattern: str, tried, confidence: float,
         return F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), (start + F.length(x)).cast("long").alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
     def span(x: Column, i: Column) -> Column:
-        gap = F.get(F.col(g), i)
-        start = F.get(F.col(s), i) + F.length(gap)
+        start = F.get(F.col(s), i) + F.length(F.get(F.col(g), i))
+        before = _joined_before(F.col(m), F.col(g), i, NEAR)
         if kind != "iban":
-            return F.when(CONFIRMS[kind](x), scored(x, start, gap, F.get(F.col(g), i + 1)))
-        whole = lambda ahead, number: F.when(number.isNotNull(), scored(number, start, gap, F.substr(ahead, F.length(number) + 1)))
+            return F.when(CONFIRMS[kind](x), scored(x, start, before, F.substr(_joined(F.col(m), F.col(g), i, NEAR), F.length(x) + 1)))
+        whole = lambda ahead, number: F.when(number.isNotNull(), scored(number, start, before, F.substr(ahead, F.length(number) + 1)))
         return _let(_joined(F.col(m), F.col(g), i, REACH + NEAR), lambda ahead: _let(iban_at(ahead), lambda number: whole(ahead, number)))
 
     found = F.filter(F.transform(m, span), lambda x: x.isNotNull())

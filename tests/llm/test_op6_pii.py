@@ -90,3 +90,13 @@ def test_ibans_whatever_follows(spark):
         t, found = texts[r.doc_id], [(s.start, s.end) for s in r.spans if s.kind == "iban"]
         want = {(m.start(), m.end()) for n in (de, de.replace(" ", ""), gb, no) for m in re.finditer(rf"(?<![A-Za-z0-9]){n}(?![A-Za-z0-9])", t)}
         assert found == sorted(want), t
+
+
+def test_context_reaches_past_neighbours_of_the_kind(spark):
+    n = "212 555 01%02d"
+    texts = ["phone 212 555 0187, 212 555 0188", "212 555 0187, 212 555 0188 fax", "phone " + ", ".join(n % k for k in range(6)), "phone" + " " * 40 + "212 555 0187", "phone" + " " * 36 + "212 555 0187"]
+    for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        t = texts[r.doc_id]
+        near = lambda m: t[max(0, m.start() - pii.NEAR) : m.start()] + " " + t[m.end() : m.end() + pii.NEAR]
+        want = [(m.start(), m.end()) for m in re.finditer(r"\d{3} \d{3} \d{4}", t) if re.search("phone|call|tel|fax|mobile", near(m))]
+        assert [(s.start, s.end) for s in r.spans] == want, t
