@@ -16,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from rupaka.llm.common import small_batches, table, written
 from rupaka.llm.lattice import Lattice, lattice
 from rupaka.llm.op1_token_counts import MODEL, by_bytes
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled documents that the model is fitted on, at most; rounds of fitting; words that one worker remembers.
+#: Labelled documents of each language that the model is fitted on, at most; rounds of fitting; words that one worker remembers.
 SAMPLE, ROUNDS, REMEMBERED = 8000, 3, 100_000
+#: Parts in which a language's rows are ranked before all are.
+PARTS = 64
 #: Probability of a character that the vocabulary doesn't have; pseudo-counts in all, shared out by the languages' mean.
 UNKNOWN, SMOOTH = 1e-9, 200.0
 NONE = "und"
@@ -99,10 +101,14 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
 
 
 def sample_words(labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """lang, word, n: the word counts of ``most`` rows of labelled (doc_id, text, lang), taken by a hash of doc_id."""
-    # a hash of the hash, so that the choice isn't tied to other uses of it
-    chosen = labelled.select("doc_id").orderBy(F.xxhash64(F.xxhash64("doc_id")), "doc_id").limit(most).distinct()
-    rows = labelled.join(F.broadcast(chosen), "doc_id").select("lang", "text")
+    """lang, word, n: the word counts of ``most`` rows of each language of labelled (doc_id, text, lang), taken by a hash of doc_id; rows without letters don't count."""
+    labelled = labelled.filter(F.col("text").rlike(r"\p{L}"))
+    # a hash of the hash, so that the choice isn't tied to other uses of it; cut in parts first, so that a large language is no hot task
+    order = F.xxhash64(F.xxhash64("doc_id")), F.col("doc_id")
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS))).orderBy(*order)
+    few = labelled.select("doc_id", "lang").withColumn("k", F.row_number().over(part)).filter(F.col("k") <= most)
+    chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("k") <= most).select("doc_id", "lang").distinct()
+    rows = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +123,7 @@ def sample_words(labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 def fit(labelled: DataFrame, vocabulary: str = MODEL, most: int = SAMPLE) -> Model:
-    """Fits the piece probabilities on a bounded sample of labelled rows (doc_id, text, lang); the driver gets sums for pieces and languages only."""
+    """Fits the piece probabilities on a bounded sample of each language's labelled rows (doc_id, text, lang); the driver gets sums for pieces and languages only."""
     counted = sample_words(labelled, most)
     langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
     size = lattice(vocabulary).size

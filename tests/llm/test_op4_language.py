@@ -77,3 +77,12 @@ def test_edges(spark):
     nothing = op4.fit(train.limit(0))
     assert nothing.langs == [] and {r.lang_pred for r in op4.predict(df, nothing).collect()} == {"und"}
     assert op4.predict(df.limit(0), m).count() == 0
+
+
+def test_sample_is_bounded_per_language(spark):
+    rows = [(i, "the thing is that", "en") for i in range(400)] + [(500 + i, t, "de") for i, t in enumerate([None, "", "12", "die sache ist das", "das ist die sache"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert op4.fit(df, most=3).langs == ["de", "en"]
+    n = {(r.lang, r.word): r.n for r in op4.sample_words(df, 3).collect()}
+    assert n["en", " thing"] == 3 and n["de", " sache"] == 2
+    assert {(r.lang, r.word): r.n for r in op4.sample_words(df, 300).collect()}["en", " thing"] == 300
