@@ -13,15 +13,13 @@ from rupaka.llm import op2_minhash, op3_mixing, op4_language, op5_pieces, op6_pi
 from rupaka.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Posterior of its language below which a document is rejected.
-LEAST_SCORE = 0.5
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters in one of the languages of the labelled documents; ``lang`` becomes the predicted one."""
+    """All documents with letters, however close their languages are; ``lang`` becomes the predicted one."""
     known = docs.filter(~op4_language.held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     found = op4_language.predict(docs, op4_language.fit(known), keep=("text", "source", "n_chars"))
-    kept = found.filter((F.col("lang_pred") != op4_language.NONE) & (F.col("score") >= LEAST_SCORE))
+    kept = found.filter(F.col("lang_pred") != op4_language.NONE)
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

@@ -76,3 +76,13 @@ def test_mix_counts_repeated_rows_once_each_and_keeps_rows_without_id(spark, sf)
     got, given = Counter(map(tuple, out.collect())), Counter(data)
     assert set(got) == set(given) and all(n <= got[r] <= 5 * n for r, n in given.items())
     assert got[1, text, "en", "a", 100] <= 10  # the largest source has one pass and a part of another at most
+
+
+def test_language_id_loses_only_texts_without_letters(spark, sf):
+    raw = cp.table(spark, sf, "documents")
+    # a word that four languages share alike has a posterior of a quarter in each
+    same = [(i, "the same words", lang, "s", 14) for i, lang in enumerate("abcd" * 10, 10**9)]
+    for docs in (raw, spark.createDataFrame(same + [(1, "12 !", "a", "s", 4), (None, "", "a", "s", 0)], SCHEMA)):
+        got = Counter((r.doc_id, r.text) for r in cp.identify(spark, docs, sf).collect())
+        lost = Counter((r.doc_id, r.text) for r in docs.collect()) - got
+        assert not [t for _, t in lost if t and any(c.isalpha() for c in t)]
