@@ -564,7 +564,7 @@ def disambiguate_hindi(spark, sf_dir):
 
 @query("char_ngram_classifier")
 def char_ngram_classifier(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").filter("lang in ('en', 'de')").select("lang", F.explode(x.tokens("text")).alias("word")).filter(F.length("word") > 4)
+    """All words of one of two languages (the classifier has two classes), each predicted by the model of the other four folds."""
+    w = table(spark, sf_dir, "documents").filter("lang in ('en', 'de')").select("lang", F.explode(x.tokens("text")).alias("word"))
     n = w.groupBy("word").agg(F.min(F.when(F.col("lang") == "en", "M").otherwise("F")).alias("label"), F.countDistinct("lang").alias("k")).filter("k = 1").select("word", "label")
-    f = gender.folds(n)
-    return gender.summary(gender.predict(gender.fit(f.filter("fold != 0").select("word", "label")), f.filter("fold = 0")))
+    return gender.summary(gender.out_of_fold(n))

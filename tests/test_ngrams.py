@@ -26,3 +26,14 @@ def test_devanagari_words(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.gram: r.n for r in catalogue.ngram_features_all(spark, str(tmp_path)).collect()}
     assert got == grams(texts) and got["मर्"] == 2
+
+
+def test_classifier_predicts_every_word_of_one_language(spark, sf):
+    langs = {}
+    for r in catalogue.table(spark, sf, "documents").filter("lang in ('en', 'de')").select("lang", "text").collect():
+        for w in re.split(r"[\s\x1c-\x1f\x85]+", r.text or ""):
+            if w:
+                langs.setdefault(unicodedata.normalize("NFC", w), set()).add(r.lang)
+    out = catalogue.char_ngram_classifier(spark, sf).collect()
+    assert sum(r.n for r in out) == sum(len(k) == 1 for k in langs.values())
+    assert abs(sum(r.share for r in out) - 1) < 1e-9
