@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,31 +20,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets one of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     if not spark.sparkContext.getCheckpointDir():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rupaka-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and outlives executors."""
+#: Drops a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage and outlives executors. The shuffle files that led to it go."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rupaka-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # what led to the table isn't needed any more; the cleaner drops its shuffle files once the driver's JVM has let go of it
-    spark.sparkContext._jvm.System.gc()
+    path = f"{folder or shared_dir(spark)}/rupaka-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Lets no Arrow batch of the session hold more than ``most`` bytes: the JVM's and the worker's copies of a batch are most of what a task needs besides its sort."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key).lower().rstrip("b")
-    if int(now.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(now[-1], 0) > most:
-        spark.conf.set(key, str(most))
+class Scratch:
+    """Writes tables, as written() does, that are deleted at the end of the ``with`` block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/rupaka-scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return written(df, self.folder)
+
+    def __exit__(self, *_) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Settings that bound what one batch of rows holds in the JVM and in a worker, and their most.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch sizes to BATCHES: with long texts, copies of a batch are most of what a task needs besides its sort."""
+    for key, most in BATCHES.items():
+        now = spark.conf.get(key).lower().rstrip("b")
+        if int(now.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(now[-1], 0) > most:
+            spark.conf.set(key, str(most))
+
+
+#: Bits of a Bitmap: 4 MB, whatever is in it.
+BITS = 1 << 25
+
+
+class Bitmap:
+    """A set of ids as BITS bits by their hash, built on the cluster in buckets of 4 KB and broadcast: bounded at BITS / 8 bytes.
+
+    Rows that it doesn't have surely aren't in the set, so only the others need an exact join.
+    """
+
+    def __init__(self, ids: DataFrame, col: str, table_of=written):
+        bucket, bit = F.bitmap_bucket_number(self._spot(F.col(col))), F.bitmap_bit_position(self._spot(F.col(col)))
+        spots = ids.filter(F.col(col).isNotNull()).select(bucket.alias("bucket"), bit.alias("bit"))
+        self.rows = table_of(spots.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+
+    @staticmethod
+    def _spot(col):
+        return F.pmod(F.xxhash64(col, F.lit(77)), F.lit(BITS)) + 1
+
+    def marked(self, df: DataFrame, col: str, name: str = "marked") -> DataFrame:
+        """Adds the boolean ``name``: whether the set may hold the row's id; false for null ids."""
+        spot = self._spot(F.col(col))
+        bit = F.bitmap_bit_position(spot)
+        byte = F.conv(F.hex(F.substr(F.col("_bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        rows = self.rows.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
+        joined = df.join(F.broadcast(rows), F.when(F.col(col).isNotNull(), F.bitmap_bucket_number(spot)) == F.col("_bucket"), "left")
+        return joined.withColumn(name, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

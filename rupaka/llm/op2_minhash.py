@@ -7,17 +7,20 @@ minhashes (72 in place of 864). Two sets with similarity s share a key unless al
 halves of one side differ: at 0.8 that happens to 4 pairs in 10,000, at 0.85 to 2 in 100,000.
 
 1. Equal sets are one class from the start, represented by the smallest id; only
-   representatives get table keys. Keys are aggregated with partial sums; every
-   member of a bucket is paired with the bucket's smallest member only.
+   representatives get table keys, and only of half keys that two of them or more have.
+   Keys are aggregated with partial sums; every member of a bucket is paired with the
+   bucket's smallest member only.
 2. The pairs are confirmed on full sets; connected components join the links.
 3. What a bucket still holds in other components is compared exactly: for each
    bucket's smallest member c, its unlinked members meet the members of the same
    family whose distance to c allows a link (the Jaccard distance is a metric, so
-   distances to c must not differ by more than 1 - s), in blocks of bounded size.
+   distances to c must not differ by more than 1 - s): in large families first with
+   members near c as centres, a row for each member, then in blocks of bounded size.
    Pairs that are in one component already are skipped, nothing else is.
 
-So no link between texts that share a key is lost, a group of many copies costs
-rows in proportion to its size, and no bucket is capped.
+So no link between texts that share a key is lost and no bucket is capped. A family of n
+members costs n rows a round; only what no centre has joined, n_open members, costs
+n * n_open / BLOCK rows. One path serves all sizes.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128
 
-from rupaka.llm.common import MIX, id_text, mix, table, window_hashes, word_hashes, written
+from rupaka.llm.common import MIX, Bitmap, Scratch, id_text, mix, table, window_hashes, word_hashes, written
 from rupaka.llm.components import components
 
 HALVES, DEPTH, SEED = 12, 3, 20240607
-#: Members of one block in step 3; ids that may be broadcast (8 bytes each), beyond which texts are shuffled.
-BLOCK, FEW = 128, 500_000
+#: Members of one block in step 3, and rounds of centres before blocks.
+BLOCK, ROUNDS = 128, 3
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -98,8 +101,8 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, shingles array<long>")
 
 
-def _family_links(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: the links that step 3 finds. rows: c, ub, mb (the block pair), open, rep, comp, near (distance to c), shingles."""
+def _block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: the links between members of a block pair. rows: c, ub, mb (the block pair), open, rep, comp, near (distance to c), shingles."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     limit = 1 - percent / 100 + 1e-9
 
@@ -133,53 +136,109 @@ def _family_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("c", "ub", "mb").sortWithinPartitions("c", "ub", "mb", F.desc("open")).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, halves: int = HALVES, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id), for every row of docs.
+def candidates(reps: DataFrame, halves: int, kept: Scratch) -> DataFrame:
+    """rep, c: every member of a table's bucket with the bucket's smallest member. reps: rep, keys.
 
-    Two documents are linked if 100 * intersection >= percent * union of their sets of
-    ``shingle``-word shingles. Texts that are null, empty or without words have empty sets
-    and are linked with nothing. Ids must be unique and not null: rows with a null id
-    have a null component and are kept; rows that share an id have one component.
+    Two sets share the key of table (i, j) only if they share half i of the first and
+    half j of the second collection. So the half keys that two sets or more have are
+    found first, and only those are combined: the tables are the same, without the keys that
+    only one set has.
     """
-    d = id_text(docs, id_col, text_col)
-    sig = written(signatures(d, shingle, halves, depth))
-    classes = sig.filter("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    rep_of = sig.join(classes, "set_hash").select("doc_id", "rep")
-    tables = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(halves - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(halves - 1)), lambda j: F.xxhash64(i, j, F.get("keys", i), F.get("keys", j + halves)))))
-    reps = sig.join(classes, (sig.doc_id == classes.rep) & (sig.set_hash == classes.set_hash)).select("rep", "keys", "n_shingles").dropDuplicates(["rep"])
-    # a row becomes one for each table, so the few rows that come out of the joins are dealt out first
-    keys = reps.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep").select("rep", F.explode(tables).alias("key"))
-    heads = keys.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("last")).filter("c < last").select("key", "c")
-    stars = written(keys.join(heads, "key").filter("rep > c").select("rep", "c").distinct())
-
-    wanted = stars.select("rep").union(stars.select("c")).distinct()
-    wanted = written(wanted)
-    few = wanted.count() <= FEW
-    texts = d.join(F.broadcast(wanted) if few else wanted, d.doc_id == wanted.rep, "left_semi")
-    sets = written(full_sets(texts, shingle))
+    each = reps.select("rep", F.posexplode("keys").alias("half", "key")).select("rep", "half", F.xxhash64("half", "key").alias("key"))
+    shared = kept(each.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select(F.col("key").alias("k")))
+    held = each.join(shared, F.col("key") == F.col("k")).groupBy("rep").agg(F.collect_set(F.struct("half", "key")).alias("held"))
+    held = kept(held)
+    side = lambda first: F.filter("held", lambda h: (h.half < halves) == F.lit(first))
+    tables = F.flatten(F.transform(side(True), lambda x: F.transform(side(False), lambda y: F.xxhash64(x.key, y.key))))
+    # a row becomes up to halves ** 2: rows are dealt out by a hash of their own, which no other step has, so that every task gets its share
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = held.repartition(n, F.xxhash64("rep", F.lit(SEED))).select("rep", F.explode(tables).alias("key"))
+    heads = kept(keys.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("last")).filter("c < last").select(F.col("key").alias("k"), "c"))
+    return kept(keys.join(heads, F.col("key") == F.col("k")).filter("rep > c").select("rep", "c").distinct())
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, kept: Scratch) -> DataFrame:
+    """c, rep, linked, near (the Jaccard distance) of pairs (rep, c), by their full sets."""
     both = F.size(F.array_intersect("shingles", "c_shingles"))
-    either = F.size("shingles") + F.size("c_shingles") - both
-    pairs = stars.join(sets, "rep").join(sets.select(F.col("rep").alias("c"), F.col("shingles").alias("c_shingles")), "c")
-    pairs = written(pairs.select("rep", "c", both.alias("both"), either.alias("either")).select("rep", "c", (100 * F.col("both") >= percent * F.col("either")).alias("linked"), (1 - F.col("both") / F.col("either")).alias("near")))
-    links = pairs.filter("linked").select(F.col("rep").alias("a"), F.col("c").alias("b"))
-
-    # step 3: families that still hold several components
-    comp = components(links)
-    of = lambda col: comp.select(F.col("node").alias(col), F.col("component").alias(f"{col}_comp"))
-    member = pairs.join(of("rep"), "rep", "left").join(of("c"), "c", "left").select("c", "rep", "near", F.coalesce("rep_comp", "rep").alias("comp"), F.coalesce("c_comp", "c").alias("c_comp"))
-    member = written(member)
-    families = member.groupBy("c").agg(F.count("*").alias("n"), F.count_if(F.col("comp") != F.col("c_comp")).alias("n_open")).filter("n_open > 0 and n > 1")
+    heads = sets.select(F.col("rep").alias("h"), F.col("shingles").alias("c_shingles"))
+    met = pairs.join(sets.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).join(heads, F.col("c") == F.col("h"))
+    met = met.select("c", "rep", both.alias("both"), (F.size("shingles") + F.size("c_shingles")).alias("sum"))
+    either = F.col("sum") - F.col("both")
+    return kept(met.select("c", "rep", (100 * F.col("both") >= percent * either).alias("linked"), (1 - F.col("both") / either).alias("near")))
+
+
+def _families(pairs: DataFrame, comp: DataFrame, kept: Scratch) -> DataFrame:
+    """The members of families that hold several components: c, rep, near, comp, c_comp, n (members), n_open (those outside c's component)."""
+    of = lambda col: comp.select(F.col("node").alias(f"{col}_node"), F.col("component").alias(f"{col}_comp"))
+    member = pairs.join(of("rep"), F.col("rep") == F.col("rep_node"), "left").join(of("c"), F.col("c") == F.col("c_node"), "left")
+    member = kept(member.select("c", "rep", "near", F.coalesce("rep_comp", "rep").alias("comp"), F.coalesce("c_comp", "c").alias("c_comp")))
+    size = member.groupBy("c").agg(F.count("*").alias("n"), F.count_if(F.col("comp") != F.col("c_comp")).alias("n_open"))
+    size = kept(size.filter("n_open > 0 and n > 1").select(F.col("c").alias("family"), "n", "n_open"))
+    return kept(member.join(size, F.col("c") == F.col("family")).drop("family"))
+
+
+def family_links(pairs: DataFrame, sets: DataFrame, links: DataFrame, comp: DataFrame, percent: int, kept: Scratch) -> DataFrame:
+    """a, b: links between components that the pairs with smallest members left out; what joins no components isn't looked for. comp: the components of links.
+
+    A family is a smallest member c and its bucket mates. In large families the member
+    nearest to c, as a centre, is compared with all members of other components, once a
+    round: a family of copies of one text, unlike each other but like the text, is done
+    after that. What still is in several components after ``ROUNDS`` rounds, and small
+    families, are compared in blocks of BLOCK members.
+    """
+    found, used = links.limit(0), pairs.select("c", F.col("c").alias("head")).limit(0)
+    member = _families(pairs, comp, kept)
+    for _ in range(ROUNDS):
+        large = member.filter(F.col("n") > BLOCK)
+        if large.isEmpty():
+            break
+        fresh = large.join(used.select(F.col("c").alias("uc"), "head"), (F.col("c") == F.col("uc")) & (F.col("rep") == F.col("head")), "left_anti")
+        heads = kept(fresh.groupBy("c").agg(F.min(F.struct("near", "rep", "comp")).alias("h")).select(F.col("c").alias("hc"), F.col("h.rep").alias("head"), F.col("h.near").alias("h_near"), F.col("h.comp").alias("h_comp")))
+        asked = large.join(heads, F.col("c") == F.col("hc")).filter((F.col("comp") != F.col("h_comp")) & (F.abs(F.col("near") - F.col("h_near")) <= 1 - percent / 100 + 1e-9))
+        asked = kept(asked.select("rep", F.col("head").alias("c")).distinct())
+        found = kept(found.union(confirmed(asked, sets, percent, kept).filter("linked").select(F.col("rep").alias("a"), F.col("c").alias("b"))))
+        used = kept(used.union(heads.select(F.col("hc").alias("c"), "head")))
+        member = _families(pairs, components(links.union(found), kept), kept)
     salt = lambda col, n: F.pmod(F.xxhash64(F.col(col), F.lit(3)), F.ceil(F.col(n) / BLOCK)).cast("int")
-    member = member.join(families, "c")
     blocks = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK) - 1).cast("int")))
     opened = member.filter("comp != c_comp").select("c", salt("rep", "n_open").alias("ub"), blocks("n").alias("mb"), F.lit(True).alias("open"), "rep", "comp", "near")
     every = member.select("c", blocks("n_open").alias("ub"), salt("rep", "n").alias("mb"), F.lit(False).alias("open"), "rep", "comp", "near")
-    more = written(_family_links(opened.union(every).join(sets, "rep"), percent).distinct())
+    rows = opened.union(every).join(sets.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r")
+    return kept(found.union(_block_links(rows, percent)).distinct())
+
 
-    comp = components(links.union(more))
-    final = rep_of.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).dropDuplicates(["doc_id"])
-    out = sig.join(final, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, halves: int = HALVES, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id), for every row of docs.
+
+    Two documents are linked if 100 * intersection >= percent * union of their sets of
+    ``shingle``-word shingles. Texts that are null, empty or without words have empty sets
+    and are linked with nothing. Ids should be unique and not null: rows with a null id
+    have a null component and are kept; of rows that share an id each gets the component
+    of its own text (rows repeated as a whole: the same one). Runs when called; the
+    result is a table in the shared folder.
+    """
+    spark = docs.sparkSession
+    d = id_text(docs, id_col, text_col)
+    with Scratch(spark) as kept:
+        sig = kept(signatures(d, shingle, halves, depth))
+        full = sig.filter("set_hash is not null and doc_id is not null")
+        # written, so that what joins it later is two plain shuffles: Spark splits those where one text has very many copies
+        classes = kept(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep")).withColumnRenamed("set_hash", "set"))
+        reps = full.join(classes, (F.col("doc_id") == F.col("rep")) & (F.col("set_hash") == F.col("set"))).select("rep", "keys")
+        stars = candidates(reps, halves, kept)
+        wanted = kept(stars.select("rep").union(stars.select("c")).distinct())
+        # ids that surely aren't wanted go before the join, so that only candidates' texts are shuffled
+        texts = Bitmap(wanted, "rep", kept).marked(d, "doc_id").filter("marked").groupBy("doc_id").agg(F.min("text").alias("text"))
+        sets = kept(full_sets(texts.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi"), shingle))
+        pairs = confirmed(stars, sets, percent, kept)
+        links = kept(pairs.filter("linked").select(F.col("rep").alias("a"), F.col("c").alias("b")))
+        comp = components(links, kept)
+        more = family_links(pairs.select("c", "rep", "near"), sets, links, comp, percent, kept)
+        comp = comp if more.isEmpty() else components(links.union(more), kept)
+        named = full.select("doc_id", "n_shingles", "set_hash").join(classes, F.col("set_hash") == F.col("set")).join(comp, F.col("rep") == F.col("node"), "left")
+        named = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        alone = sig.filter("set_hash is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return written(named.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
