@@ -11,8 +11,11 @@ import numpy as np
 from rupaka.llm.op1_token_counts import SPACE, vocabulary_path
 
 #: Characters (in all words together) that are worked on at once.
-PART = 1 << 18
+PART = 1 << 17
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a hash that its first place in the table is looked up by.
+SLOT = 20
+SHIFT = np.uint64(64 - SLOT)
 
 
 class Lattice:
@@ -40,7 +43,18 @@ class Lattice:
         more = np.array([self._hash(np.array([list(map(ord, p))], np.uint64), 0, len(p))[0] for p in begun], np.uint64)
         hashes, ids = np.concatenate([hashes, more]), np.concatenate([ids, np.full(len(more), -1)])
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.ids = hashes[order], ids[order]
+        # a hash's first SLOT bits lead to the first of the few that begin with them
+        self.hashes, self.ids = np.append(hashes[order], np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(ids[order], -1)
+        starts = (self.hashes[:-1] >> SHIFT).astype(np.int64)
+        self.slots = np.searchsorted(starts, np.arange(1 << SLOT)).astype(np.int32)
+        self.crowd = int(np.bincount(starts).max())
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash its place in ``hashes`` and whether it is there."""
+        at = self.slots[h >> SHIFT]
+        for _ in range(self.crowd - 1):
+            at = at + ((self.hashes[at] < h) & (at < len(self.hashes) - 1))
+        return at, self.hashes[at] == h
 
     @staticmethod
     def _hash(codes: np.ndarray, start: int, n: int) -> np.ndarray:
@@ -62,12 +76,11 @@ class Lattice:
         n, width = codes.shape
         open_: list[tuple[np.ndarray, np.ndarray]] = []  # rows and hashes of the spans from each of the last positions
         for end in range(1, width + 1):
-            code = codes[:, end - 1]
+            code = codes[:, end - 1].astype(np.uint64)
             spans = [(rows, self._next(h, code[rows])) for rows, h in open_[-(self.longest - 1) :]] + [(np.arange(n), self._next(np.zeros(n, np.uint64), code))]
             open_, found = [], []
             for rows, h in spans:
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                on = self.hashes[at] == h
+                at, on = self._find(h)
                 rows, h, ids = rows[on], h[on], self.ids[at[on]]
                 open_.append((rows, h))
                 whole = None
@@ -88,7 +101,7 @@ class Lattice:
                 part = members[i : i + some]
                 text = "".join(words[k] for k in part)
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), width)
-                yield np.array(part, np.int64), codes.astype(np.uint64)
+                yield np.array(part, np.int64), codes
 
 
 @lru_cache(maxsize=2)

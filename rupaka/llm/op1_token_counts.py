@@ -14,14 +14,16 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from rupaka.llm.common import id_text, table
 
 MODEL = "piece_bpe_32k.model"
-#: Bytes in one call of the library; characters beyond which a part is cut again; parts remembered by one worker.
-BATCH, LONG, REMEMBERED = 1 << 20, 1 << 12, 400_000
+#: Bytes in one call of the library; characters beyond which a part is cut again; parts remembered by one worker, and their characters at most.
+BATCH, LONG, REMEMBERED, SHORT = 1 << 20, 1 << 12, 400_000, 64
 SPACE = "▁"
 
 
@@ -79,6 +81,7 @@ class PieceCounter:
             self.known[p] = self._encode([first])[0] + sum(self._encode(["\n" + r for r in rest])) - 2 * len(rest)
 
     def counts(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text. Between calls parts of up to SHORT characters are remembered, so what a worker holds is bounded."""
         split = []
         for t in texts:
             t = (t or "").replace(SPACE, " ")
@@ -91,9 +94,14 @@ class PieceCounter:
                 split.append(t.split(" "))
         if len(self.known) > REMEMBERED:
             self.known = {"": 1}
-        self.learn(set().union(*split) if split else set())
+        parts = set().union(*split)
+        self.learn(parts)
         known = self.known
-        return [sum(map(known.__getitem__, parts)) for parts in split]
+        out = [sum(map(known.__getitem__, parts)) for parts in split]
+        for p in parts:
+            if len(p) > SHORT:
+                del known[p]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -101,18 +109,14 @@ def counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
-def by_bytes(texts: list[str | None], most: int = 8 << 20) -> Iterator[list[str | None]]:
-    """The texts in order, in groups of about ``most`` characters."""
-    group: list[str | None] = []
-    size = 0
-    for t in texts:
-        group.append(t)
-        size += len(t or "")
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def by_bytes(texts: pa.Array, most: int = 8 << 20) -> Iterator[pa.Array]:
+    """The texts in order, in groups of about ``most`` UTF-8 bytes; a longer text is a group of its own."""
+    end = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(end, (end[start - 1] if start else 0) + most, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
 
 
 def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,11 +130,11 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 4096, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model if "/" in model else vocabulary_path(model))
         for b in batches:
-            texts = b.column("text").to_pylist()
-            tokens = [n for g in by_bytes(texts) for n in count.counts(g)]
-            sizes = [len(t.encode()) if t else 0 for t in texts]
+            texts = b.column("text")
+            tokens = [n for g in by_bytes(texts) for n in count.counts(g.to_pylist())]
+            sizes = pc.fill_null(pc.binary_length(texts).cast(pa.int64()), 0)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
+                [b.column("doc_id"), sizes, pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 

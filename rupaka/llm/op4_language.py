@@ -18,13 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from rupaka.llm.common import small_batches, table, written
+from rupaka.llm.common import Scratch, small_batches, table, written
 from rupaka.llm.lattice import Lattice, lattice
-from rupaka.llm.op1_token_counts import MODEL, by_bytes
+from rupaka.llm.op1_token_counts import MODEL
 
-WORD = re.compile(r"[^\W\d_]+")
+#: A run of letters; a longer one counts as several words, which bounds what one word needs.
+WORD, GAP = re.compile(r"[^\W\d_]{1,1024}"), re.compile(r"[\W\d_]")
+#: Characters of a text that are split into words at once, up to the next gap between words.
+PART = 1 << 16
 #: Labelled documents of each language that the model is fitted on, at most; rounds of fitting; words that one worker remembers.
-SAMPLE, ROUNDS, REMEMBERED = 8000, 3, 100_000
+SAMPLE, ROUNDS, REMEMBERED = 8000, 3, 1 << 17
 #: Parts in which a language's rows are ranked before all are.
 PARTS = 64
 #: Probability of a character that the vocabulary doesn't have; pseudo-counts in all, shared out by the languages' mean.
@@ -32,10 +35,21 @@ UNKNOWN, SMOOTH = 1e-9, 200.0
 NONE = "und"
 
 
+def parts_of(text: str) -> Iterator[str]:
+    """The text in parts that end where a word does."""
+    start = 0
+    while len(text) - start > PART:
+        gap = GAP.search(text, start + PART)
+        end = gap.start() if gap else len(text)
+        yield text[start:end]
+        start = end
+    if start < len(text):
+        yield text[start:]
+
+
 def words_of(text: str | None) -> list[str]:
-    """The runs of letters of a text, in lower case, each with a space in front; none if there is no letter at all."""
-    found = WORD.findall((text or "").lower())
-    return [" " + w for w in found] if any(c.isalpha() for w in found for c in w) else []
+    """The runs of letters of a text, in lower case, each with a space in front; runs without any letter (such as superscripts) don't count."""
+    return [" " + w for w in WORD.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def forward(lat: Lattice, words: list[str], p: np.ndarray) -> np.ndarray:
@@ -100,7 +114,7 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
     return np.vstack([(counts + SMOOTH * shared) / (whole + SMOOTH), np.zeros((1, counts.shape[1]))])
 
 
-def sample_words(labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
+def sample_words(labelled: DataFrame, most: int = SAMPLE, table_of=written) -> DataFrame:
     """lang, word, n: the word counts of ``most`` rows of each language of labelled (doc_id, text, lang), taken by a hash of doc_id; rows without letters don't count."""
     labelled = labelled.filter(F.col("text").rlike(r"\p{L}"))
     # a hash of the hash, so that the choice isn't tied to other uses of it; cut in parts first, so that a large language is no hot task
@@ -119,12 +133,17 @@ def sample_words(labelled: DataFrame, most: int = SAMPLE) -> DataFrame:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], schema=schema)
 
-    return written(rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    return table_of(rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
 
 def fit(labelled: DataFrame, vocabulary: str = MODEL, most: int = SAMPLE) -> Model:
     """Fits the piece probabilities on a bounded sample of each language's labelled rows (doc_id, text, lang); the driver gets sums for pieces and languages only."""
-    counted = sample_words(labelled, most)
+    with Scratch(labelled.sparkSession) as kept:
+        return _fitted(sample_words(labelled, most, kept), vocabulary)
+
+
+def _fitted(counted: DataFrame, vocabulary: str) -> Model:
+    """Expectation maximisation over lang, word, n."""
     langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
     size = lattice(vocabulary).size
     p = np.vstack([np.full((size, len(langs)), 1.0 / size), np.zeros((1, len(langs)))])
@@ -154,27 +173,58 @@ def fit(labelled: DataFrame, vocabulary: str = MODEL, most: int = SAMPLE) -> Mod
 
 
 class Scorer:
-    """Log probabilities of texts, with the words seen so far remembered."""
+    """Log probabilities of texts, with up to ``most`` words remembered in tables of fixed size."""
 
-    def __init__(self, model: Model):
-        self.model, self.lat = model, lattice(model.vocabulary)
+    def __init__(self, model: Model, most: int = REMEMBERED):
+        self.model, self.lat, self.most = model, lattice(model.vocabulary), most
         self.known: dict[str, int] = {}
-        self.table = np.empty((0, len(model.langs)))
+        self.table = np.empty((most, len(model.langs)))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """For each text the log probability under each language; None without letters."""
-        split = [words_of(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known, self.table = {}, self.table[:0]
-        new = list(set().union(*split).difference(self.known)) if split else []
+        """For each text the log probability under each language; None without letters.
+
+        Words are looked up a part of a text at a time, so what is held at once doesn't
+        follow a text's length.
+        """
+        out: list[np.ndarray | None] = [None] * len(texts)
+        waiting: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, t in enumerate(texts):
+            for part in parts_of(t or ""):
+                if words := words_of(part):
+                    waiting.append((k, words))
+                    size += len(words)
+                if size >= self.most // 2:
+                    self._add(waiting, out)
+                    waiting, size = [], 0
+        self._add(waiting, out)
+        return out
+
+    def _add(self, waiting: list[tuple[int, list[str]]], out: list[np.ndarray | None]) -> None:
+        words = set().union(*(w for _, w in waiting))
+        new = list(words.difference(self.known))
+        if len(self.known) + len(new) > self.most:
+            self.known, new = {}, list(words)
+        if len(new) > len(self.table):  # a part's words alone
+            self.table = np.empty((len(new), len(self.model.langs)))
         if new:
-            self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.vstack([self.table, forward(self.lat, new, self.model.p)])
-        at = self.known.__getitem__
-        return [self.table[np.fromiter(map(at, w), np.int64, len(w))].sum(0) if w else None for w in split]
+            at = len(self.known)
+            self.known.update(zip(new, range(at, at + len(new))))
+            self.table[at : at + len(new)] = forward(self.lat, new, self.model.p)
+        for k, w in waiting:
+            found = self.table[np.fromiter(map(self.known.__getitem__, w), np.int64, len(w))].sum(0)
+            out[k] = found if out[k] is None else out[k] + found
+
+
+#: The scorer of the last model that a worker has served; its size is bounded.
+_scorers: dict[str, Scorer] = {}
 
 
-_scorers: dict = {}
+def scorer(model: Model) -> Scorer:
+    if model.name not in _scorers:  # a worker serves many tasks
+        _scorers.clear()
+        _scorers[model.name] = Scorer(model)
+    return _scorers[model.name]
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -187,30 +237,28 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(*(F.col(c).alias(f"keep_{c}") for c in keep))
-    names = kept.columns
+    # a text goes to Python once, and comes back only if it is kept
+    other = [c for c in keep if c != text_col]
+    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in other))
+    names = [*(["text"] if text_col in keep else []), *(f"keep_{c}" for c in other)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if m.name not in _scorers:  # a worker serves many tasks
-            _scorers.clear()
-            _scorers[m.name] = Scorer(m)
-        score = _scorers[m.name]
+        score = scorer(m)
         for b in batches:
             out = []
-            for group in by_bytes(b.column("text").to_pylist(), 1 << 20):
-                for x in score(group) if m.langs else [None] * len(group):
-                    if x is None:
-                        out.append((NONE, 0.0))
-                    else:
-                        k = int(x.argmax())
-                        out.append((m.langs[k], float(1 / np.exp(np.minimum(x - x[k], 0)).sum())))
+            for x in score(b.column("text").to_pylist()) if m.langs else [None] * b.num_rows:
+                if x is None:
+                    out.append((NONE, 0.0))
+                else:
+                    k = int(x.argmax())
+                    out.append((m.langs[k], float(1 / np.exp(np.minimum(x - x[k], 0)).sum())))
             said = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 2, (pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *said, *(b.column(c) for c in names)], names=["doc_id", "lang_pred", "score", *names])
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *kept.schema.fields])
-    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    return asked.mapInArrow(run, schema).select("doc_id", "lang_pred", "score", *(F.col(f"keep_{c}").alias(c) for c in keep))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *asked.select(*names).schema.fields])
+    kept = [F.col("text" if c == text_col else f"keep_{c}").alias(c) for c in keep]
+    return asked.mapInArrow(run, schema).select("doc_id", "lang_pred", "score", *kept)
 
 
 def held_out():

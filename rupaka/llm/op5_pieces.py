@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -30,6 +31,8 @@ from rupaka.llm.op1_token_counts import MODEL, by_bytes
 
 #: Words with the spaces before them, spaces at the end, single line ends: no piece goes past one of these.
 CHUNK = re.compile(r" *[^ \n]+| +|\n")
+#: Characters of a word; a longer one counts as several words, which bounds the lattice. UTF-8 bytes of the texts whose distinct words share lattices.
+WIDEST, GROUP = 1024, 8 << 20
 #: Weight of a character written as bytes.
 BYTES = 1e-12
 SEED = 5
@@ -102,10 +105,18 @@ def _sampled(lat: Lattice, w: np.ndarray, words: list[str], word: np.ndarray, ke
     return out, used
 
 
+def chunks(text: str) -> list[str]:
+    """The words of a text with the spaces before them, a space put in front, none wider than WIDEST."""
+    found = CHUNK.findall(" " + text) if text else []
+    if found and max(map(len, found)) > WIDEST:
+        found = [w[i : i + WIDEST] for w in found for i in range(0, len(w), WIDEST)]
+    return found
+
+
 def encode_texts(keys: list, texts: list[str], model: str = MODEL, smoothing: float = 1.0, seed: int = SEED) -> list[np.ndarray]:
     """Sampled piece ids of each text."""
     lat, w = lattice(model), weights(model, smoothing)
-    split = [CHUNK.findall(" " + t) if t else [] for t in texts]
+    split = [chunks(t) for t in texts]
     words = list(set().union(*split)) if split else []
     known = dict(zip(words, range(len(words))))
     sizes = np.array([len(s) for s in split], np.int64)
@@ -150,30 +161,57 @@ def decode_ids(ids: list[int], model: str = MODEL) -> str:
     return b"".join(map(table_.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
+_KEYED = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], model: str, smoothing: float, seed: int) -> Iterator[tuple[pa.Array, pa.Array, list]]:
+    """Ids, texts and sampled pieces (None for null texts) of groups of rows of about GROUP bytes, whatever the batches' sizes."""
+
+    def group(rows: list[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, list]]:
+        table_ = pa.Table.from_batches(rows, _KEYED).combine_chunks()
+        keys, texts = (table_.column(k).combine_chunks() for k in range(2))
+        at = 0
+        for part in by_bytes(texts, GROUP):
+            ids, given = keys.slice(at, len(part)), part.to_pylist()
+            at += len(part)
+            found = encode_texts(ids.to_pylist(), [t or "" for t in given], model, smoothing, seed)
+            yield ids, part, [None if t is None else x for t, x in zip(given, found)]
+
+    waiting, size = [], 0
+    for b in batches:
+        waiting.append(pa.RecordBatch.from_arrays([b.column(n).cast(_KEYED.field(n).type) for n in _KEYED.names], schema=_KEYED))
+        size += waiting[-1].nbytes
+        if size >= GROUP:
+            yield from group(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield from group(waiting)
+
+
+def _asked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, model: str = MODEL, smoothing: float = 1.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, ids (array of piece ids) for every row of docs.
 
     The row's key is its id: rows with equal id and text get equal pieces, equal
-    texts with different ids needn't. Null texts have null ids, empty ones none.
+    texts with different ids needn't. Null texts have null ids, empty ones none. A word
+    of more than WIDEST characters is sampled as several words.
     """
-    small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([*_KEYED, ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, at = b.column("doc_id").to_pylist(), 0
-            for group in by_bytes(b.column("text").to_pylist(), 4 << 20):
-                part = keys[at : at + len(group)]
-                at += len(group)
-                ids = encode_texts(part, [t or "" for t in group], model, smoothing, seed)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(group, pa.string()), pa.array([None if t is None else x for t, x in zip(group, ids)], schema.types[2])], schema=schema)
+        for keys, texts, ids in _encoded(batches, model, smoothing, seed):
+            yield pa.RecordBatch.from_arrays([keys, texts, pa.array(ids, schema.types[2])], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return _asked(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """Adds ``decoded`` to (doc_id, text, ids); null ids decode to null."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    schema = pa.schema([*_KEYED, ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,14 +221,25 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, model: str = MODEL, smoothing: float = 1.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded, lossless (whether ids decode to the text; null if it is null): encode() and decode() in one worker, so that a text crosses once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("lossless", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts, ids in _encoded(batches, model, smoothing, seed):
+            decoded = pa.array([None if x is None else decode_ids(x.tolist(), model) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, schema.types[1]), decoded, pc.equal(decoded, texts)], schema=schema)
+
+    return _asked(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string, lossless boolean")
+
+
 def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decode(encode(table(spark, sf_dir, "documents")))
-    return out.select(
+    return round_trip(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_pieces"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+        F.coalesce("lossless", F.lit(True)).alias("lossless"),
     )
 
 
