@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rupaka.llm import op2_minhash, op3_mixing, op4_language, op5_pieces, op6_pii
-from rupaka.llm.common import table, written
+from rupaka.llm.common import Bitmap, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,17 +29,22 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id are all kept. Of the rows that repeat one id and text one is kept,
     the smallest by its other columns. An id with several texts isn't one document: it
     keeps one row for each of them, whatever its class.
+
+    Only rows whose id may go (by a bitmap) are shuffled; all others pass where they are.
     """
-    kept = op2_minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct().withColumn("kept", F.lit(True))
-    h = F.xxhash64("text")
-    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), (F.min(h) != F.max(h)).alias("clash"))
-    wanted = written(ids.join(kept, "doc_id", "left").filter("kept or clash").select("doc_id", (F.col("n") > 1).alias("repeated")))
-    out = docs.join(wanted.filter("not repeated"), "doc_id", "left_semi").select(*COLUMNS).union(docs.filter("doc_id is null").select(*COLUMNS))
-    if wanted.filter("repeated").isEmpty():
+    found = op2_minhash.near_duplicates(docs).filter("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    going = written(ids.filter("n > 1 or not kept").select(F.col("doc_id").alias("id"), (F.col("n") > 1).alias("repeated"), "kept"))
+    marked = Bitmap(going, "id").marked(docs.select(*COLUMNS), "doc_id")
+    doubtful = marked.filter("marked").select(*COLUMNS)
+    out = marked.filter("not marked").select(*COLUMNS).union(doubtful.join(going, F.col("doc_id") == F.col("id"), "left_anti"))
+    if going.filter("repeated").isEmpty():
         return out
-    rows = docs.join(wanted.filter("repeated"), "doc_id", "left_semi")
-    first = rows.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r"))
-    return out.union(first.select("doc_id", "text", "r.lang", "r.source", "r.n_chars").select(*COLUMNS))
+    rows = doubtful.join(going.filter("repeated"), F.col("doc_id") == F.col("id"))
+    first = rows.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r"), F.max("kept").alias("kept"))
+    texts = first.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("several"))
+    kept = first.join(texts, F.col("doc_id") == F.col("several"), "left").filter("kept or several is not null")
+    return out.union(kept.select("doc_id", "text", "r.lang", "r.source", "r.n_chars").select(*COLUMNS))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +63,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_pieces, lossless: sampled piece ids of every row and whether they decode to its text."""
-    out = op5_pieces.decode(op5_pieces.encode(docs))
-    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    """doc_id, ids, n_pieces, lossless: sampled piece ids of every row and whether they decode to its text. The row key is doc_id, so the mix's copies of a document have the same pieces."""
+    out = op5_pieces.round_trip(docs)
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.coalesce("lossless", F.lit(True)).alias("lossless"))
 
 
 STAGES = [("language_id", identify), ("near_dedup", deduplicate), ("pii", redact), ("mixing", mix), ("pieces", encode)]
