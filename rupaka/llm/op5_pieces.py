@@ -32,7 +32,7 @@ from rupaka.llm.op1_token_counts import MODEL, by_bytes
 #: Words with the spaces before them, spaces at the end, single line ends: no piece goes past one of these.
 CHUNK = re.compile(r" *[^ \n]+| +|\n")
 #: Characters of a word; a longer one counts as several words, which bounds the lattice. UTF-8 bytes of the texts whose distinct words share lattices.
-WIDEST, GROUP = 1024, 8 << 20
+WIDEST, GROUP = 1024, 4 << 20
 #: Weight of a character written as bytes.
 BYTES = 1e-12
 SEED = 5
