@@ -5,12 +5,20 @@ from rupaka.operators.disambiguate import disambiguate, disambiguate_sentence, r
 from rupaka.operators.evaluate import compared, evaluated_nouns, evaluated_verbs, failures, rollup, stratified_sample
 from rupaka.operators.nouns import analyze_nouns
 from rupaka.operators.verbs import analyze_verbs, detect_aux
+from rupaka.operators.gender import predict as predict_gender
+from rupaka.plans.evaluation import Report, evaluate_nouns, evaluate_verbs, nouns_report, verbs_report
 from rupaka.sources.lexicons import keyed_lexicon, load_lexicon
 from rupaka.sources.rules import irregular_verbs, load_flag_map, load_irregular, load_suffix_rules, noun_rules, verb_rules
+from rupaka.sources.sinks import complete_lexicon, metric_report, noun_error_rows, reformatted_rules, verb_error_rows, write_lines, write_tiers, write_tsv
 from rupaka.sources.treebank import class_sequences, gold_nouns, gold_verbs, treebank_lines
+from rupaka.streaming import sentences as streaming
 
 __all__ = [
-    "analyze_nouns", "analyze_verbs", "bigram_counts", "bigram_model", "bigram_scores", "class_sequences", "compared", "detect_aux", "disambiguate",
-    "disambiguate_sentence", "evaluated_nouns", "evaluated_verbs", "failures", "gold_nouns", "gold_verbs", "irregular_verbs", "keyed_lexicon", "load_flag_map",
-    "load_irregular", "load_lexicon", "load_suffix_rules", "noun_rules", "resolved", "rollup", "stratified_sample", "treebank_lines", "verb_rules",
+    "Report", "analyze_nouns", "analyze_verbs", "bigram_counts", "bigram_model", "bigram_scores", "class_sequences",
+    "compared", "complete_lexicon", "detect_aux", "disambiguate", "disambiguate_sentence", "evaluate_nouns",
+    "evaluate_verbs", "evaluated_nouns", "evaluated_verbs", "failures", "gold_nouns", "gold_verbs", "irregular_verbs",
+    "keyed_lexicon", "load_flag_map", "load_irregular", "load_lexicon", "load_suffix_rules", "metric_report",
+    "noun_error_rows", "noun_rules", "nouns_report", "predict_gender", "reformatted_rules", "resolved", "rollup",
+    "stratified_sample", "streaming", "treebank_lines", "verb_error_rows", "verb_rules", "verbs_report", "write_lines",
+    "write_tiers", "write_tsv",
 ]

@@ -39,6 +39,12 @@ IRREGULAR = {
 
 #: Morphemes whose presence in a suffix sets a feature, in order.
 SUFFIX_FLAGS = [("त", "t"), ("य", "y"), ("ना", "na"), ("ने", "ne"), ("नी", "ni"), ("ग", "g"), ("ए", "y"), ("ई", "y")]
+#: Morphemes that begin or end a verb's lemma, with their flags, in file order; auxiliary roots that end it.
+STEM_FLAGS = [
+    ("रह", "r"), ("कर", "k"), ("जा", "j"), ("आ", "a"), ("चल", "c"), ("चुक", "co"), ("रख", "co"), ("डाल", "co"), ("बैठ", "co"), ("लग", "l"), ("वाल", "v"),
+    ("को", "ko"), ("चाह", "ch"), ("सक", "s"), ("पा", "p"), ("बन", "bn"), ("पड़", "md"), ("दे", "mp"),
+]
+AUXILIARIES = "कर रह जा आ चल चुक रख डाल बेेठ लग वाल चाह सक पा बन पड़ दे है ले था"
 FLAG_FEATURES = {
     "t": {"aspect": "imperfective"},
     "g": {"tense": "future"},

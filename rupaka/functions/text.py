@@ -40,18 +40,19 @@ def stripped(c: Column | str) -> Column:
 
 
 def tokens(c: Column | str) -> Column:
-    """The words of a sentence, composed; null for null."""
-    return F.transform(F.filter(F.split(col(c), SPACES), lambda t: t != ""), nfc)
+    """The words of a sentence, composed; null for null. A text is composed as a whole, and only where it has Devanagari."""
+    c = col(c)
+    return F.array_remove(F.split(F.when(c.rlike("[\u0900-\u097f]"), nfc(c)).otherwise(c), SPACES), "")
 
 
-def endings(c: Column | str, longest: int, shortest: int = 0) -> Column:
+def endings(c: Column | str, longest: Column | int, shortest: int = 0) -> Column:
     """The endings of ``shortest`` to ``longest`` characters, at most the whole word: the equi-join form of endswith."""
     c = col(c)
     top = F.least(F.lit(longest), F.length(c))
     return F.when(top >= shortest, F.transform(F.sequence(F.lit(shortest), top), lambda n: F.right(c, n)))
 
 
-def beginnings(c: Column | str, longest: int) -> Column:
+def beginnings(c: Column | str, longest: Column | int) -> Column:
     c = col(c)
     top = F.least(F.lit(longest), F.length(c))
     return F.when(top >= 1, F.transform(F.sequence(F.lit(1), top), lambda n: F.left(c, n)))
@@ -79,15 +80,18 @@ def graphemes(c: Column | str) -> Column:
 
 
 def reversed_graphemes(c: Column | str) -> Column:
-    return F.array_join(F.reverse(graphemes(c)), "")
+    c = col(c)
+    return F.when(c.rlike(f"[{NUKTA}{VIRAMA}]"), F.array_join(F.reverse(graphemes(c)), "")).otherwise(F.reverse(c))
 
 
 def ngrams(c: Column | str, low: int = 1, high: int = 4) -> Column:
     """All character n-grams of a lower-cased word, by length, then position."""
     c = F.lower(col(c))
+    # a match ahead of every position is native work; beyond the basic plane a position may lie within a character
+    plain = F.concat(*(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(low, high + 1)))
     sizes = F.sequence(F.lit(low), F.least(F.lit(high), F.length(c)))
     every = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n))))
-    return F.when(F.length(c) >= low, every).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(c) < low, F.array().cast("array<string>")).when(c.rlike(r"[\x{10000}-\x{10ffff}]"), every).otherwise(plain)
 
 
 def feature_map(c: Column | str, strict: bool = True) -> Column:

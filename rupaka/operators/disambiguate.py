@@ -40,7 +40,7 @@ def candidates(toks: DataFrame, lexicon: DataFrame, genders: DataFrame | None =
     """
     words = toks.select(F.col("token").alias("word")).distinct()
     nouns = noun_candidates(analyze_nouns(words, lexicon, noun_rules))
-    kinds = words.join(nouns.withColumnRenamed("surface", "word"), "word", "left").join(verb_candidates(analyze_verbs(words, **verbs)).withColumnRenamed("surface", "word"), "word", "left")
+    kinds = words.join(nouns.withColumnRenamed("surface", "word"), "word", "left").join(verb_candidates(analyze_verbs(words, **({"with_aux": False} | verbs))).withColumnRenamed("surface", "word"), "word", "left")
     kinds = kinds.withColumn("noun_candidates", F.coalesce("noun_candidates", F.array().cast(NOUNS))).withColumn("verb_candidates", F.coalesce("verb_candidates", F.array().cast(VERBS)))
     if genders is not None:
         kinds = kinds.join(genders.select("word", "gender").filter(F.col("gender").isin("M", "F")), "word", "left")
@@ -70,19 +70,28 @@ def labels(nouns: Column, s) -> Column:
     return F.when(F.size(nouns) > 0, F.array_compact(every)).otherwise(F.array().cast("array<string>"))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def best(nouns: Column, score) -> Column:
     """The candidates tied at the highest score; all of them if every score is 0."""
-    scored = F.transform(nouns, lambda c: F.struct(c.alias("c"), score(c).alias("s")))
-    top = F.array_max(F.transform(scored, lambda x: x.s))
-    return F.when(F.forall(scored, lambda x: x.s == 0.0), nouns).otherwise(F.transform(F.filter(scored, lambda x: x.s == top), lambda x: x.c))
+
+    def tied(scores: Column) -> Column:
+        top = F.array_max(scores)
+        return F.when(F.forall(scores, lambda s: s == 0.0), nouns).otherwise(F.filter(nouns, lambda c, i: F.get(scores, i) == top))
+
+    return F.when(F.size(nouns) > 0, let(F.transform(nouns, score), tied)).otherwise(nouns)
 
 
 def prior(previous: Column, paradigm: Column, model: dict) -> Column:
     """The bigram probability; 0 after a class that never stands before another, or none."""
-    out = F.lit(0.0)
-    for prev, (known, other) in model.items():
-        out = F.when(previous == prev, cases(paradigm, known, other)).otherwise(out)
-    return out
+    if not model:
+        return F.lit(0.0)
+    pairs = F.create_map(*[F.lit(x) for prev, (known, _) in model.items() for curr, p in known.items() for x in (f"{prev}\t{curr}", float(p))]) if any(k for k, _ in model.values()) else F.create_map().cast("map<string,double>")
+    others = F.create_map(*[F.lit(x) for prev, (_, other) in model.items() for x in (prev, float(other))])
+    return F.coalesce(F.try_element_at(pairs, F.concat(previous, F.lit("\t"), paradigm)), F.try_element_at(others, previous), F.lit(0.0))
 
 
 def filtered_verbs(verbs: Column, negation: Column) -> tuple[Column, Column]:
@@ -113,9 +122,11 @@ def _with_state(sentence: Column, model: dict) -> Column:
     kind = lambda x, nouns: F.struct(*((nouns if f == "noun_candidates" else x[f]).alias(f) for f in FIELDS))
 
     def step(acc: Column, x: Column) -> Column:
-        chosen = best(x.noun_candidates, lambda c: base_score(c, lambda n: x[n]) + prior(acc.prev, c.paradigm, model) * 2.0)
-        prev = F.coalesce(_only(F.transform(chosen, lambda c: c.paradigm)), acc.prev)
-        return F.struct(prev.alias("prev"), F.concat(acc.out, F.array(kind(x, chosen))).alias("out"))
+        def after(chosen: Column) -> Column:
+            prev = F.coalesce(_only(F.transform(chosen, lambda c: c.paradigm)), acc.prev)
+            return F.struct(prev.alias("prev"), F.concat(acc.out, F.array(kind(x, chosen))).alias("out"))
+
+        return let(best(x.noun_candidates, lambda c: base_score(c, lambda n: x[n]) + prior(acc.prev, c.paradigm, model) * 2.0), after)
 
     start = F.struct(F.lit(None).cast("string").alias("prev"), F.filter(sentence, lambda x: F.lit(False)).alias("out"))
     return F.aggregate(sentence, start, step, lambda acc: acc.out)
@@ -128,21 +139,22 @@ def _coordinated(sentence: Column) -> Column:
     positions = F.transform(F.filter(sentence, lambda x: x.token == t.CONJUNCTION), lambda x: x.pos)
 
     def step(acc: Column, i: Column) -> Column:
-        left = F.element_at(F.filter(acc, lambda x: (x.pos < i) & bearing(x)), -1)
-        right = F.get(F.filter(acc, lambda x: (x.pos > i) & bearing(x)), F.lit(0))
-        of = lambda x: F.array_distinct(F.transform(x.noun_candidates, lambda c: c["case"]))
-        to_right = (F.size(of(left)) == 1) & (F.size(of(right)) > 1)
-        to_left = (F.size(of(right)) == 1) & (F.size(of(left)) > 1)
-        target = F.when(to_right, right.pos).when(to_left, left.pos)
-        case = F.when(to_right, F.get(of(left), F.lit(0))).when(to_left, F.get(of(right), F.lit(0)))
-
-        def narrowed(x: Column) -> Column:
-            some = F.filter(x.noun_candidates, lambda c: c["case"] == case)
-            new = kind(x, noun_candidates=some, signals_applied=F.concat(x.signals_applied, F.array(F.concat(F.lit("coordination→"), case))))
-            return F.when((x.pos == target) & (F.size(some) > 0), new).otherwise(x)
-
-        both = left.isNotNull() & right.isNotNull() & target.isNotNull()
-        return F.when(both, F.transform(acc, narrowed)).otherwise(acc)
+        end = lambda x: F.struct(x.pos.alias("pos"), F.array_distinct(F.transform(x.noun_candidates, lambda c: c["case"])).alias("cases"))
+        left = F.try_element_at(F.transform(F.filter(acc, lambda x: (x.pos < i) & bearing(x)), end), F.lit(-1))
+        right = F.get(F.transform(F.filter(acc, lambda x: (x.pos > i) & bearing(x)), end), F.lit(0))
+
+        def passed(e: Column) -> Column:
+            to_right = (F.size(e.left.cases) == 1) & (F.size(e.right.cases) > 1)
+            to_left = (F.size(e.right.cases) == 1) & (F.size(e.left.cases) > 1)
+            return F.struct(F.when(to_right, e.right.pos).when(to_left, e.left.pos).alias("pos"), F.when(to_right, F.get(e.left.cases, F.lit(0))).when(to_left, F.get(e.right.cases, F.lit(0))).alias("case"))
+
+        def narrowed(x: Column, target: Column) -> Column:
+            some = F.filter(x.noun_candidates, lambda c: c["case"] == target.case)
+            new = kind(x, noun_candidates=some, signals_applied=F.concat(x.signals_applied, F.array(F.concat(F.lit("coordination→"), target.case))))
+            return F.when((x.pos == target.pos) & (F.size(some) > 0), new).otherwise(x)
+
+        to = let(F.struct(left.alias("left"), right.alias("right")), passed)
+        return let(to, lambda target: F.when(target.pos.isNotNull(), F.transform(acc, lambda x: narrowed(x, target))).otherwise(acc))
 
     return F.when(F.size(positions) > 0, F.aggregate(positions, sentence, step)).otherwise(sentence)
 

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from rupaka.functions import tables as t
 from rupaka.functions.text import col, endings, normalized, restored
 from rupaka.sources.rules import noun_rules
 
-#: Rules up to which the table is broadcast.
-FEW_RULES = 20_000
+def longest(rules: DataFrame, suffix: str) -> Column:
+    """The length of the rules' longest suffix, as a subquery of the plan: nothing runs before the query does."""
+    return rules.agg(F.coalesce(F.max(F.length(suffix)), F.lit(0))).scalar()
 
 
-def small(rules: DataFrame) -> tuple[DataFrame, int]:
-    """The rules, broadcast if they are few, and the length of their longest suffix."""
-    one = rules.agg(F.count("*").alias("n"), F.max(F.length(rules.columns[0])).alias("longest")).first()
-    return (F.broadcast(rules) if one.n <= FEW_RULES else rules), one.longest or 0
+def suffix_matches(words: DataFrame, rules: DataFrame, word: str, suffix: str, shortest: int = 0, most: int | None = None) -> DataFrame:
+    """words x rules where the word ends in the rule's suffix, as an equi-join on the word's endings, of ``most`` characters at most where that is known.
 
-
-def suffix_matches(words: DataFrame, rules: DataFrame, word: str, suffix: str, shortest: int = 0) -> DataFrame:
-    """words x rules where the word ends in the rule's suffix, as an equi-join on the word's endings."""
-    table, longest = small(rules.select(F.col(suffix).alias("_suffix"), "*"))
-    exploded = words.withColumn("_suffix", F.explode(endings(word, longest, shortest)))
+    Small rule tables are broadcast by the planner, by their size.
+    """
+    table = rules.select(F.col(suffix).alias("_suffix"), "*")
+    sized = words.withColumn("_most", longest(rules, suffix) if most is None else F.lit(most))
+    exploded = sized.withColumn("_suffix", F.explode(endings(word, F.col("_most"), shortest))).drop("_most")
     return exploded.join(table, "_suffix").drop("_suffix")
 
 
@@ -30,9 +30,10 @@ def analyze_nouns(words: DataFrame, lexicon: DataFrame, rules: DataFrame | None
     lexicon: norm, display, paradigm, confidence. Of analyses that agree in lemma,
     gender, number and case the first counts. Null words have none.
     """
+    most = max(len(r[0]) for rs in t.NOUN_PARADIGMS.values() for r in rs) if rules is None else None
     rules = noun_rules(words.sparkSession) if rules is None else rules
     w = words.select(col(word).alias("surface")).distinct().withColumn("_norm", normalized("surface"))
-    hits = suffix_matches(w, rules, "_norm", "strip").withColumn("norm", restored("_norm", "strip", "add"))
+    hits = suffix_matches(w, rules, "_norm", "strip", most=most).withColumn("norm", restored("_norm", "strip", "add"))
     found = hits.join(lexicon.select("norm", "paradigm", F.col("display").alias("lemma"), "confidence"), ["norm", "paradigm"])
     key = ["surface", "lemma", "gender", "number", "case"]
     first = found.groupBy(*key).agg(F.min(F.struct("class_ord", "rule_ord", "paradigm", "confidence")).alias("r"))

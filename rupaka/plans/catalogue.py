@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rupaka.functions import tables as t, text as x
 from rupaka.functions.features import FIELDS, irregular_features, suffix_readings
+from rupaka.plans import evaluation
 from rupaka.operators import bigram, context, disambiguate as dis, evaluate as ev, gender, lexicon_etl as etl, nouns, verbs
 from rupaka.sources import lexicons, rules, sinks, treebank
 
@@ -104,7 +105,10 @@ a AS (SELECT *, row_number() OVER (PARTITION BY surface, lemma, gender, number,
 
 def latin_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All distinct words of the documents, each of which may be a lemma of any class."""
-    w = doc_tokens(spark, sf_dir).select("word").distinct()
+    return latin_readings(spark, doc_tokens(spark, sf_dir).select("word").distinct())
+
+
+def latin_readings(spark: SparkSession, w: DataFrame) -> DataFrame:
     lexicon = w.select(F.col("word").alias("norm"), F.col("word").alias("display"), F.explode(F.array(*map(F.lit, LATIN))).alias("paradigm"), F.lit("certain").alias("confidence"))
     return nouns.analyze_nouns(w, lexicon, rules.noun_rules(spark, LATIN))
 
@@ -118,7 +122,7 @@ def suffix_analysis(spark, sf_dir):
 def suffix_class_counts(spark, sf_dir):
     # words are counted by language before the join, so it moves types, not tokens
     types = doc_tokens(spark, sf_dir).groupBy("lang", "word").agg(F.count("*").alias("c"))
-    hits = latin_analyses(spark, sf_dir).select(F.col("surface").alias("word"), "lemma", "paradigm")
+    hits = latin_readings(spark, types.select("word").distinct()).select(F.col("surface").alias("word"), "lemma", "paradigm")
     return types.join(hits, "word").groupBy("lang", "paradigm").agg(F.sum("c").alias("n"), F.countDistinct("lemma").alias("n_lemmas"))
 
 
@@ -206,9 +210,18 @@ SELECT w, left(w, length(w) - length(suffix)) || add_back, suffix, aspect, tense
 FROM f JOIN vf ON suffix(w, suffix) WHERE length(left(w, length(w) - length(suffix)) || add_back) >= 2)"""
 
 
-@query("hindi_verb_analysis", f"WITH {VERBS} SELECT surface, (row_number() OVER (PARTITION BY surface ORDER BY rank, rule_ord))::INT AS ord, lemma, suffix, 'verb' AS paradigm, aspect, tense, mood, verbal_type, person, number, gender, \"case\", irregular, confidence FROM every")
+#: Flagged morphemes and auxiliary roots as the published lists have them, apart from the engine's own tables.
+FLAGGED = [(m, f, k) for k, (m, f) in enumerate(zip("रह कर जा आ चल चुक रख डाल बैठ लग वाल को चाह सक पा बन पड़ दे".split(), "r k j a c co co co co l v ko ch s p bn md mp".split()))]
+ROOTS = [(w,) for w in "कर रह जा आ चल चुक रख डाल बेेठ लग वाल चाह सक पा बन पड़ दे है ले था".split()]
+DETECTED = f"""{values('sf', 'morpheme, flag, nth', FLAGGED)}, {values('ax', 'root', ROOTS)},
+dh AS (SELECT lemma, morpheme, flag, 0 AS tier, nth FROM every JOIN sf ON suffix(lemma, morpheme) OR prefix(lemma, morpheme)
+       UNION ALL SELECT lemma, root, 'aux', 1, 0 FROM every JOIN ax ON suffix(lemma, root)),
+dx AS (SELECT lemma, morpheme AS auxiliary, flag AS aux_flag FROM dh QUALIFY row_number() OVER (PARTITION BY lemma ORDER BY tier, -length(morpheme), nth, morpheme) = 1)"""
+
+
+@query("hindi_verb_analysis", f"WITH {VERBS}, {DETECTED} SELECT surface, (row_number() OVER (PARTITION BY surface ORDER BY rank, rule_ord))::INT AS ord, lemma, suffix, 'verb' AS paradigm, aspect, tense, mood, verbal_type, person, number, gender, \"case\", irregular, confidence, auxiliary, aux_flag FROM every LEFT JOIN dx USING (lemma)")
 def hindi_verb_analysis(spark, sf_dir):
-    return verbs.analyze_verbs(frame(spark, "word string", VERB_FORMS)).drop("auxiliary", "aux_flag")
+    return verbs.analyze_verbs(frame(spark, "word string", VERB_FORMS))
 
 
 STEM_FLAGS = [("जा", "ja", 1), ("जाना", "jn", 2), ("दे", "de", 3), ("कर", "kr", 4)]
@@ -550,17 +563,175 @@ def treebank_class_bigrams(spark, sf_dir):
     return bigram.bigram_counts(treebank.class_sequences(bank(spark), hindi_lexicon(spark)), ["file", "sent_id"], ["line_no"], "paradigm")
 
 
-# ── beyond SQL: sequential folds and a fitted model ──
+# ── evaluation, from lines to reports ──
+
+#: Rules of two classes and verb readings of the treebank's forms, by hand.
+BY_HAND = [("M2", "", "", "M", "SG", "DIR"), ("M2", "", "", "M", "PL", "DIR"), ("M2", "", "", "M", "SG", "OBL"), ("M2", "ों", "", "M", "PL", "OBL"), ("F3", "", "", "F", "SG", "DIR"), ("F3", "ें", "", "F", "PL", "DIR"), ("F3", "", "", "F", "SG", "OBL"), ("F3", "ों", "", "F", "PL", "OBL")]
+GOLD = f"""{_BANK}, gold AS ({ORACLES['gold_nouns'][len(f'WITH {_BANK} '):]}), {values('lex', 'word, paradigm', LEXICON)}, {values('r', 'paradigm, strip, addl, gender, number, kase', BY_HAND)},
+an AS (SELECT DISTINCT g.surface, lex.word AS lemma, r.gender, r.number, r.kase FROM gold g JOIN r ON suffix(g.surface, strip) JOIN lex ON lex.paradigm = r.paradigm AND lex.word = left(g.surface, length(g.surface) - length(strip)) || addl),
+ev AS (SELECT g.*, coalesce(lex.paradigm, 'OOV') AS paradigm, CASE WHEN lex.word IS NULL THEN 'OOV' ELSE 'certain' END AS confidence,
+  EXISTS (SELECT 1 FROM an WHERE an.surface = g.surface) AS has_analysis, EXISTS (SELECT 1 FROM an WHERE an.surface = g.surface AND an.lemma = g.lemma) AS lemma_ok,
+  EXISTS (SELECT 1 FROM an WHERE an.surface = g.surface AND an.lemma = g.lemma AND coalesce(g.gender = an.gender, true) AND coalesce(g.number = an.number, true) AND coalesce(g."case" = an.kase, true)) AS full_ok,
+  (SELECT count(*) FROM an WHERE an.surface = g.surface) AS n_predicted, coalesce((SELECT string_agg(an.lemma, '|') FROM an WHERE an.surface = g.surface), '') AS pred_lemmas FROM gold g LEFT JOIN lex ON lex.word = g.lemma)"""
+
+
+@query("eval_nouns_hindi", f"""WITH {GOLD} SELECT CASE WHEN grouping(paradigm) = 0 THEN 'paradigm' WHEN grouping(confidence) = 0 THEN 'confidence' ELSE 'all' END AS dim,
+CASE WHEN grouping(paradigm) = 0 THEN paradigm WHEN grouping(confidence) = 0 THEN confidence ELSE 'all' END AS value, {_SUMS} FROM ev GROUP BY GROUPING SETS ((), (paradigm), (confidence))""")
+def eval_nouns_hindi(spark, sf_dir):
+    m = evaluation.nouns_report(bank(spark), hindi_lexicon(spark)).metrics
+    return m.select("dim", "value", "total", "covered", "lemma_ok", "lemma_only", "full_ok")
+
+
+@query("error_rows", f"""WITH {GOLD} SELECT surface, lemma AS gold_lemma, gender AS gold_gender, number AS gold_number, "case" AS gold_case, paradigm, confidence,
+CASE WHEN NOT has_analysis THEN 'no_analysis' WHEN paradigm = 'OOV' THEN 'oov' WHEN NOT lemma_ok THEN 'wrong_lemma' ELSE 'wrong_features' END AS failure_type, n_predicted::INT AS n_predicted, pred_lemmas, file, line_no FROM ev WHERE NOT full_ok""")
+def error_rows(spark, sf_dir):
+    return evaluation.nouns_report(bank(spark), hindi_lexicon(spark)).errors
+
+
+@query("skipped_tokens", f"WITH {_BANK} SELECT count(*)::BIGINT AS skipped FROM m WHERE f[5] = 'NN' AND (len(f) = 5 OR f[3] = '_')")
+def skipped_tokens(spark, sf_dir):
+    return evaluation.nouns_report(bank(spark), hindi_lexicon(spark)).skipped
+
+
+SECOND = [(w, c) for w, c in LEXICON if w != "रात"] + [("फल", "M2")]
+
+
+@query("eval_second_lexicon", f"""WITH {GOLD}, a AS (SELECT {_SUMS} FROM ev), {values('b', 'total, covered, lemma_ok, full_ok', [(4, 2, 2, 2)])},
+s AS (SELECT 'coverage' AS metric, a.covered / a.total AS a, b.covered / b.total AS b FROM a, b UNION ALL SELECT 'lemma', a.lemma_ok / a.total, b.lemma_ok / b.total FROM a, b UNION ALL SELECT 'full', a.full_ok / a.total, b.full_ok / b.total FROM a, b)
+SELECT metric, a::DOUBLE AS a, b::DOUBLE AS b, (b - a)::DOUBLE AS delta FROM s""")
+def eval_second_lexicon(spark, sf_dir):
+    """The treebank's nouns under two lexicons: the second lacks रात and has फल, so it covers घर and फल, both right."""
+    second = lexicons.keyed_lexicon(frame(spark, "word string, paradigm_class string", SECOND))
+    one, two = (ev.rollup(evaluation.nouns_report(bank(spark), lex).tokens) for lex in (hindi_lexicon(spark), second))
+    return ev.compared(one, two)
 
-SENTENCES = list(enumerate(["लड़की ने खाना खाया", "राम का घर और लड़के के साथ", "आदमी नहीं गया", "घर और रात और लड़कों में", "एक भी किताब मत पढ़ो", "", "आशा की वजह से"]))
 
+#: गया is read as जा, perfective, masculine, singular, but the gold third person has no match; है has no reading.
+VERB_METRICS = [("all", "all", 2, 1, 1, 1, 0), ("vtype", "participle", 1, 1, 1, 1, 0), ("vtype", "none", 1, 0, 0, 0, 0), ("confidence", "high", 1, 1, 1, 1, 0), ("confidence", "none", 1, 0, 0, 0, 0), ("cpos", "VM", 1, 1, 1, 1, 0), ("cpos", "VAUX", 1, 0, 0, 0, 0)]
 
-@query("disambiguate_hindi")
+
+@query("eval_verbs_hindi", f"WITH {values('v', 'dim, value, total, covered, lemma_ok, lemma_only, full_ok', VERB_METRICS)} SELECT dim, value, total::BIGINT AS total, covered::BIGINT AS covered, lemma_ok::BIGINT AS lemma_ok, lemma_only::BIGINT AS lemma_only, full_ok::BIGINT AS full_ok FROM v")
+def eval_verbs_hindi(spark, sf_dir):
+    m = evaluation.verbs_report(bank(spark)).metrics
+    return m.select("dim", "value", "total", "covered", "lemma_ok", "lemma_only", "full_ok")
+
+
+@query("tag_distribution", f"WITH {_BANK} SELECT f[5] AS cpos, count(*)::BIGINT AS n FROM m WHERE f[5] IN ('VM', 'VAUX') AND len(f) > 5 AND f[3] <> '_' GROUP BY 1")
+def tag_distribution(spark, sf_dir):
+    return evaluation.verbs_report(bank(spark)).distribution
+
+
+RULE_FILE = [("/r/101.ord", k, line) for k, line in enumerate(["IF    word_minus_1 = verb", "  AND word_plus_2 = noun", "THEN  curr_word = verb_aux  [0 466 33]", "ELSE", "(DEFAULT) curr_word = verb  [0 0 424]"], 1)]
+
+
+@query("rule_reformat", f"WITH {values('v', 'file, line_no, value', [('/r/101.ord', 1, '101 [(-1 verb) AND (+2 noun)] THEN verb_aux VECTOR [0 466 33]'), ('/r/101.ord', 5, '101 [(DEFAULT)] THEN verb VECTOR [0 0 424]')])} SELECT file, line_no::INT AS line_no, value FROM v")
+def rule_reformat(spark, sf_dir):
+    return sinks.reformatted_rules(frame(spark, "file string, line_no int, line string", RULE_FILE))
+
+
+# ── sentences: what the context says and what is chosen, worked out by hand ──
+
+SENTENCES = list(enumerate(["लड़की ने खाना खाया", "राम का घर और लड़के के साथ", "आदमी नहीं गया", "घर और रात और लड़कों में", "एक भी किताब मत पढ़ो", "", "आशा की वजह से"]))
+MODEL = {"M2": ({"F3": 0.6, "M1": 0.3}, 0.1), "M1": ({"M1": 0.5}, 0.05)}
+
+
+def sentences(spark: SparkSession) -> DataFrame:
+    return frame(spark, "sent_id long, text string", SENTENCES)
+
+
+SIGNAL_ROWS = [
+    (0, 0, "लड़की", True, None, None, None, "M", "SG"),
+    (0, 1, "ने", False, None, None, None, "M", "SG"),
+    (0, 2, "खाना", False, None, None, None, "M", "SG"),
+    (0, 3, "खाया", False, None, None, None, None, None),
+    (1, 0, "राम", True, None, None, None, "M", "PL"),
+    (1, 1, "का", False, None, None, None, "M", "PL"),
+    (1, 2, "घर", False, "M", "SG", None, "M", "PL"),
+    (1, 3, "और", False, None, None, None, "M", "PL"),
+    (1, 4, "लड़के", True, None, None, None, None, None),
+    (1, 5, "के", False, None, None, None, None, None),
+    (1, 6, "साथ", False, None, None, None, None, None),
+    (2, 0, "आदमी", False, None, None, "nahi", "F", "PL"),
+    (2, 1, "नहीं", False, None, None, "nahi", "M", "SG"),
+    (2, 2, "गया", False, None, None, "nahi", None, None),
+    (3, 0, "घर", False, None, None, None, None, None),
+    (3, 1, "और", False, None, None, None, None, None),
+    (3, 2, "रात", False, None, None, None, None, None),
+    (3, 3, "और", False, None, None, None, None, None),
+    (3, 4, "लड़कों", True, None, None, None, None, None),
+    (3, 5, "में", False, None, None, None, None, None),
+    (4, 0, "एक", False, None, None, "mat", None, None),
+    (4, 1, "भी", False, None, None, "mat", None, None),
+    (4, 2, "किताब", False, None, "SG", "mat", None, None),
+    (4, 3, "मत", False, None, None, "mat", None, None),
+    (4, 4, "पढ़ो", False, None, None, "mat", None, None),
+    (6, 0, "आशा", True, None, None, None, None, None),
+    (6, 1, "की", False, None, None, None, None, None),
+    (6, 2, "वजह", False, None, None, None, None, None),
+    (6, 3, "से", False, None, None, None, None, None),
+]
+
+
+@query("signals_hindi", f"WITH {values('v', 'sent_id, pos, token, oblique, gender_signal, number_signal, negation, verb_gender, verb_number', SIGNAL_ROWS)} SELECT sent_id::BIGINT AS sent_id, pos::INT AS pos, nfc_normalize(token) AS token, oblique, gender_signal, number_signal, negation, verb_gender, verb_number FROM v")
+def signals_hindi(spark, sf_dir):
+    found = context.signals(dis.candidates(dis.tokenized(sentences(spark)), hindi_lexicon(spark)))
+    return found.select("sent_id", "pos", "token", "oblique", "gender_signal", "number_signal", "negation", F.col("agreement.gender").alias("verb_gender"), F.col("agreement.number").alias("verb_number"))
+
+
+CHOSEN = [
+    (0, 0, "= लड़की N[लड़की/F/SG/OBL/F1] V[लड़क/ी/F/S/perfective] {postposition→OBL}"),
+    (0, 1, "- ने N[] V[] {}"),
+    (0, 2, "? खाना N[खाना/M/SG/DIR/M1] V[खा/ना/M/S, खान/ा/M/S/perfective] {verb_agreement→MSG}"),
+    (0, 3, "? खाया N[] V[खा/या/M/S/perfective, खाय/ा/M/S/perfective] {}"),
+    (1, 0, "= राम N[राम/M/SG/OBL/M2] V[] {postposition→OBL}"),
+    (1, 1, "- का N[] V[] {}"),
+    (1, 2, "= घर N[घर/M/SG/OBL/M2] V[] {genitive→M, quantifier→SG, verb_agreement→MPL, coordination→OBL}"),
+    (1, 3, "- और N[] V[] {}"),
+    (1, 4, "= लड़के N[लड़का/M/SG/OBL/M1] V[लड़क/े/M/P/perfective] {postposition→OBL}"),
+    (1, 5, "- के N[] V[] {}"),
+    (1, 6, "- साथ N[] V[] {}"),
+    (2, 0, "? आदमी N[आदमी/M/SG/DIR/M3, आदमी/M/PL/DIR/M3, आदमी/M/SG/OBL/M3] V[आदम/ी/F/S/perfective] {verb_agreement→FPL, verb:negation(नहीं)→¬IMP}"),
+    (2, 1, "= नहीं N[] V[नह/ीं/F/P/perfective] {verb:negation(नहीं)→¬IMP}"),
+    (2, 2, "? गया N[] V[जा/(irregular)/M/S/perfective, गय/ा/M/S/perfective] {verb:negation(नहीं)→¬IMP}"),
+    (3, 0, "? घर N[घर/M/SG/DIR/M2, घर/M/PL/DIR/M2, घर/M/SG/OBL/M2] V[] {}"),
+    (3, 1, "- और N[] V[] {}"),
+    (3, 2, "= रात N[रात/F/SG/OBL/F3] V[] {coordination→OBL}"),
+    (3, 3, "- और N[] V[] {}"),
+    (3, 4, "= लड़कों N[लड़का/M/PL/OBL/M1] V[] {postposition→OBL}"),
+    (3, 5, "- में N[] V[] {}"),
+    (4, 0, "- एक N[] V[] {}"),
+    (4, 1, "- भी N[] V[] {}"),
+    (4, 2, "? किताब N[किताब/F/SG/DIR/F3, किताब/F/SG/OBL/F3] V[] {quantifier→SG}"),
+    (4, 3, "- मत N[] V[] {}"),
+    (4, 4, "= पढ़ो N[] V[पढ़/ो/imperative] {}"),
+    (6, 0, "= आशा N[आशा/F/SG/OBL/F2] V[आश/ा/M/S/perfective] {postposition→OBL}"),
+    (6, 1, "= की N[] V[कर/(irregular)/F/S/perfective] {}"),
+    (6, 2, "- वजह N[] V[] {}"),
+    (6, 3, "- से N[] V[] {}"),
+]
+
+
+@query("disambiguate_hindi", f"WITH {values('v', 'sent_id, pos, line', CHOSEN)} SELECT sent_id::BIGINT AS sent_id, pos::INT AS pos, line FROM v")
 def disambiguate_hindi(spark, sf_dir):
-    s = frame(spark, "sent_id long, text string", SENTENCES)
-    model = {"M2": ({"F3": 0.6, "M1": 0.3}, 0.1), "M1": ({"M1": 0.5}, 0.05)}
-    return dis.shown(dis.disambiguate(s, hindi_lexicon(spark), bigrams=model))
+    return dis.shown(dis.disambiguate(sentences(spark), hindi_lexicon(spark), bigrams=MODEL))
+
+
+#: A word of two classes after one whose class is certain; a word that only a gender model knows.
+DOUBLE = [("घर", "M2"), ("माला", "M1"), ("माला", "F2")]
+
+
+@query("bigram_state", "WITH v(sent_id, pos, token, readings) AS (VALUES (0, 0, 'माला', 'F2/F/SG/DIR,F2/F/SG/OBL,M1/M/SG/DIR'), (1, 0, 'घर', 'M2/M/SG/DIR'), (1, 1, 'माला', 'M1/M/SG/DIR'), (2, 0, 'घर', 'M2/M/SG/DIR,M2/M/PL/DIR,M2/M/SG/OBL'), (2, 1, 'तुलसी', 'F1/F/SG/DIR,F1/F/SG/OBL,F1/F/PL/DIR,F1/F/PL/OBL')) SELECT sent_id::BIGINT AS sent_id, pos::INT AS pos, token, readings FROM v")
+def bigram_state(spark, sf_dir):
+    """After घर (M2) the model favours M1 for माला, which alone keeps both classes; its ending also reads as a verb, which घर agrees with. तुलसी gets its candidates from a predicted gender."""
+    lexicon = frame(spark, "norm string, paradigm string", DOUBLE).select("norm", F.col("norm").alias("display"), "paradigm", F.lit("certain").alias("confidence"))
+    genders = frame(spark, "word string, gender string", [("तुलसी", "F")])
+    s = frame(spark, "sent_id long, text string", [(0, "माला"), (1, "घर माला"), (2, "घर तुलसी")])
+    out = dis.disambiguate(s, lexicon, genders=genders, bigrams={"M2": ({"M1": 0.7, "F2": 0.2}, 0.1)})
+    order = F.array_sort(F.transform("noun_candidates", lambda c, i: F.struct(c.paradigm, i, F.concat_ws("/", c.paradigm, c.gender, c.number, c["case"]).alias("r"))))
+    return out.select("sent_id", "pos", "token", F.array_join(F.transform(order, lambda x: x.r), ",").alias("readings"))
+
 
+# ── beyond SQL: a fitted model ──
 
 @query("char_ngram_classifier")
 def char_ngram_classifier(spark, sf_dir):

@@ -36,6 +36,16 @@ def irregular_verbs(spark: SparkSession, forms: dict | None = None) -> DataFrame
     return literal(spark, [(s, lemma) for lemma, forms in (forms or t.IRREGULAR).items() for s in forms.split()], "surface string, lemma string")
 
 
+def stem_flags(spark: SparkSession, flags: list[tuple[str, str]] | None = None) -> DataFrame:
+    """morpheme, flag, file_ord."""
+    return literal(spark, [(m, f, k) for k, (m, f) in enumerate(t.STEM_FLAGS if flags is None else flags)], "morpheme string, flag string, file_ord int")
+
+
+def auxiliaries(spark: SparkSession, roots: str | None = None) -> DataFrame:
+    """root."""
+    return literal(spark, [(r,) for r in (t.AUXILIARIES if roots is None else roots).split()], "root string")
+
+
 def term_sets(spark: SparkSession) -> DataFrame:
     """kind, term, gender, number, tag of the closed word classes."""
     rows = [(k, w, None, n, None) for k, words, n in (("clitic", t.CLITICS, None), ("postposition", t.POSTPOSITIONS, None), ("oblique", t.OBLIQUE_POSTPOSITIONS, None), ("quantifier", t.SINGULAR_QUANTIFIERS, "SG"), ("quantifier", t.PLURAL_QUANTIFIERS, "PL")) for w in words.split()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rupaka.functions.text import percent
 
@@ -30,21 +30,33 @@ def complete_lexicon(existing: DataFrame, predicted: DataFrame) -> DataFrame:
     return old.unionByName(new.select("word", "paradigm_class", "confidence", F.format_string("%.4f", "probability").alias("probability"), F.lit(1).alias("block")))
 
 
+#: The error lists' names of what gold tokens state.
+GOLD_NOUN = {"lemma": "gold_lemma", "gender": "gold_gender", "number": "gold_number", "case": "gold_case"}
+GOLD_VERB = {"lemma": "gold_lemma", "aspect": "gold_asp", "tense": "gold_ten", "mood": "gold_mood", "gender": "gold_gen", "number": "gold_num", "person": "gold_per"}
+
+
+def _error_rows(errors: DataFrame, gold: dict[str, str], *others: str) -> DataFrame:
+    lemmas = F.array_join(F.transform("analyses", lambda x: x.lemma), "|")
+    errors = errors.withColumnsRenamed({k: v for k, v in gold.items() if v not in errors.columns})
+    return errors.select("surface", *gold.values(), *others, "failure_type", F.size("analyses").alias("n_predicted"), lemmas.alias("pred_lemmas"), "file", "line_no")
+
+
 def noun_error_rows(errors: DataFrame) -> DataFrame:
-    """The flat columns of a noun error list (analyses: array of structs with a lemma)."""
-    flat = ["surface", "gold_lemma", "gold_gender", "gold_number", "gold_case", "paradigm", "confidence", "failure_type"]
-    return errors.select(*flat, F.size("analyses").alias("n_predicted"), F.array_join(F.transform("analyses", lambda x: x.lemma), "|").alias("pred_lemmas"), "file", "line_no")
+    """The flat columns of a noun error list, from evaluated nouns that failed."""
+    return _error_rows(errors, GOLD_NOUN, "paradigm", "confidence")
 
 
 def verb_error_rows(errors: DataFrame) -> DataFrame:
-    flat = ["surface", "gold_lemma", "gold_asp", "gold_ten", "gold_mood", "gold_gen", "gold_num", "gold_per", "vtype", "confidence", "cpos", "failure_type"]
-    return errors.select(*flat, F.size("analyses").alias("n_predicted"), F.array_join(F.transform("analyses", lambda x: x.lemma), "|").alias("pred_lemmas"), "file", "line_no")
+    """The flat columns of a verb error list, from evaluated verbs that failed."""
+    return _error_rows(errors, GOLD_VERB, "vtype", "confidence", "cpos")
 
 
 def error_sample(errors: DataFrame, label: Column) -> DataFrame:
     """value: readable lines, an error each with its first three predictions."""
     first = F.array_join(F.transform(F.slice("analyses", 1, 3), lambda x: x.lemma), ", ")
-    return errors.select(F.format_string("[%s] %s  gold %s (%s)  predicted %s  %s:%s", "failure_type", "surface", "gold_lemma", label, F.when(first == "", "-").otherwise(first), "file", F.col("line_no").cast("string")).alias("value"))
+    lemma = "gold_lemma" if "gold_lemma" in errors.columns else "lemma"
+    said = F.when(first == "", "-").otherwise(first)
+    return errors.select(F.format_string("[%s] %s  gold %s (%s)  predicted %s  %s:%s", "failure_type", "surface", lemma, label, said, "file", F.col("line_no").cast("string")).alias("value"))
 
 
 def metric_report(metrics: DataFrame) -> DataFrame:
@@ -53,17 +65,24 @@ def metric_report(metrics: DataFrame) -> DataFrame:
 
 
 def reformatted_rules(lines: DataFrame) -> DataFrame:
-    """rule_id, value: learned rules ``IF a = "b" AND ... THEN c = "d" [n ...]`` as ``[(a b) AND (..)] THEN d VECTOR [n ...]``. lines: line_no, line."""
-    when = F.regexp_extract_all("line", F.lit(r'(?:IF|AND)\s+(\S+)\s*=\s*"?([^"\s]+)"?'), F.lit(0))
-    parts = F.transform(when, lambda x: F.concat(F.lit("("), F.regexp_extract(x, r'(?:IF|AND)\s+(\S+)', 1), F.lit(" "), F.regexp_extract(x, r'=\s*"?([^"\s]+)"?', 1), F.lit(")")))
-    text = F.col("line")
-    heads = F.sum(F.when(text.rlike(r"^\s*IF\b|\(DEFAULT\)"), 1).otherwise(0))
-    from pyspark.sql import Window
-
-    joined = lines.withColumn("rule_id", heads.over(Window.partitionBy(F.lit(0)).orderBy("line_no"))).filter("rule_id > 0")
-    rules = joined.groupBy("rule_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), " ").alias("line"))
-    then = F.regexp_extract("line", r'THEN\s+\S+\s*=\s*"?([^"\s]+)"?', 1)
-    default = F.regexp_extract("line", r'\(DEFAULT\)\s+\S+\s*=\s*"?([^"\s]+)"?', 1)
-    vector = F.regexp_extract("line", r"\[([^\]]*)\]\s*$", 1)
-    value = F.when(text.contains("(DEFAULT)"), F.concat(F.lit("(DEFAULT) "), default)).otherwise(F.concat(F.lit("["), F.array_join(parts, " AND "), F.lit("] THEN "), then))
-    return rules.select("rule_id", F.concat(value, F.lit(" VECTOR ["), vector, F.lit("]")).alias("value"))
+    """file, line_no, value: learned rules, several lines each, as one line ``ASID [(-1 TAG) AND (+2 TAG)] THEN TAG VECTOR [n ...]``.
+
+    lines: file, line_no, line. ASID is the file's name without folders and ending; a context
+    word ``T_minus_1`` gives the sign and the number. ``(DEFAULT)`` lines are rules of their
+    own; what stands before the first rule of a file, and ELSE lines, are left out.
+    """
+    w = F.filter(F.split(F.col("line"), r"[\s]+"), lambda x: x != "")
+    word, tag = F.get(w, F.lit(0)), F.get(w, F.lit(3))
+    context = F.split(F.get(w, F.lit(1)), "_")
+    sign = F.when(F.get(context, F.lit(1)) == "plus", "+").when(F.get(context, F.lit(1)) == "minus", "-").otherwise(F.get(context, F.lit(1)))
+    read = lines.select("file", "line_no", word.alias("word"), tag.alias("tag"), F.concat(F.lit("("), sign, F.coalesce(F.get(context, F.lit(2)), F.lit("")), F.lit(" "), tag, F.lit(")")).alias("part"), F.regexp_extract("line", r"(\[[^\]]*\])", 1).alias("vector"))
+    # files are small and many: a rule is found within its file
+    begun = F.sum(F.when(F.col("word").isin("IF", "(DEFAULT)"), 1).otherwise(0)).over(Window.partitionBy("file").orderBy("line_no"))
+    rules = read.withColumn("rule", begun).filter((F.col("rule") > 0) & F.col("word").isin("IF", "AND", "THEN", "(DEFAULT)"))
+    lines_of = F.array_sort(F.collect_list(F.struct("line_no", "word", "tag", "part", "vector")))
+    one = rules.groupBy("file", "rule").agg(lines_of.alias("x")).withColumn("first", F.get("x", F.lit(0))).withColumn("then", F.try_element_at(F.filter("x", lambda l: l.word.isin("THEN", "(DEFAULT)")), F.lit(1)))
+    when = F.array_join(F.transform(F.filter("x", lambda l: l.word.isin("IF", "AND")), lambda l: l.part), " AND ")
+    when = F.when(F.col("first.word") == "IF", when).otherwise("(DEFAULT)")
+    asid = F.regexp_extract("file", r"([0-9A-Za-z]*)\.[^./]*$", 1)
+    value = F.concat(asid, F.lit(" ["), when, F.lit("] THEN "), F.col("then.tag"), F.lit(" VECTOR "), F.col("then.vector"))
+    return one.filter("then is not null").select("file", F.col("first.line_no").alias("line_no"), value.alias("value"))

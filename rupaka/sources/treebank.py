@@ -10,7 +10,8 @@ from rupaka.functions.text import SPACES, cases, feature_map, nfc, normalized, s
 
 def treebank_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, line of all ``.dat`` files below a folder, or of a single file with any name."""
-    single = path.rsplit("/", 1)[-1].count(".") > 0
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    single = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
     reader = spark.read if single else spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.dat")
     whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("i", "line"))
     return whole.select("file", (F.col("i") + 1).alias("line_no"), "line")

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from rupaka.operators import disambiguate as dis, evaluate as ev, gender
 from rupaka.plans.catalogue import hindi_lexicon
+from rupaka.plans import evaluation
 from rupaka.sources import lexicons, rules, sinks, treebank
 from rupaka.streaming import sentences
 
@@ -53,8 +54,10 @@ def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([("क", "M2", "certain")], "word string, paradigm_class string, confidence string")
     full = sinks.complete_lexicon(old, p.select("word", "paradigm_class", F.col("tier").alias("confidence"), "probability")).orderBy("block", "word").collect()
     assert [(r.word, r.probability) for r in full] == [("क", ""), ("ख", "0.9000"), ("ग", "0.5000")]
-    lines = spark.createDataFrame([(1, 'IF   T-1 = "NN"'), (2, '  AND  T+1 = "VM"'), (3, 'THEN  class = "JJ"  [3 0 1]'), (4, '(DEFAULT) class = "NN" [1 2 3]')], "line_no int, line string")
-    assert [r.value for r in sinks.reformatted_rules(lines).orderBy("rule_id").collect()] == ["[(T-1 NN) AND (T+1 VM)] THEN JJ VECTOR [3 0 1]", "(DEFAULT) NN VECTOR [1 2 3]"]
+    text = ["**RULE FILE**", "IF    word_minus_1 = verb", "  AND word_plus_2 = noun", "THEN  curr_word = verb_aux  [0 466 33]", "ELSE", "IF word_minus_1 = pnoun", "THEN  curr_word = pnoun  [1 0 0]", "ELSE", "(DEFAULT) curr_word = verb  [0 0 424]"]
+    lines = spark.createDataFrame([(f, k, x) for f in ("/a.b/101.ord", "/a.b/21.ord") for k, x in enumerate(text, 1)], "file string, line_no int, line string")
+    want = ["[(-1 verb) AND (+2 noun)] THEN verb_aux VECTOR [0 466 33]", "[(-1 pnoun)] THEN pnoun VECTOR [1 0 0]", "[(DEFAULT)] THEN verb VECTOR [0 0 424]"]
+    assert [r.value for r in sinks.reformatted_rules(lines).orderBy("file", "line_no").collect()] == [f"{i} {v}" for i in (101, 21) for v in want]
     errors = spark.createDataFrame([("a", "b", "no_analysis", "f", 3)], "surface string, gold_lemma string, failure_type string, file string, line_no int").withColumn("analyses", F.array().cast("array<struct<lemma:string>>"))
     assert "[no_analysis] a  gold b (M2)  predicted -  f:3" in sinks.error_sample(errors, F.lit("M2")).first().value
 
@@ -102,3 +105,26 @@ def test_without_the_corpus_operators(spark, monkeypatch):
         assert "suffix_analysis" in e.queries() and not any(k.startswith("op") for k in e.queries())
     importlib.reload(e)
     assert e.entry(spark).count() > 0
+
+
+def test_folder_names_with_dots_and_reports(spark, tmp_path):
+    """From a treebank folder to error lists, under two lexicons."""
+    bank = [
+        "1\tघर\tघर\tn\tNN\tgen-m|num-sg|case-d\t0\troot\t_\t_", "2\tरातों\tरात\tn\tNN\tgen-f|num-pl|case-o\t1\tx\t_\t_", "3\tफल\tफल\tn\tNN\tgen-m\t1\tx\t_\t_", "4\tकम\tकम\tn\tNN", "",
+        "1\tगया\tजा\tv\tVM\tgen-m|num-sg|tam-yA\t0\troot\t_\t_",
+    ]
+    put(tmp_path / "bank-0.05/a.b/x.dat", "\n".join(bank) + "\n")
+    put(tmp_path / "one.tsv", "word\tparadigm_class\nघर\tM2\nरात\tM2\n")
+    put(tmp_path / "two.tsv", "word\tparadigm_class\nघर\tM2\nरात\tF3\n")
+    one, two, compared = evaluation.evaluate_nouns(spark, str(tmp_path / "bank-0.05"), str(tmp_path / "one.tsv"), str(tmp_path / "two.tsv"))
+    assert {r.failure_type: r.n for r in one.failures.collect()} == {"no_analysis": 1, "wrong_features": 1}
+    assert {r.metric: (round(r.a, 6), round(r.b, 6)) for r in compared.collect()} == {"coverage": (0.666667, 0.666667), "lemma": (0.666667, 0.666667), "full": (0.333333, 0.666667)}
+    rows = {r.surface: r for r in one.errors.collect()}
+    assert one.errors.columns == ["surface", "gold_lemma", "gold_gender", "gold_number", "gold_case", "paradigm", "confidence", "failure_type", "n_predicted", "pred_lemmas", "file", "line_no"]
+    assert rows["रातों"].pred_lemmas == "रात" and rows["रातों"].gold_gender == "F" and rows["फल"].paradigm == "OOV" and one.skipped.first().skipped == 1
+    assert any("[wrong_features] रातों  gold रात (M2)  predicted रात" in r.value for r in one.sample(5, "paradigm", "paradigm").collect())
+    two.write(str(tmp_path / "out"))
+    assert [r.surface for r in lexicons.read_tsv(spark, str(tmp_path / "out/errors")).collect()] == ["फल"]
+    verbs = evaluation.evaluate_verbs(spark, str(tmp_path / "bank-0.05"))
+    assert [(r.total, r.full_ok) for r in verbs.metrics.filter("dim = 'all'").collect()] == [(1, 1)] and verbs.errors.count() == 0
+    assert verbs.errors.columns[:9] == ["surface", "gold_lemma", "gold_asp", "gold_ten", "gold_mood", "gold_gen", "gold_num", "gold_per", "vtype"]
