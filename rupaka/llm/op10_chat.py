@@ -7,10 +7,11 @@ empty messages in between. Each has a cost, and the cheapest repair wins; among
 cheap ones a hash of conversation, turn and state decides, so the result is one and
 the same however the rows are spread.
 
-Turns are sorted over the cluster by conversation and turn. What a task holds of a
-conversation is a segment, and a segment acts on the automaton's states as a matrix of
-least costs. Matrices combine, so a conversation that holds a third of all rows is
-repaired in as many tasks as its rows lie in; only its matrices meet in one place, one for each task.
+Turns are sorted over the cluster by conversation and turn, and cut into segments of up to
+``SEGMENT`` rows. What a segment holds of a conversation acts on the automaton's states as a
+matrix of least costs. Matrices combine, so a conversation that holds a third of all rows is
+repaired in as many tasks as its rows lie in; only its matrices meet in one place, one for
+each segment.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BEFORE = {1: (START,), 2: (START, 1, 3), 3: (2,)}
 #: A cost unit is worth this much of the tie-breaking hashes, of which there are at most as many as turns.
 UNIT = 1 << 96
 NEVER = None
+#: Rows of a segment, as a power of two: what a worker holds at once.
+SEGMENT = 14
 
 
 @lru_cache(maxsize=None)
@@ -164,25 +167,26 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     part is the turn's share of the rendered conversation: the parts of a
     conversation in order of turn, joined, are its rendering. action: take, merge or relabel, with
     +merge or +insert; inserted: roles of the empty messages put in before (or, after the
-    last turn, at the end). Turns are ordered by turn, then role and text; null turns
-    come first. Roles other than system, user and assistant, and null, get the role that
+    last turn, at the end). Turns are ordered by turn, then role, then a hash of the text; null
+    turns come first. Roles other than system, user and assistant, and null, get the role that
     costs least. Null texts are empty. Rows without conv_id form one conversation.
     """
     small_batches(turns.sparkSession)
-    order = ("conv_id", "turn", "role", "text")
+    order = ("conv_id", "turn", "role", "h", "text")
     t = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    # which task has a row is fixed by writing it down
-    t = written(t.repartitionByRange(*order).withColumn("seg", F.spark_partition_id()))
+    # ranges are found from samples of the keys, so a text's hash stands in for it; which segment has a row is fixed by writing it down
+    t = t.withColumn("h", F.xxhash64("text")).repartitionByRange("conv_id", "turn", "role", "h").sortWithinPartitions(*order)
+    t = written(t.withColumn("seg", F.shiftright(F.monotonically_increasing_id(), SEGMENT)))
     in_order = lambda df: df.repartition("seg").sortWithinPartitions("seg", *order)
-    schema = pa.schema([("conv_id", pa.int64()), ("seg", pa.int32()), ("matrix", pa.list_(pa.string()))])
+    schema = pa.schema([("conv_id", pa.int64()), ("seg", pa.int64()), ("matrix", pa.list_(pa.string()))])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, seg), rows in _runs(batches, ("conv_id", "seg", "turn", "role")):
             flat = [None if c is NEVER else str(c) for r in segment_matrix(conv, rows) for c in r]
             yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(([conv], [seg], [flat]), schema.types)], schema=schema)
 
-    m = in_order(t).select("conv_id", "seg", "turn", "role").mapInArrow(matrices, "conv_id long, seg int, matrix array<string>")
-    ends_schema = pa.schema([("conv_id", pa.int64()), ("seg", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("final", pa.bool_())])
+    m = in_order(t).select("conv_id", "seg", "turn", "role").mapInArrow(matrices, "conv_id long, seg long, matrix array<string>")
+    ends_schema = pa.schema([("conv_id", pa.int64()), ("seg", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("final", pa.bool_())])
 
     def ends(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("seg").to_pylist(), group.column("matrix").to_pylist()))
@@ -191,8 +195,8 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         cols = group.column("conv_id").to_pylist(), [s for s, _ in rows], [a for a, _ in states], [b for _, b in states], [k == len(rows) - 1 for k in range(len(rows))]
         return pa.Table.from_arrays([pa.array(c, ty) for c, ty in zip(cols, ends_schema.types)], schema=ends_schema)
 
-    # one matrix for each task that holds part of a conversation: no more rows than tasks
-    e = m.groupBy("conv_id").applyInArrow(ends, "conv_id long, seg int, first int, last int, final boolean")
+    # one matrix for each segment that holds part of a conversation
+    e = m.groupBy("conv_id").applyInArrow(ends, "conv_id long, seg long, first int, last int, final boolean")
     joined = t.join(e.select(F.col("conv_id").alias("c"), F.col("seg").alias("s"), "first", "last", "final"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seg") == F.col("s")))
     out = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("action", pa.string()), ("inserted", pa.string()), ("part", pa.string())])
 
