@@ -8,7 +8,8 @@ plus the ring's outer radius. A query visits rings in order of their bound, in
 rounds; after each round its k-th best score so far cuts off all rings whose bound is
 below it. So results are exact however badly the rings separate.
 
-Pivots are fitted on a bounded sample; every vector is indexed. The driver and the
+Pivots are fitted on a bounded sample; their number grows with the square root of the
+number of vectors, up to PIVOTS. Every vector is indexed. The driver and the
 broadcasts hold pivots and ring summaries, PIVOTS * RINGS rows at most. Rings are cut
 into blocks of about BLOCK vectors by a hash of the id, so a vector that a third of
 all rows share makes many blocks and no hot task.
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rupaka.llm.common import small_batches, table, written
 
-SAMPLE, PIVOTS, RINGS, BLOCK = 4096, 16, 8, 2048
+SAMPLE, LEAST, PIVOTS, RINGS, BLOCK = 4096, 16, 64, 8, 2048
 #: Ranks of the rings that each round visits, in order of their bound.
-ROUNDS = ((0, 1), (1, 8), (8, 1 << 30))
+ROUNDS = ((0, 1), (1, 8), (8, 64), (64, 1 << 30))
 EXACT = float(1 << 53)
 
 
@@ -44,8 +45,9 @@ def widened(rows: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def pivots_of(vectors: DataFrame, sample: int = SAMPLE, count: int = PIVOTS) -> np.ndarray:
-    """Up to ``count`` means of groups of a bounded sample, taken by a hash of the id."""
+def pivots_of(vectors: DataFrame, sample: int = SAMPLE, count: int | None = None) -> np.ndarray:
+    """Up to ``count`` means of groups of a bounded sample, taken by a hash of the id; by default LEAST to PIVOTS, by the square root of the number of vectors."""
+    count = count or int(min(PIVOTS, max(LEAST, (vectors.count() / RINGS) ** 0.5 / 8)))
     rows = [np.array(r.vec) for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").collect()]
     if not rows:
         return np.zeros((1, 0))
@@ -201,7 +203,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
             now = now.withColumn("least", F.lit(None).cast("long"))
         else:
             floor_ = kept.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-            now = now.join(floor_, "query_id", "left").filter("least is null or bound >= least")
+            now = written(now.join(floor_, "query_id", "left").filter("least is null or bound >= least"))
+            if now.isEmpty():  # the bounds have cut off all that is left of these ranks, and so all behind them
+                break
         now = now.join(asked, "query_id").withColumn("sub", F.explode(F.sequence(F.lit(0), n_subs.cast("int") - 1)))
         found = _search(data.union(now.select("cell", "ring", "sub", F.lit(True).alias("query"), "query_id", "vec", "least")), k)
         found = found if kept is None else found.union(kept.select("query_id", "vec_id", "score"))
