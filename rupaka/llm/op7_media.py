@@ -154,11 +154,11 @@ def demux(data: bytes) -> Stream:
                 random, jump = bool(data[i + 1] & 0x40), bool(data[i + 1] & 0x80)
             i += 1 + n
         if (before := last.get(pid)) is not None and not jump:
-            if cc == before:
+            if cc == before[0] and data[i : at + PACKET] == before[1]:
                 s.repeated += 1
                 continue
-            s.gaps += cc != (before + 1) & 15
-        last[pid] = cc
+            s.gaps += cc != (before[0] + 1) & 15  # with the counter of the packet before, sixteen or more are lost
+        last[pid] = cc, data[i : at + PACKET]
         start, body = data[at + 1] & 0x40, data[i : at + PACKET]
         if pid == 0 or pid in s.programs.values():
             if start:
@@ -254,8 +254,8 @@ def digests(read: DataFrame) -> DataFrame:
     """The digest columns of what from_media() gives."""
     points = F.size(F.filter("random_access", lambda x: x))
     feature = F.format_string(
-        "program=%d;pid=%d;type=%d;packets=%d;repeated=%d;gaps=%d;damaged=%d;units=%d;points=%d;first=%d;last=%d",
-        "program", "pid", "stream_type", "packets", "repeated", "gaps", "damaged", F.size("timestamps"), points, F.array_min("timestamps"), F.array_max("timestamps"),
+        "program=%d;pid=%d;type=%d;packets=%d;repeated=%d;gaps=%d;damaged=%d;units=%d;points=%d;first=%d;last=%d;crc=%d",
+        "program", "pid", "stream_type", "packets", "repeated", "gaps", "damaged", F.size("timestamps"), points, F.array_min("timestamps"), F.array_max("timestamps"), F.crc32("payload"),
     )
     return read.select(
         "doc_id",
