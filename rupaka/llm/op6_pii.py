@@ -7,8 +7,9 @@ where a run of their characters starts (or where the last match ended), which fi
 the same leftmost matches in linear time and without recursion on long runs.
 
 Kinds and their base confidence: email 0.9, ip 0.7, card 0.9 (16 to 19 digits,
-Luhn), phone 0.8 (8 to 15 digits); these always stay. The method adds iban 0.8
-(mod-97) and local_phone 0.3 (ten digits in groups, outside other spans). A context
+Luhn), phone 0.8 (8 to 15 digits); these always stay. The method adds iban (mod-97;
+0.8 with the length of its country, else 0.4) and local_phone 0.3 (ten digits in
+groups, outside other spans). A context
 word of the kind within ``NEAR`` characters adds 0.2; added kinds stay from
 ``KEEP`` on.
 """
@@ -65,14 +66,18 @@ def mod97(code: Column) -> Column:
     return F.aggregate(turned, F.lit(0), step) == 1
 
 
+def iban_length(number: Column) -> Column:
+    """The length of account numbers of a number's country, 34 if it isn't known."""
+    return F.coalesce(*(F.when(F.left(number, F.lit(2)).isin(*c.split()), F.lit(n)) for n, c in IBAN_LENGTHS.items()), F.lit(34))
+
+
 def iban_at(ahead: Column) -> Column:
     """The account number that ``ahead`` (68 characters at least, or up to the text's end) starts with, or null.
 
     Of the lengths at which no letter or digit follows, the country's own is tried
     first, then the others from the longest; the first that passes mod97() counts.
     """
-    own = F.coalesce(*(F.when(F.left(ahead, F.lit(2)).isin(*c.split()), F.lit(n)) for n, c in IBAN_LENGTHS.items()), F.lit(34))
-    lengths = F.concat(F.array(own), F.sequence(F.lit(34), F.lit(15), F.lit(-1)))
+    lengths = F.concat(F.array(iban_length(ahead)), F.sequence(F.lit(34), F.lit(15), F.lit(-1)))
     cut = lambda n: F.regexp_substr(ahead, F.concat(F.lit(r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){"), (n - 4).cast("string"), F.lit("}(?![A-Za-z0-9])")))
     return F.get(F.filter(F.transform(lengths, cut), lambda x: F.when(x.isNotNull(), CONFIRMS["iban"](x)).otherwise(False)), F.lit(0))
 
@@ -140,7 +145,8 @@ def _proposed(df: DataFrame, kind: str, pattern: str, tried, confidence: float,
 
     def scored(x: Column, start: Column, before: Column, after: Column) -> Column:
         near = F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR))))
-        score = F.lit(confidence) + F.when(near.rlike(words), 0.2).otherwise(0.0)
+        sure = F.lit(confidence) if kind != "iban" else F.when(F.length(F.replace(x, F.lit(" "), F.lit(""))) == iban_length(x), confidence).otherwise(confidence / 2)
+        score = sure + F.when(near.rlike(words), 0.2).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), (start + F.length(x)).cast("long").alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
     def span(x: Column, i: Column) -> Column:
@@ -180,17 +186,26 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with every span replaced by its kind in brackets; where spans overlap, the one that starts first (then the longest) counts."""
+    """``text`` with every span replaced by its kind in brackets; spans that overlap are one, named by the one that starts first (then the longest).
+
+    Spans are worked off in groups of CHUNK, each on its own stretch of the text.
+    """
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x.start.alias("start"), (-x.end).alias("back"), x.kind.alias("kind"))))
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    groups = lambda all_: F.transform(F.sequence(F.lit(0), ((F.size(all_) - 1) / CHUNK).cast("int")), lambda c: F.slice(all_, c * CHUNK + 1, CHUNK))
+    state = lambda at: F.struct(at.cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    cut = lambda t, start, n: F.substr(t, (start + 1).cast("int"), n.cast("int"))
+
+    def group(acc: Column, xs: Column) -> Column:
+        def step(now: Column, x: Column, piece: Column) -> Column:
+            fresh = F.struct((-x.back).alias("at"), F.concat(now.parts, F.array(cut(piece, now.at - acc.at, x.start - now.at), F.concat(F.lit("["), F.upper(x.kind), F.lit("]")))).alias("parts"))
+            return F.when(x.start >= now.at, fresh).otherwise(F.struct(F.greatest(now.at, -x.back).alias("at"), now.parts.alias("parts")))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substr(text, (acc.at + 1).cast("int"), (x.start - acc.at).cast("int"))
-        fresh = F.struct((-x.back).alias("at"), F.concat(acc.parts, F.array(gap, F.concat(F.lit("["), F.upper(x.kind), F.lit("]")))).alias("parts"))
-        return F.when(x.start >= acc.at, fresh).otherwise(acc)
+        end = F.greatest(acc.at, F.array_max(F.transform(xs, lambda x: -x.back)))
+        done = lambda piece: F.aggregate(xs, state(acc.at), lambda now, x: step(now, x, piece), lambda now: F.struct(now.at.alias("at"), F.concat(acc.parts, F.array(F.array_join(now.parts, ""))).alias("parts")))
+        return _let(cut(text, acc.at, end - acc.at), done)
 
-    out = F.aggregate(ordered, state, step, lambda acc: F.concat(F.array_join(acc.parts, ""), F.substr(text, (acc.at + 1).cast("int"))))
-    return F.when(F.size(spans) > 0, out).otherwise(text)
+    whole = lambda all_: F.aggregate(groups(all_), state(F.lit(0)), group, lambda acc: F.concat(F.array_join(acc.parts, ""), F.substr(text, (acc.at + 1).cast("int"))))
+    return F.when(F.size(spans) > 0, _let(ordered, whole)).otherwise(text)
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
