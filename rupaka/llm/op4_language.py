@@ -26,6 +26,8 @@ from rupaka.llm.op1_token_counts import MODEL
 WORD, GAP = re.compile(r"[^\W\d_]{1,1024}"), re.compile(r"[\W\d_]")
 #: Characters of a text that are split into words at once, up to the next gap between words.
 PART = 1 << 16
+#: Words that are looked up at once.
+GROUP = 1 << 19
 #: Labelled documents of each language that the model is fitted on, at most; rounds of fitting; words that one worker remembers.
 SAMPLE, ROUNDS, REMEMBERED = 8000, 3, 1 << 17
 #: Parts in which a language's rows are ranked before all are.
@@ -49,7 +51,10 @@ def parts_of(text: str) -> Iterator[str]:
 
 def words_of(text: str | None) -> list[str]:
     """The runs of letters of a text, in lower case, each with a space in front; runs without any letter (such as superscripts) don't count."""
-    return [" " + w for w in WORD.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    found = WORD.findall((text or "").lower())
+    if not "".join(found).isalpha():
+        found = [w for w in found if any(map(str.isalpha, w))]
+    return [" " + w for w in found]
 
 
 def forward(lat: Lattice, words: list[str], p: np.ndarray) -> np.ndarray:
@@ -88,14 +93,19 @@ def expected(lat: Lattice, words: list[str], counts: np.ndarray, p: np.ndarray)
                 run = run * scale[end - 1 - k] if end - 1 - k > 0 else run
             scale[end] = alpha[end]
             alpha[end] = 1
+        pieces, shares = [], []
         for end in range(width, 0, -1):
             run = scale[end].copy()
             for k, w in enumerate(weight[end - 1]):
                 if w is not None:
                     share = w * beta[end] / run
                     beta[end - 1 - k] += share
-                    np.add.at(out, edges[end - 1][k], counts[members] * share)
+                    ids = edges[end - 1][k]
+                    on = ids >= 0
+                    pieces.append(ids[on])
+                    shares.append((counts[members] * share)[on])
                 run = run * scale[end - 1 - k] if end - 1 - k > 0 else run
+        out += np.bincount(np.concatenate(pieces), np.concatenate(shares), lat.size + 1)
     out[-1] = 0
     return out[:-1]
 
@@ -115,13 +125,19 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
 
 
 def sample_words(labelled: DataFrame, most: int = SAMPLE, table_of=written) -> DataFrame:
-    """lang, word, n: the word counts of ``most`` rows of each language of labelled (doc_id, text, lang), taken by a hash of doc_id; rows without letters don't count."""
+    """lang, word, n: the word counts of at most ``most`` ids of each language of labelled (doc_id, text, lang), taken by a hash of doc_id; rows without letters don't count."""
     labelled = labelled.filter(F.col("text").rlike(r"\p{L}"))
     # a hash of the hash, so that the choice isn't tied to other uses of it; cut in parts first, so that a large language is no hot task
-    order = F.xxhash64(F.xxhash64("doc_id")), F.col("doc_id")
-    part = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS))).orderBy(*order)
-    few = labelled.select("doc_id", "lang").withColumn("k", F.row_number().over(part)).filter(F.col("k") <= most)
-    chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("k") <= most).select("doc_id", "lang").distinct()
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS))).orderBy("h", "doc_id")
+    few = labelled.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64(F.xxhash64("doc_id"))).withColumn("k", F.row_number().over(part)).filter(F.col("k") <= most)
+    few = table_of(few.select("doc_id", "lang", "h", F.shiftright("h", 56).alias("bin")))
+    # 256 bins of the hash: those before the last are taken whole, only the one that the bound falls in is ranked
+    bins = few.groupBy("lang", "bin").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumn("room", most - before).filter("room > 0").select(F.col("lang").alias("b_lang"), F.col("bin").alias("b_bin"), "room", (F.col("n") <= F.col("room")).alias("whole"))
+    held = few.join(F.broadcast(bins), (F.col("lang") == F.col("b_lang")) & (F.col("bin") == F.col("b_bin")))
+    last = held.filter("not whole").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter("k <= room")
+    chosen = held.filter("whole").select("doc_id", "lang").union(last.select("doc_id", "lang"))
     rows = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
@@ -194,7 +210,7 @@ class Scorer:
                 if words := words_of(part):
                     waiting.append((k, words))
                     size += len(words)
-                if size >= self.most // 2:
+                if size >= GROUP:
                     self._add(waiting, out)
                     waiting, size = [], 0
         self._add(waiting, out)
