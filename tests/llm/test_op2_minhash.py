@@ -3,6 +3,7 @@ import random
 import pytest
 
 from rupaka.llm import op2_minhash as op2
+from rupaka.llm.common import Bitmap
 from rupaka.llm.components import components
 from tests.llm.common import same
 
@@ -56,3 +57,43 @@ def test_chains_of_edits(spark):
 
 def test_empty_table(spark):
     assert op2.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def linked(docs, percent=80):
+    sets = {i: {" ".join(w[k : k + 2]) for k in range(max(1, len(w) - 1))} if (w := (t or "").lower().split()) else set() for i, t in docs}
+    return sets, [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+
+
+def test_large_family_around_a_text_that_is_not_its_smallest(spark):
+    """Copies that differ from each other but not from their text: the text has a larger id than most, so no bucket's smallest member is the centre."""
+    r = random.Random(4)
+    text = [f"w{k}" for k in range(200)]
+    docs = []
+    for i in range(400):
+        t = list(text)
+        for k in r.sample(range(0, 200, 2), 9):  # every change takes two shingles: 0.83 to the text, 0.69 to others
+            t[k] = f"x{i}.{k}"
+        docs.append((i, " ".join(t)))
+    docs.append((1000, " ".join(text)))
+    sets, links = linked(docs)
+    assert len(links) < 800 and set(closure(sets, links).values()) == {0}
+    got = {x.doc_id: x.component_id for x in op2.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2).collect()}
+    assert got == closure(sets, links)
+
+
+def test_null_and_repeated_ids_and_a_long_text(spark):
+    long = " ".join(f"w{k * k % 10007}.{k // 3}" for k in range(150_000))
+    same_, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(5, same_), (None, same_), (None, None), (3, same_), (3, same_), (7, other), (9, long), (11, long + " end"), (12, ""), (12, "")]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, key string, c int")
+    got = sorted(((x.doc_id or 0, x.n_shingles, x.component_id or 0, x.kept) for x in op2.near_duplicates(df, shingle=2).collect()))
+    n = len(set(zip(long.split(), long.split()[1:])))
+    assert got == sorted([(5, 5, 3, False), (0, 5, 0, True), (0, 0, 0, True), (3, 5, 3, True), (3, 5, 3, True), (7, 5, 7, True), (9, n, 9, True), (11, n + 1, 9, False), (12, 0, 12, True), (12, 0, 12, True)])
+
+
+def test_bitmap(spark):
+    ids = spark.createDataFrame([(i,) for i in [1, -5, 1 << 60, 77]], "i long")
+    df = spark.range(-100, 100).union(spark.createDataFrame([(1 << 60,), (None,)], "id long"))
+    got = {r.id for r in Bitmap(ids, "i").marked(df, "id").filter("marked").collect()}
+    assert got == {1, -5, 1 << 60, 77}
+    assert Bitmap(ids.limit(0), "i").marked(df, "id").filter("marked").count() == 0

@@ -14,7 +14,7 @@ def test_stages_against_brute_force(spark, sf):
     before = {r.doc_id: r for r in raw.collect()}
     texts = {r.doc_id: r.text for r in first.collect()}
     lost = [r for i, r in before.items() if i not in texts]
-    assert len(lost) <= 0.02 * len(before) and not any(r.text and len(r.text) > 200 and r.text.isalpha() for r in lost)
+    assert not any(c.isalpha() for r in lost for c in r.text or ""), [r.text for r in lost if r.text][:3]
 
     second = written(cp.deduplicate(spark, first, sf))
     sets = {}
