@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128
 
-from rupaka.llm.common import MIX, Bitmap, Scratch, id_text, mix, table, window_hashes, word_hashes, written
+from rupaka.llm.common import MIX, Bitmap, Scratch, id_text, mix, released, table, window_hashes, word_hashes, written
 from rupaka.llm.components import components
 
 HALVES, DEPTH, SEED = 12, 3, 20240607
@@ -62,8 +62,8 @@ def half_keys(sets: np.ndarray, halves: int = HALVES, depth: int = DEPTH) -> np.
     """The 2 * halves half keys of a set of hashes."""
     odd, flip = _functions(2 * halves * depth)
     least = np.full(len(odd), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i in range(0, len(sets), 1 << 14):
-        x = (sets[None, i : i + (1 << 14)] ^ flip) * odd
+    for i in range(0, len(sets), 1 << 12):
+        x = (sets[None, i : i + (1 << 12)] ^ flip) * odd
         least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1))
     least = least.reshape(2 * halves, depth)
     key = np.zeros(2 * halves, np.uint64)
@@ -76,6 +76,7 @@ def signatures(docs: DataFrame, size: int, halves: int = HALVES, depth: int = DE
     """doc_id, n_shingles, set_hash (16 bytes in hexadecimal), keys (array of half keys) of (doc_id, text). Empty sets have null hash and keys."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.string()), ("keys", pa.list_(pa.int64()))])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -91,6 +92,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     """rep, shingles (array of hashes, sorted as unsigned numbers) of (doc_id, text)."""
     schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = max(1, b.num_rows * 8 * 600 // (32 << 20))
@@ -106,6 +108,7 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     limit = 1 - percent / 100 + 1e-9
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, left = None, []
 

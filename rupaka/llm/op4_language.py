@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from rupaka.llm.common import Scratch, small_batches, table, written
+from rupaka.llm.common import Scratch, released, small_batches, table, written
 from rupaka.llm.lattice import Lattice, lattice
 from rupaka.llm.op1_token_counts import MODEL
 
@@ -27,7 +27,7 @@ WORD, GAP = re.compile(r"[^\W\d_]{1,1024}"), re.compile(r"[\W\d_]")
 #: Characters of a text that are split into words at once, up to the next gap between words.
 PART = 1 << 16
 #: Words that are looked up at once.
-GROUP = 1 << 19
+GROUP = 1 << 17
 #: Labelled documents of each language that the model is fitted on, at most; rounds of fitting; words that one worker remembers.
 SAMPLE, ROUNDS, REMEMBERED = 8000, 3, 1 << 17
 #: Parts in which a language's rows are ranked before all are.
@@ -141,6 +141,7 @@ def sample_words(labelled: DataFrame, most: int = SAMPLE, table_of=written) -> D
     rows = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: Counter = Counter()
@@ -167,6 +168,7 @@ def _fitted(counted: DataFrame, vocabulary: str) -> Model:
     for _ in range(ROUNDS if langs else 0):
         shared = counted.sparkSession.sparkContext.broadcast(p)
 
+        @released
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lat = lattice(vocabulary)
             sums = {}
@@ -258,6 +260,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in other))
     names = [*(["text"] if text_col in keep else []), *(f"keep_{c}" for c in other)]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         score = scorer(m)

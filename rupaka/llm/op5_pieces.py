@@ -25,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
-from rupaka.llm.common import mix, MIX, small_batches, table
+from rupaka.llm.common import mix, MIX, released, small_batches, table
 from rupaka.llm.lattice import Lattice, lattice
 from rupaka.llm.op1_token_counts import MODEL, by_bytes
 
 #: Words with the spaces before them, spaces at the end, single line ends: no piece goes past one of these.
 CHUNK = re.compile(r" *[^ \n]+| +|\n")
 #: Characters of a word; a longer one counts as several words, which bounds the lattice. UTF-8 bytes of the texts whose distinct words share lattices.
-WIDEST, GROUP = 1024, 4 << 20
+WIDEST, GROUP = 1024, 2 << 20
 #: Weight of a character written as bytes.
 BYTES = 1e-12
 SEED = 5
@@ -202,6 +202,7 @@ def encode(docs: DataFrame, model: str = MODEL, smoothing: float = 1.0, seed: in
     """
     schema = pa.schema([*_KEYED, ("ids", pa.list_(pa.int32()))])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts, ids in _encoded(batches, model, smoothing, seed):
             yield pa.RecordBatch.from_arrays([keys, texts, pa.array(ids, schema.types[2])], schema=schema)
@@ -213,6 +214,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """Adds ``decoded`` to (doc_id, text, ids); null ids decode to null."""
     schema = pa.schema([*_KEYED, ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = [None if not x.is_valid else decode_ids(np.asarray(x.values).tolist(), model) for x in b.column("ids")]
@@ -225,6 +227,7 @@ def round_trip(docs: DataFrame, model: str = MODEL, smoothing: float = 1.0, seed
     """doc_id, ids, decoded, lossless (whether ids decode to the text; null if it is null): encode() and decode() in one worker, so that a text crosses once."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("lossless", pa.bool_())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts, ids in _encoded(batches, model, smoothing, seed):
             decoded = pa.array([None if x is None else decode_ids(x.tolist(), model) for x in ids], pa.string())

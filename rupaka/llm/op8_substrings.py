@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rupaka.llm.common import Bitmap, Scratch, id_text, table, window_hashes, word_hashes, written
+from rupaka.llm.common import Bitmap, Scratch, id_text, released, table, window_hashes, word_hashes, written
 
 WINDOW, GRAM = 50, 25
 
@@ -80,6 +80,7 @@ def reference_blocks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """doc_id, anchor, block, start, n: the blocks of (doc_id, text); start counts words, n windows."""
     schema = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("block", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
@@ -95,6 +96,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, anchor, hashed, start: the single windows of ``open`` (array of anchor, start, n) of (doc_id, text, open)."""
     schema = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("hashed", pa.int64()), ("start", pa.int32())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
@@ -210,6 +212,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, window: int = WINDOW, id_co
     factor = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ref", pa.int64()), ("ref_start", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("cut", cut_type), ("factors", factor)])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
