@@ -10,38 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rupaka.functions import tables as t, text as x
 from rupaka.functions.features import FIELDS, irregular_features, suffix_readings
-from rupaka.plans import evaluation
+from rupaka.plans import evaluation, readers  # noqa: F401 - readers registers its own queries
+from rupaka.plans.registry import ORACLES, QUERIES, frame, query, table, values
 from rupaka.operators import bigram, context, disambiguate as dis, evaluate as ev, gender, lexicon_etl as etl, nouns, verbs
 from rupaka.sources import lexicons, rules, sinks, treebank
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def values(name: str, columns: str, rows: list) -> str:
-    """A literal table of a WITH clause."""
-    one = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float, bool)) else "'" + v.replace("'", "''") + "'"
-    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
-
-
-def frame(spark: SparkSession, columns: str, rows: list) -> DataFrame:
-    return rules.literal(spark, rows, columns)
-
-
 # RE2 and Java spell the same class of white space differently
 SPLIT = r"[\s\x0b\x1c-\x1f\x{85}\pZ]+"
 TOKENS = rf"list_filter(string_split_regex(text, '{SPLIT}'), lambda t: t <> '')"
@@ -502,18 +475,11 @@ def confidence_tiers(spark, sf_dir):
     return s.select("tier", "paradigm_class", "n", F.round("share", 9).alias("share"))
 
 
-@query("ngram_features", f"""WITH {DOC_TYPES}, u AS (SELECT DISTINCT reverse(lower(word)) AS w FROM types WHERE NOT regexp_matches(word, '[^\\x00-\\x7f]')),
+@query("ngram_features", f"""WITH {DOC_TYPES}, u AS (SELECT DISTINCT array_to_string(list_reverse(regexp_extract_all(lower(word), '(?s).[़्]*')), '') AS w FROM types),
 g AS (SELECT w, unnest(list_distinct(flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, length(w) - n + 2), lambda i: w[i:i + n - 1]))))) AS gram FROM u)
 SELECT gram, count(*)::BIGINT AS n FROM g GROUP BY gram HAVING count(*) >= 2""")
 def ngram_features(spark, sf_dir):
-    w = doc_tokens(spark, sf_dir).filter(~F.col("word").rlike(r"[^\x00-\x7f]")).select(F.lower("word").alias("word")).distinct()
-    g = w.select(F.explode(F.array_distinct(x.ngrams(x.reversed_graphemes("word")))).alias("gram"))
-    return g.groupBy("gram").agg(F.count("*").alias("n")).filter("n >= 2")
-
-
-@query("ngram_features_all")
-def ngram_features_all(spark, sf_dir):
-    """The n-grams of all words, whatever their script; ngram_features and its SQL see ASCII words only."""
+    """The n-grams of all words, whatever their script."""
     w = doc_tokens(spark, sf_dir).select(F.lower("word").alias("word")).distinct()
     g = w.select(F.explode(F.array_distinct(x.ngrams(x.reversed_graphemes("word")))).alias("gram"))
     return g.groupBy("gram").agg(F.count("*").alias("n")).filter("n >= 2")

@@ -16,11 +16,16 @@ def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     lines.write.mode(mode).text(path)
 
 
+def routed(predictions: DataFrame) -> DataFrame:
+    """word, paradigm_class, confidence, probability, route of predictions: predicted (high and medium), review (low) or abstain (the rest)."""
+    route = F.when(F.col("tier").isin("high", "medium"), "predicted").when(F.col("tier") == "low", "review").otherwise("abstain")
+    return predictions.select("word", "paradigm_class", F.concat(F.lit("predicted_"), "tier").alias("confidence"), F.format_string("%.4f", "probability").alias("probability"), route.alias("route"))
+
+
 def write_tiers(predictions: DataFrame, folder: str) -> None:
-    """predicted (high and medium), review (low) and abstain (the rest), a table each, sorted by word."""
-    for name, tiers in (("predicted", ("high", "medium")), ("review", ("low",)), ("abstain", ("abstain",))):
-        rows = predictions.filter(F.col("tier").isin(*tiers))
-        write_tsv(rows.select("word", "paradigm_class", F.concat(F.lit("predicted_"), "tier").alias("confidence"), F.format_string("%.4f", "probability").alias("probability")), f"{folder}/{name}", "word")
+    """A table for each route of routed(), sorted by word. The predictions are evaluated once for each: write them down first where that is dear."""
+    for name in ("predicted", "review", "abstain"):
+        write_tsv(routed(predictions).filter(F.col("route") == name).drop("route"), f"{folder}/{name}", "word")
 
 
 def complete_lexicon(existing: DataFrame, predicted: DataFrame) -> DataFrame:

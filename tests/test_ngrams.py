@@ -15,7 +15,7 @@ def grams(texts):
 
 
 def test_all_words_of_documents(spark, sf):
-    got = {r.gram: r.n for r in catalogue.ngram_features_all(spark, sf).collect()}
+    got = {r.gram: r.n for r in catalogue.ngram_features(spark, sf).collect()}
     want = grams(r.text for r in catalogue.table(spark, sf, "documents").select("text").collect())
     assert got == want and any(ord(c) > 127 for g in got for c in g)
 
@@ -24,7 +24,7 @@ def test_devanagari_words(spark, tmp_path):
     texts = ["लड़की लड़के पढ़ो", "कर्म धर्म été Été", None, ""]
     rows = [(i, t, "hi", "s") for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.gram: r.n for r in catalogue.ngram_features_all(spark, str(tmp_path)).collect()}
+    got = {r.gram: r.n for r in catalogue.ngram_features(spark, str(tmp_path)).collect()}
     assert got == grams(texts) and got["मर्"] == 2
 
 
