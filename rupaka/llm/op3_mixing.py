@@ -23,8 +23,10 @@ from rupaka.llm.common import table, written
 
 #: Sections of the exponent's interval that one step evaluates at once, and steps: the interval shrinks to 64 ** -6.
 SECTIONS, STEPS = 64, 6
-#: Target block size; blocks in all sources together, about; sources up to which their table is broadcast.
+#: Target block size; blocks in all sources together, about; rows of a table of sources that are broadcast at most.
 BLOCK_TOKENS, MOST_BLOCKS, FEW_SOURCES = 65_536, 1 << 20, 50_000
+#: Join keys over which the rows of a source that have no tokens, and need no block, are spread.
+SPREAD = 1 << 20
 NO_SOURCE = "(none)"
 
 
@@ -91,6 +93,18 @@ def temperature(totals: DataFrame, evenness: float = 0.5, max_repeat: float = 4.
     return round(max(exponent, _first_within(totals, one.n, limit)), 6), fixed, one.n, one.k
 
 
+def _with_sources(d: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with the columns of their source. Sources that hold a FEW_SOURCES-th of all rows, of which there can't be more than that, are
+    broadcast, and so are all if they are no more; any others are joined by a shuffle, none of them large enough to be a hot key."""
+    one = sources.agg(F.count("*").alias("k"), F.sum("rows").alias("rows")).first()
+    if one.k <= FEW_SOURCES:
+        return d.join(F.broadcast(sources), "source")
+    large = F.col("rows") * FEW_SOURCES >= one.rows
+    most = d.join(F.broadcast(sources.filter(large)), "source")
+    rest = d.join(F.broadcast(sources.filter(large).select("source")), "source", "left_anti")
+    return most.unionByName(rest.join(sources.filter(~large), "source"))
+
+
 def mix(docs: DataFrame, evenness: float = 0.5, max_repeat: float = 4.0, budget: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """How often each document is in the mix: doc_id, source, n_tokens, weight, n_copies, block, and the columns of docs named in ``keep``.
 
@@ -103,9 +117,9 @@ def mix(docs: DataFrame, evenness: float = 0.5, max_repeat: float = 4.0, budget:
     """
     # narrow columns (and what is kept) and a row for each source, written down: the texts are read once, not in every step of the bisection
     d = written(sized(docs, id_col, text_col, source_col, keep))
-    all_totals = written(d.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
+    all_totals = written(d.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")))
     totals = all_totals.filter("tokens > 0")
-    exponent, fixed, tokens, k = temperature(totals, evenness, max_repeat, budget)
+    exponent, fixed, tokens, _ = temperature(totals, evenness, max_repeat, budget)
     share = F.pow(F.col("tokens") / F.lit(float(max(1, tokens))), F.lit(exponent))
     whole = totals.agg(F.sum(share).alias("whole")).first().whole or 1.0
     block = max(BLOCK_TOKENS, -(-tokens // MOST_BLOCKS))
@@ -116,14 +130,16 @@ def mix(docs: DataFrame, evenness: float = 0.5, max_repeat: float = 4.0, budget:
         .withColumn("left", F.when(F.col("tokens") > 0, F.col("quota") - F.col("passes") * F.col("tokens")).otherwise(0))
         .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block))))
     )
-    d = d.join(F.broadcast(t) if k <= FEW_SOURCES else t, "source")
+    d = _with_sources(d, t)
     d = d.withColumn("block", F.pmod(hashed(F.lit(seed), F.col("doc_id"), F.col("spread")), F.col("blocks")))
     # the last, partial pass: blocks in permuted order up to the quota
     blocks = d.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"), F.first("left").alias("left"))
     order = Window.partitionBy("source").orderBy(hashed(F.lit(seed + 1), F.col("source"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = blocks.withColumn("room", F.col("left") - F.sum("block_tokens").over(order) + F.col("block_tokens")).select("source", "block", "block_tokens", "room")
-    d = d.join(blocks, ["source", "block"])
-    inner = Window.partitionBy("source", "block").orderBy(hashed(F.lit(seed + 2), F.col("doc_id"), F.col("spread")), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # rows without tokens take no room, however many there are: they meet no block
+    key = F.when(F.col("n_tokens") > 0, F.col("block")).otherwise(-1 - F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
+    d = d.withColumn("key", key).join(blocks.withColumnRenamed("block", "key"), ["source", "key"], "left")
+    inner = Window.partitionBy("source", "key").orderBy(hashed(F.lit(seed + 2), F.col("doc_id"), F.col("spread")), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = F.when(F.col("room") <= 0, False).when(F.col("block_tokens") <= F.col("room"), True).otherwise(F.sum("n_tokens").over(inner) <= F.col("room"))
     copies = F.col("passes") + F.when(F.col("n_tokens") == 0, F.when(F.col("passes") == 0, 1).otherwise(0)).otherwise(within.cast("long"))
     return d.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), copies.cast("long").alias("n_copies"), F.col("block").cast("long").alias("block"), *(F.col(f"keep_{c}").alias(c) for c in keep))

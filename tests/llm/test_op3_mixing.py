@@ -33,3 +33,16 @@ def test_edges(spark):
     out = rows(spark, [(1, None, None, "", ""), (2, None, "", "", ""), (3, "s", "one two", "", ""), (3, "s", "one two", "", ""), (None, "s", "x", "", "")])
     assert out[1].n_copies >= 1 and out[3].n_copies >= 1 and out[1].source == m.NO_SOURCE
     assert rows(spark, []) == {}
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    data = [(i, None if i % 50 == 0 else "a" if i % 3 else f"s{i % 40}", None if i % 7 == 0 else "w " * (1 + i % 11), "x", "y") for i in range(2000)]
+    whole = rows(spark, data, evenness=0.5)
+    monkeypatch.setattr(m, "FEW_SOURCES", 3)
+    assert rows(spark, data, evenness=0.5) == whole and len({r.source for r in whole.values()}) > 3
+
+
+def test_a_source_without_tokens(spark):
+    out = rows(spark, [(i, "empty" if i % 2 else "s", "" if i % 2 else "one two three", "", "") for i in range(400)])
+    assert {r.n_copies for r in out.values() if r.source == "empty"} == {1} and {r.block for r in out.values() if r.source == "empty"} == {0}
+    assert len(out) == 400
