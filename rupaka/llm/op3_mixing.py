@@ -25,8 +25,6 @@ from rupaka.llm.common import table, written
 SECTIONS, STEPS = 64, 6
 #: Target block size; blocks in all sources together, about; rows of a table of sources that are broadcast at most.
 BLOCK_TOKENS, MOST_BLOCKS, FEW_SOURCES = 65_536, 1 << 20, 50_000
-#: Join keys over which the rows of a source that have no tokens, and need no block, are spread.
-SPREAD = 1 << 20
 NO_SOURCE = "(none)"
 
 
@@ -105,14 +103,35 @@ def _with_sources(d: DataFrame, sources: DataFrame) -> DataFrame:
     return most.unionByName(rest.join(sources.filter(~large), "source"))
 
 
+def _placed(d: DataFrame, seed: int) -> DataFrame:
+    """Adds a row's block, the block's place in the source's permutation (at) and the row's place in the block (h)."""
+    d = d.withColumn("block", F.pmod(hashed(F.lit(seed), F.col("doc_id"), F.col("spread")), F.col("blocks")))
+    return d.withColumn("at", hashed(F.lit(seed + 1), F.col("source"), F.col("block"))).withColumn("h", hashed(F.lit(seed + 2), F.col("doc_id"), F.col("spread")))
+
+
+def _with_stops(d: DataFrame, t: DataFrame, seed: int) -> DataFrame:
+    """Adds to each source where its last, partial pass stops: the first block that the quota doesn't hold (cut_at, cut_block), the room left there, and the
+    first row of that block that goes beyond it (stop). Only narrow rows are aggregated; whole rows then need no shuffle, since what comes before is in."""
+    narrow = d.select("doc_id", "source", "n_tokens", "spread").filter("n_tokens > 0")
+    blocks = _placed(_with_sources(narrow, t), seed).groupBy("source", "at", "block").agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left"))
+    order = Window.partitionBy("source").orderBy("at", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = blocks.withColumn("room", F.col("left") - F.sum("n").over(order) + F.col("n")).filter("n > room")
+    cuts = past.groupBy("source").agg(F.min(F.struct("at", "block", "room")).alias("c")).select("source", F.col("c.at").alias("cut_at"), F.col("c.block").alias("cut_block"), F.col("c.room").alias("room"))
+    t = written(t.join(cuts, "source", "left"))
+    # one block for each source, repeated rows as one
+    inside = _placed(_with_sources(narrow, t), seed).filter("block = cut_block and room > 0").groupBy("source", "h", "doc_id").agg(F.sum("n_tokens").alias("n"), F.first("room").alias("room"))
+    inner = Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    beyond = inside.withColumn("upto", F.sum("n").over(inner)).filter("upto > room")
+    return written(t.join(beyond.groupBy("source").agg(F.min(F.struct("h", "doc_id")).alias("stop")), "source", "left"))
+
+
 def mix(docs: DataFrame, evenness: float = 0.5, max_repeat: float = 4.0, budget: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """How often each document is in the mix: doc_id, source, n_tokens, weight, n_copies, block, and the columns of docs named in ``keep``.
 
     One row for each row of ``docs``; tokens are words. A null source counts as one
     source named NO_SOURCE. Null and empty texts have no tokens, cost nothing and
     are in every pass, at least once. Repeated rows are told apart by nothing and
-    share their fate as far as the budget allows; rows without an id are dealt out by
-    their texts. An empty table gives an empty result.
+    share their fate; rows without an id are dealt out by their texts. An empty table gives an empty result.
     Parameters: see temperature(); seed: of the permutations.
     """
     # narrow columns (and what is kept) and a row for each source, written down: the texts are read once, not in every step of the bisection
@@ -130,18 +149,11 @@ def mix(docs: DataFrame, evenness: float = 0.5, max_repeat: float = 4.0, budget:
         .withColumn("left", F.when(F.col("tokens") > 0, F.col("quota") - F.col("passes") * F.col("tokens")).otherwise(0))
         .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block))))
     )
-    d = _with_sources(d, t)
-    d = d.withColumn("block", F.pmod(hashed(F.lit(seed), F.col("doc_id"), F.col("spread")), F.col("blocks")))
-    # the last, partial pass: blocks in permuted order up to the quota
-    blocks = d.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"), F.first("left").alias("left"))
-    order = Window.partitionBy("source").orderBy(hashed(F.lit(seed + 1), F.col("source"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = blocks.withColumn("room", F.col("left") - F.sum("block_tokens").over(order) + F.col("block_tokens")).select("source", "block", "block_tokens", "room")
-    # rows without tokens take no room, however many there are: they meet no block
-    key = F.when(F.col("n_tokens") > 0, F.col("block")).otherwise(-1 - F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
-    d = d.withColumn("key", key).join(blocks.withColumnRenamed("block", "key"), ["source", "key"], "left")
-    inner = Window.partitionBy("source", "key").orderBy(hashed(F.lit(seed + 2), F.col("doc_id"), F.col("spread")), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = F.when(F.col("room") <= 0, False).when(F.col("block_tokens") <= F.col("room"), True).otherwise(F.sum("n_tokens").over(inner) <= F.col("room"))
-    copies = F.col("passes") + F.when(F.col("n_tokens") == 0, F.when(F.col("passes") == 0, 1).otherwise(0)).otherwise(within.cast("long"))
+    d = _placed(_with_sources(d, _with_stops(d, t, seed)), seed)
+    whole_block = F.col("cut_at").isNull() | (F.struct("at", "block") < F.struct("cut_at", "cut_block"))
+    within = (F.col("block") == F.col("cut_block")) & (F.col("room") > 0) & (F.struct("h", "doc_id") < F.col("stop"))
+    last = F.when(F.col("n_tokens") == 0, F.col("passes") == 0).otherwise(whole_block | F.coalesce(within, F.lit(False)))
+    copies = F.col("passes") + last.cast("long")
     return d.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), copies.cast("long").alias("n_copies"), F.col("block").cast("long").alias("block"), *(F.col(f"keep_{c}").alias(c) for c in keep))
 
 
