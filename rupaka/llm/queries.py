@@ -16,6 +16,7 @@ MODULES = (
     "op9_topk",
     "op10_chat",
     "op12_fim",
+    "op13_phrases",
 )
 
 
