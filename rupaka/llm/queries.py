@@ -15,6 +15,7 @@ MODULES = (
     "op8_substrings",
     "op9_topk",
     "op10_chat",
+    "op11_pq",
     "op12_fim",
     "op13_phrases",
 )
