@@ -50,25 +50,25 @@ def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 5
     text. A table without rows gives none.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    key = [F.xxhash64("doc_id", "text", F.lit(k)).alias(f"k{k}") for k in (1, 2)]  # rows that share it are equal
+    key = [F.xxhash64("doc_id", "text").alias("k"), F.length("text").alias("chars")]  # rows that share id and key are equal
     h1, h2, h3, h4 = draws(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)
     sizes = F.transform(F.regexp_extract_all("text", F.lit(unit), F.lit(0)), lambda u: F.length(u))
     # the outer form, since the other one gets a filter that matches the pattern a second time
     units = d.select("doc_id", *key, F.posexplode_outer(sizes).alias("at", "size")).filter("at is not null")
-    units = units.groupBy("doc_id", "k1", "k2", "at").agg(F.max("size").alias("size"))  # rows that repeat have equal units
-    so_far = Window.partitionBy("k1", "k2").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    units = units.groupBy("doc_id", "k", "chars", "at").agg(F.max("size").alias("size"))  # rows that repeat have equal units
+    so_far = Window.partitionBy("k", "chars").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     ends = units.withColumn("end", F.sum("size").over(so_far))
-    counts = units.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
-    named = lambda df, **to: df.withColumnsRenamed(to)
-    asked = named(counts, k1="a1", k2="a2").withColumn("cut", F.array_sort(F.array(h1 % (F.col("n") + 1), h2 % (F.col("n") + 1))))
-    asked = asked.select("a1", "a2", "n", "chars", F.posexplode("cut").alias("which", "ordinal"))
-    # a cut before the first unit meets none
-    met = asked.join(ends, (F.col("a1") == F.col("k1")) & (F.col("a2") == F.col("k2")) & (F.col("ordinal") == F.col("at") + 1), "left")
+    counts = units.groupBy(F.col("k").alias("own"), F.col("chars").alias("length")).agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n"), F.sum("size").alias("tiled"))
+    asked = counts.withColumn("cut", F.array_sort(F.array(h1 % (F.col("n") + 1), h2 % (F.col("n") + 1))))
+    asked = asked.select("own", "length", "n", "tiled", F.posexplode("cut").alias("which", "ordinal"))
+    # the unit whose number is the ordinal, as a range: all these rows stay parted by document. A cut before the first unit meets none
+    here = (F.col("at") < F.col("ordinal")) & (F.col("ordinal") <= F.col("at") + 1)
+    met = asked.join(ends, (F.col("own") == F.col("k")) & (F.col("length") == F.col("chars")) & here, "left")
     sides = (F.max(F.when(F.col("which") == k, F.coalesce("end", F.lit(0)))).cast("int").alias(c) for k, c in enumerate(("low", "high")))
-    offsets = met.groupBy("a1", "a2").agg(F.max("n").alias("n"), F.max("chars").alias("chars"), *sides)
-    joined = d.select("*", *key).join(offsets, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")), "left")
+    offsets = met.groupBy("own", "length").agg(F.max("n").alias("n"), F.max("tiled").alias("tiled"), *sides)
+    joined = d.select("*", *key).join(offsets, (F.col("k") == F.col("own")) & (F.col("chars") == F.col("length")), "left")
     text = F.col("text")
-    plain = (F.coalesce("chars", F.lit(0)) != F.length("text")) | (text == "") | F.contains(text, F.lit(PREFIX)) | F.contains(text, F.lit(SUFFIX)) | F.contains(text, F.lit(MIDDLE)) | (h3 % 100 >= rate)
+    plain = (F.coalesce("tiled", F.lit(0)) != F.col("chars")) | (text == "") | F.contains(text, F.lit(PREFIX)) | F.contains(text, F.lit(SUFFIX)) | F.contains(text, F.lit(MIDDLE)) | (h3 % 100 >= rate)
     form = F.when(plain, PLAIN).when(h4 % 100 < spm, SPM).otherwise(PSM)
     out = joined.select("doc_id", "text", F.coalesce("n", F.lit(0)).cast("long").alias("n"), form.alias("form"), "low", "high")
     cut = lambda c: F.when(F.col("form") != PLAIN, c)
