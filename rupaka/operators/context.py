@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from rupaka.functions import tables as t
-from rupaka.functions.text import cases
+from rupaka.operators.terms import Terms
 
 
 def sentence() -> WindowSpec:
@@ -19,17 +18,15 @@ def whole() -> WindowSpec:
     return sentence().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def within(words: str) -> Column:
-    return F.col("token").isin(*words.split())
-
-
 def previous(condition: Column, value: Column) -> Column:
     """The value at the nearest token before that meets the condition."""
     return F.last(F.when(condition, value), ignorenulls=True).over(sentence().rowsBetween(Window.unboundedPreceding, -1))
 
 
 def following(condition: Column, value: Column) -> Column:
-    return F.first(F.when(condition, value), ignorenulls=True).over(sentence().rowsBetween(1, Window.unboundedFollowing))
+    """The value at the nearest token after that meets the condition. Backwards, since a frame that ends at the last row is read anew for every row."""
+    backwards = Window.partitionBy("sent_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(condition, value), ignorenulls=True).over(backwards)
 
 
 def compounds(df: DataFrame, pairs: list[str], triples: list[str]) -> DataFrame:
@@ -44,23 +41,24 @@ def compounds(df: DataFrame, pairs: list[str], triples: list[str]) -> DataFrame:
     return df.drop("_three", "_in3", "_two")
 
 
-PAIRS = [f"{a} {b}" for a, bs in t.COMPOUNDS.items() for b in bs.split()]
-
-
-def signals(tokens: DataFrame) -> DataFrame:
-    """Adds oblique, gender_signal, number_signal, negation, agreement to sent_id, pos, token, verb_candidates.
+def signals(tokens: DataFrame, terms: Terms | None = None) -> DataFrame:
+    """Adds oblique, gender_signal, number_signal, negation, agreement to sent_id, pos, token, starts, term, verb_candidates.
 
-    agreement: (gender, number) of the first agreeing reading of the nearest verb to the right.
+    terms: the term table, by default the engine's own; starts, term: as terms.marked() gives
+    them for its compounds. agreement: (gender, number) of the first agreeing reading of
+    the nearest verb to the right. Words of compounds signal nothing by themselves.
     """
-    df = compounds(tokens, PAIRS, t.LONG_COMPOUNDS)
-    free, content = ~F.col("in_compound"), ~within(t.CLITICS)
-    number = F.when(within(t.SINGULAR_QUANTIFIERS), "SG").when(within(t.PLURAL_QUANTIFIERS), "PL").when(F.col("token") == "का", "SG")
-    after = following(content, F.struct(F.col("starts_compound").alias("compound"), (free & within(t.OBLIQUE_POSTPOSITIONS)).alias("simple")))
-    before = previous(content, F.struct(F.when(free, cases(F.col("token"), {k: g for k, (g, _) in t.GENITIVES.items()})).alias("gender"), F.when(free, number).alias("number")))
+    roles = (terms or Terms.hindi()).roles(tokens.sparkSession)
+    df = tokens.join(roles.withColumnRenamed("token", "_word"), F.col("token") == F.col("_word"), "left").drop("_word")
+    df = df.withColumnRenamed("oblique", "_obliging")
+    has = lambda role: F.coalesce(role, F.lit(False))
+    free, content = F.col("term").isNull(), ~has("clitic")
+    after = following(content, F.struct(F.col("starts").alias("compound"), (free & has("_obliging")).alias("simple")))
+    before = previous(content, F.struct(F.when(free, F.col("gives_gender")).alias("gender"), F.when(free, F.col("gives_number")).alias("number")))
     agreeing = F.filter("verb_candidates", lambda c: c.gender.isNotNull() & c.number.isin("S", "P"))
     df = df.withColumn("_pair", F.when(free, F.get(F.transform(agreeing, lambda c: F.struct(c.gender.alias("gender"), F.when(c.number == "S", "SG").otherwise("PL").alias("number"))), F.lit(0))))
     df = df.withColumn("_after", after).withColumn("_before", before)
-    oblique = content & (F.coalesce(F.col("_after.compound"), F.lit(False)) | (F.coalesce(F.col("_after.simple"), F.lit(False)) & ~within(t.POSTPOSITIONS)))
-    negation = F.first(F.when(free, cases(F.col("token"), t.NEGATIONS)), ignorenulls=True).over(whole())
-    df = df.withColumn("oblique", oblique).withColumn("gender_signal", F.when(content, F.col("_before.gender"))).withColumn("number_signal", F.when(content, F.col("_before.number")))
-    return df.withColumn("negation", negation).withColumn("agreement", following(F.col("_pair").isNotNull(), F.col("_pair"))).drop("_pair", "_after", "_before")
+    oblique = content & (has("_after.compound") | (has("_after.simple") & ~has("postposition")))
+    df = df.withColumn("negation", F.first(F.when(free, F.col("negates")), ignorenulls=True).over(whole())).withColumn("oblique", oblique)
+    df = df.withColumn("gender_signal", F.when(content, F.col("_before.gender"))).withColumn("number_signal", F.when(content, F.col("_before.number")))
+    return df.withColumn("agreement", following(F.col("_pair").isNotNull(), F.col("_pair"))).drop("_pair", "_after", "_before", "gives_gender", "gives_number", "negates", "genitive", "_obliging")

@@ -1,19 +1,21 @@
 """Sentence disambiguation: analyse distinct words, join back, read the context, score, propagate.
 
 Without a bigram model every token is scored on its own columns. The model's state
-(the last class that was certain) and coordination run through a sentence in order;
-they are folds over the sentence's array of tokens, so a sentence must fit in a task.
-Split long texts into sentences first.
+(the last class that was certain) and coordination run through a sentence in order,
+as steps from states to states (see scan). By default a sentence is one segment; with
+``levels`` texts of any length run in segments side by side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rupaka.functions import tables as t
 from rupaka.functions.text import cases, last_char, tokens
 from rupaka.operators import context
 from rupaka.operators.nouns import CANDIDATE as NOUN, analyze_nouns, noun_candidates
+from rupaka.operators.scan import scanned
+from rupaka.operators.terms import Terms, marked
 from rupaka.operators.verbs import CANDIDATE as VERB, analyze_verbs, verb_candidates
 
 NOUNS = "array<struct<" + ",".join(f"{c}:string" for c in (*NOUN, "source")) + ">>"
@@ -25,16 +27,17 @@ def tokenized(sentences: DataFrame, text: str = "text") -> DataFrame:
     return sentences.select("sent_id", F.posexplode(tokens(text)).alias("pos", "token"))
 
 
-def synthesized(token: Column, gender: Column) -> Column:
-    """The candidates of a word outside the lexicon whose gender a model predicts."""
-    pair = lambda k: cases(last_char(token), {e: p[k] for e, p in t.ENDING_CLASSES.items()}, ("M2", "F3")[k])
+def synthesized(token: Column, gender: Column, endings: dict | None = None, others: tuple[str, str] = ("M2", "F3")) -> Column:
+    """The candidates of a word outside the lexicon whose gender a model predicts. endings: last character to (class if M, class if F); others: the classes of all other words."""
+    endings = t.ENDING_CLASSES if endings is None else endings
+    pair = lambda k: cases(last_char(token), {e: p[k] for e, p in endings.items()}, others[k])
     paradigm = F.when(gender == "M", pair(0)).otherwise(pair(1))
     one = lambda n, c: F.struct(token.alias("lemma"), gender.alias("gender"), F.lit(n).alias("number"), F.lit(c).alias("case"), paradigm.alias("paradigm"), F.lit("predicted").alias("confidence"), F.lit("gender_model").alias("source"))
     return F.array(*(one(n, c) for n in ("SG", "PL") for c in ("DIR", "OBL")))
 
 
 def candidates(toks: DataFrame, lexicon: DataFrame, genders: DataFrame | None = None, noun_rules: DataFrame | None = None, **verbs) -> DataFrame:
-    """Adds noun_candidates and verb_candidates to (sent_id, pos, token). Every distinct word is analysed once.
+    """Adds noun_candidates and verb_candidates to rows with a token. Every distinct word is analysed once.
 
     genders: word, gender (M or F) predicted for words; verbs: rule tables of analyze_verbs().
     """
@@ -114,69 +117,102 @@ def _only(values: Column) -> Column:
     return F.when(F.size(d) == 1, F.get(d, F.lit(0)))
 
 
-FIELDS = ("pos", "token", "noun_candidates", "verb_candidates", "signals_applied", "oblique", "gender_signal", "number_signal", "agreement")
+def with_class_state(tokens: DataFrame, model: dict, score, keys: list[str], at: str = "pos", levels: int = 2) -> DataFrame:
+    """Narrows noun_candidates under a bigram model, one row after the other, and adds ``previous``: the class in force before the row.
 
+    score: a function from a candidate to what it scores without the model. A row changes the class
+    in force if its best candidates are of one class. Classes that the model doesn't have
+    as predecessors give nothing to what follows, so they share the state ``null``.
+    """
+    classes = [None, *sorted(model)]
+    named = F.array(*(F.lit(c).cast("string") for c in classes))
+    under = lambda prev: best(F.col("noun_candidates"), lambda c: score(c) + prior(prev, c.paradigm, model) * 2.0)
 
-def _with_state(sentence: Column, model: dict) -> Column:
-    """Scores the tokens of a sentence one after the other under a bigram model."""
-    kind = lambda x, nouns: F.struct(*((nouns if f == "noun_candidates" else x[f]).alias(f) for f in FIELDS))
-
-    def step(acc: Column, x: Column) -> Column:
-        def after(chosen: Column) -> Column:
-            prev = F.coalesce(_only(F.transform(chosen, lambda c: c.paradigm)), acc.prev)
-            return F.struct(prev.alias("prev"), F.concat(acc.out, F.array(kind(x, chosen))).alias("out"))
-
-        return let(best(x.noun_candidates, lambda c: base_score(c, lambda n: x[n]) + prior(acc.prev, c.paradigm, model) * 2.0), after)
-
-    start = F.struct(F.lit(None).cast("string").alias("prev"), F.filter(sentence, lambda x: F.lit(False)).alias("out"))
-    return F.aggregate(sentence, start, step, lambda acc: acc.out)
-
-
-def _coordinated(sentence: Column) -> Column:
-    """Passes a certain case across each conjunction to an uncertain neighbour, from left to right."""
-    bearing = lambda x: ~x.token.isin(*t.CLITICS.split()) & (F.size(x.noun_candidates) > 0)
-    kind = lambda x, **new: F.struct(*((new[f] if f in new else x[f]).alias(f) for f in FIELDS))
-    positions = F.transform(F.filter(sentence, lambda x: x.token == t.CONJUNCTION), lambda x: x.pos)
-
-    def step(acc: Column, i: Column) -> Column:
-        end = lambda x: F.struct(x.pos.alias("pos"), F.array_distinct(F.transform(x.noun_candidates, lambda c: c["case"])).alias("cases"))
-        left = F.try_element_at(F.transform(F.filter(acc, lambda x: (x.pos < i) & bearing(x)), end), F.lit(-1))
-        right = F.get(F.transform(F.filter(acc, lambda x: (x.pos > i) & bearing(x)), end), F.lit(0))
-
-        def passed(e: Column) -> Column:
-            to_right = (F.size(e.left.cases) == 1) & (F.size(e.right.cases) > 1)
-            to_left = (F.size(e.right.cases) == 1) & (F.size(e.left.cases) > 1)
-            return F.struct(F.when(to_right, e.right.pos).when(to_left, e.left.pos).alias("pos"), F.when(to_right, F.get(e.left.cases, F.lit(0))).when(to_left, F.get(e.right.cases, F.lit(0))).alias("case"))
-
-        def narrowed(x: Column, target: Column) -> Column:
-            some = F.filter(x.noun_candidates, lambda c: c["case"] == target.case)
-            new = kind(x, noun_candidates=some, signals_applied=F.concat(x.signals_applied, F.array(F.concat(F.lit("coordination→"), target.case))))
-            return F.when((x.pos == target.pos) & (F.size(some) > 0), new).otherwise(x)
+    def after(prev: Column, i: Column) -> Column:
+        only = _only(F.transform(under(prev), lambda c: c.paradigm))
+        return F.when(only.isNull(), i).otherwise(F.greatest(F.lit(0), F.array_position(named, only).cast("int") - 1))
 
-        to = let(F.struct(left.alias("left"), right.alias("right")), passed)
-        return let(to, lambda target: F.when(target.pos.isNotNull(), F.transform(acc, lambda x: narrowed(x, target))).otherwise(acc))
+    same = F.sequence(F.lit(0), F.lit(len(classes) - 1))
+    steps = tokens.withColumn("_step", F.when(F.size("noun_candidates") > 0, F.transform(named, after)).otherwise(same))
+    out = scanned(steps, keys, at, "_step", len(classes), 0, levels, "_state").withColumn("previous", F.get(named, F.col("_state")))
+    return out.withColumn("noun_candidates", under(F.col("previous"))).drop("_step", "_state")
 
-    return F.when(F.size(positions) > 0, F.aggregate(positions, sentence, step)).otherwise(sentence)
 
+def coordinated(tokens: DataFrame, keys: list[str], at: str = "pos", cases: tuple[str, ...] = ("DIR", "OBL"), levels: int = 2) -> DataFrame:
+    """Passes a certain case across each conjunction to an uncertain neighbour, from left to right.
 
-def disambiguate(sentences: DataFrame, lexicon: DataFrame, genders: DataFrame | None = None, bigrams: dict | None = None, text: str = "text", **rules) -> DataFrame:
+    Rows have noun_candidates, signals_applied, clitic and conjunction. A conjunction's neighbours are the
+    nearest words on either side that have noun candidates and are no clitics. If one has one
+    case and the other several, the other keeps its candidates of that case (if it has any),
+    which later conjunctions see. One pass: the state is the case, if there is but one, of
+    the last two such words; what a word passes back is read from the word after it.
+    cases: the names of all cases.
+    """
+    n = len(cases) + 1
+    named = F.array(*map(F.lit, cases))
+    before = lambda by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda c: F.last(c, ignorenulls=True).over(before(F.col(at)))
+    behind = lambda c: F.last(c, ignorenulls=True).over(before(F.col(at).desc()))
+    bearing = F.coalesce(~F.col("clitic"), F.lit(True)) & (F.size("noun_candidates") > 0)
+    df = tokens.withColumn("_bears", bearing).withColumn("_and", F.coalesce("conjunction", F.lit(False)))
+    df = df.withColumn("_cases", F.when(F.col("_bears"), F.array_distinct(F.transform("noun_candidates", lambda c: c["case"]))))
+    df = df.withColumn("_ands", F.count_if(F.col("_and") & ~F.col("_bears")).over(Window.partitionBy(*keys).orderBy(at)))
+    df = df.withColumn("_one", ahead(F.when(F.col("_bears"), F.struct("_cases", "_and", "_ands"))))
+    df = df.withColumn("_two", ahead(F.when(F.col("_bears"), F.struct("_one._cases"))))
+    single = F.when(F.size("_cases") == 1, F.array_position(named, F.get("_cases", F.lit(0))).cast("int")).otherwise(0)
+    df = df.withColumn("_own", F.coalesce(single, F.lit(0)))
+
+    def pair(left: Column, left_cases: Column, right: Column) -> tuple[Column, Column]:
+        """The single cases (0: several) of two neighbours after a conjunction."""
+        may = lambda k, own: (F.size(own) > 1) & F.array_contains(own, F.get(named, k - 1))
+        to_right = (left > 0) & (right == 0) & F.coalesce(may(left, F.col("_cases")), F.lit(False))
+        to_left = (right > 0) & (left == 0) & F.coalesce(may(right, left_cases), F.lit(False))
+        return F.when(to_left, right).otherwise(left), F.when(to_right, left).otherwise(right)
+
+    def met(state: Column) -> Column:
+        """The single cases of the word before the last, the last word and this one, after the conjunctions between them. A conjunction that bears a case itself joins its own neighbours."""
+        two, one = (state / n).cast("int"), state % n
+        over = F.coalesce(F.col("_one._and"), F.lit(False))
+        between = F.col("_one").isNotNull() & (F.col("_ands") > F.coalesce("_one._ands", F.lit(0)))
+
+        def second(x: Column) -> Column:
+            first, own = pair(one, F.col("_one._cases"), x.own)
+            return F.struct(x.two.alias("two"), F.when(between, first).otherwise(one).alias("one"), F.when(between, own).otherwise(x.own).alias("own"))
+
+        first, own = pair(two, F.col("_two._cases"), F.col("_own"))
+        return let(F.struct(F.when(over, first).otherwise(two).alias("two"), F.when(over, own).otherwise(F.col("_own")).alias("own")), second)
+
+    states = F.sequence(F.lit(0), F.lit(n * n - 1))
+    step = F.when(F.col("_bears"), F.transform(states, lambda s: let(met(s), lambda x: x.one * n + x.own))).otherwise(states)
+    df = scanned(df.withColumn("_step", step), keys, at, "_step", n * n, 0, levels, "_state")
+    df = df.withColumn("_met", F.when(F.col("_bears"), met(F.col("_state"))))
+    df = df.withColumn("_next", behind(F.col("_met"))).withColumn("_last", behind(F.when(F.col("_bears"), F.struct("_next.two"))))
+    final = F.greatest(F.col("_met.own"), F.coalesce("_next.one", F.lit(0)), F.coalesce("_last.two", F.lit(0)))
+    to = F.when(F.col("_bears") & (F.size("_cases") > 1) & (final > 0), F.get(named, final - 1))
+    df = df.withColumn("_to", to)
+    df = df.withColumn("noun_candidates", F.when(F.col("_to").isNull(), F.col("noun_candidates")).otherwise(F.filter("noun_candidates", lambda c: c["case"] == F.col("_to"))))
+    return df.withColumn("signals_applied", F.when(F.col("_to").isNull(), F.col("signals_applied")).otherwise(F.concat("signals_applied", F.array(F.concat(F.lit("coordination→"), "_to"))))).select(*tokens.columns)
+
+
+def disambiguate(sentences: DataFrame, lexicon: DataFrame, genders: DataFrame | None = None, bigrams: dict | None = None, text: str = "text", terms: Terms | None = None, levels: int = 0, **rules) -> DataFrame:
     """sent_id, pos, token, noun_candidates, verb_candidates, ambiguous, signals_applied for every token of (sent_id, text).
 
     genders: predicted word, gender for words outside the lexicon; bigrams: what
-    bigram.scores() gives; rules: rule tables of candidates(). Sentences that are null or empty have no tokens.
+    bigram.scores() gives; terms: a term table, by default the engine's own; levels: see scan;
+    rules: rule tables of candidates(). Sentences that are null or empty have no tokens.
     """
-    df = context.signals(candidates(tokenized(sentences, text), lexicon, genders, **rules))
+    terms = terms or Terms.hindi()
+    df = context.signals(candidates(marked(sentences, terms, text), lexicon, genders, **rules), terms)
     own = lambda n: F.col(n)
     verbs, verb_labels = filtered_verbs(F.col("verb_candidates"), F.col("negation"))
     df = df.withColumn("signals_applied", F.concat(labels(F.col("noun_candidates"), own), verb_labels)).withColumn("verb_candidates", verbs)
+    score = lambda c: base_score(c, own)
     if bigrams is None:
-        df = df.withColumn("noun_candidates", best(F.col("noun_candidates"), lambda c: base_score(c, own)))
-    # pos is first, so that the array is in order of the sentence; candidates are arrays of structs and compare as such
-    sentence = df.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("s"))
-    if bigrams is not None:
-        sentence = sentence.withColumn("s", _with_state(F.col("s"), bigrams))
-    out = sentence.withColumn("s", _coordinated(F.col("s"))).select("sent_id", F.explode("s").alias("x"))
-    return out.select("sent_id", "x.pos", "x.token", "x.noun_candidates", "x.verb_candidates", ambiguous(F.col("x.noun_candidates"), F.col("x.verb_candidates")).alias("ambiguous"), "x.signals_applied")
+        df = df.withColumn("noun_candidates", best(F.col("noun_candidates"), score))
+    else:
+        df = with_class_state(df, bigrams, score, ["sent_id"], levels=levels)
+    df = coordinated(df, ["sent_id"], levels=levels)
+    return df.select("sent_id", "pos", "token", "noun_candidates", "verb_candidates", ambiguous(F.col("noun_candidates"), F.col("verb_candidates")).alias("ambiguous"), "signals_applied")
 
 
 def resolved(results: DataFrame) -> DataFrame:

@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rupaka.functions import tables as t, text as x
 from rupaka.functions.features import FIELDS, irregular_features, suffix_readings
-from rupaka.plans import evaluation, readers  # noqa: F401 - readers registers its own queries
+from rupaka.plans import evaluation, readers, sequences  # noqa: F401 - readers and sequences register their own queries
 from rupaka.plans.registry import ORACLES, QUERIES, frame, query, table, values
-from rupaka.operators import bigram, context, disambiguate as dis, evaluate as ev, gender, lexicon_etl as etl, nouns, verbs
+from rupaka.operators import bigram, context, disambiguate as dis, evaluate as ev, gender, lexicon_etl as etl, nouns, terms, verbs
 from rupaka.sources import lexicons, rules, sinks, treebank
 
 # RE2 and Java spell the same class of white space differently
 SPLIT = r"[\s\x0b\x1c-\x1f\x{85}\pZ]+"
 TOKENS = rf"list_filter(string_split_regex(text, '{SPLIT}'), lambda t: t <> '')"
 DOC_TYPES = f"types AS (SELECT lang, unnest({TOKENS}) AS word FROM documents)"
-TURN_TOKENS = f"""k AS (SELECT conv_id * 1000 + turn AS sent_id, {TOKENS} AS ts FROM conversations),
+TURN_TOKENS = f"""k AS (SELECT conv_id || ':' || turn AS sent_id, {TOKENS} AS ts FROM conversations),
 tok AS (SELECT sent_id, generate_subscripts(ts, 1) - 1 AS pos, unnest(ts) AS token FROM k)"""
 
 
@@ -28,7 +28,7 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dis.tokenized(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), "text"))
+    return dis.tokenized(table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sent_id"), "text"))
 
 
 @query("tokenize_documents", f"SELECT doc_id, len(ts)::BIGINT AS n_tokens, len(list_distinct(ts))::BIGINT AS n_types, ts[1] AS first_token, ts[-1] AS last_token FROM (SELECT doc_id, {TOKENS} AS ts FROM documents)")
@@ -640,7 +640,7 @@ SIGNAL_ROWS = [
 
 @query("signals_hindi", f"WITH {values('v', 'sent_id, pos, token, oblique, gender_signal, number_signal, negation, verb_gender, verb_number', SIGNAL_ROWS)} SELECT sent_id::BIGINT AS sent_id, pos::INT AS pos, nfc_normalize(token) AS token, oblique, gender_signal, number_signal, negation, verb_gender, verb_number FROM v")
 def signals_hindi(spark, sf_dir):
-    found = context.signals(dis.candidates(dis.tokenized(sentences(spark)), hindi_lexicon(spark)))
+    found = context.signals(dis.candidates(terms.marked(sentences(spark), terms.Terms.hindi()), hindi_lexicon(spark)))
     return found.select("sent_id", "pos", "token", "oblique", "gender_signal", "number_signal", "negation", F.col("agreement.gender").alias("verb_gender"), F.col("agreement.number").alias("verb_number"))
 
 
