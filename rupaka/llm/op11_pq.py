@@ -19,8 +19,9 @@ r"""Embedding near-dedup by product quantisation.
 4. Counts are summed per vector. Of links only what joins something is written: a spanning
    forest of each task's own links, then components over them.
 
-Lists and askers of a cell, members and askers of an entry are split into blocks of
-bounded size by a hash, so no cell or entry is a hot task or must fit in memory.
+Lists stand in shards of bounded size, several cells or a part of one; a vector is sent once to
+each shard that it visits. Askers of a shard, members and askers of an entry are split
+by a hash, so no cell or entry is a hot task or must fit in memory.
 """
 
 from __future__ import annotations
@@ -36,11 +37,11 @@ from rupaka.llm.components import components
 
 #: Classes in the sample; cells at least and at most; subspaces; codes of a subspace.
 SAMPLE, CELLS, PARTS, CODES = 1 << 14, (16, 1024), 8, 256
-#: Entries and askers of a block of a list; members and askers of a block of an entry.
-LIST, ASKERS, MEMBERS, PAIRED = 1 << 14, 1 << 15, 1 << 12, 1 << 14
-SIGMAS, ROUNDS, SEED = 4.0, 8, 20240611
+#: Entries and askers of a block of the lists; members and askers of a block of an entry.
+LIST, ASKERS, MEMBERS, PAIRED = 1 << 13, 1 << 14, 1 << 12, 1 << 14
+SIGMAS, ROUNDS, SEED = 3.0, 8, 20240611
 #: Distances computed at once, and what tables in single precision may be off.
-AT_ONCE, SLIP = 1 << 22, 1e-3
+AT_ONCE, SLIP = 1 << 22, 2e-3
 
 
 def rows_of(column: pa.Array) -> list[np.ndarray]:
@@ -87,7 +88,7 @@ class Model:
         rng = np.random.default_rng(SEED)
         width = max(map(len, rows))
         x, _ = unit(rows, width)
-        cells = int(min(CELLS[1], max(CELLS[0], n_classes**0.5)))
+        cells = int(min(CELLS[1], max(CELLS[0], 2 * n_classes**0.5)))
         self.centres = means(x, cells, rng)
         residual = x - self.centres[nearest(x, self.centres)]
         edges = np.linspace(0, width, min(PARTS, width) + 1).astype(int)
@@ -102,13 +103,14 @@ class Model:
         off = sum(((residual[:, a:b] - book[codes[:, k]]) ** 2).sum(1) for k, ((a, b), book) in enumerate(zip(self.spans, self.books)))
         return codes, off
 
-    def tables(self, x: np.ndarray, cell: int) -> np.ndarray:
-        """Squared distances of each row to every code word of each subspace, in a cell."""
-        residual = x - self.centres[cell]
-        out = np.full((len(self.spans), len(x), CODES), np.inf, np.float32)
-        for k, ((a, b), book) in enumerate(zip(self.spans, self.books)):
-            out[k, :, : len(book)] = squares(residual[:, a:b], book)
-        return out
+    def squares_of(self, codes: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The squared length of what each code of a cell stands for."""
+        words = np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], 1)
+        return ((self.centres[cell] + words) ** 2).sum(1)
+
+    def tables(self, x: np.ndarray) -> list[np.ndarray]:
+        """The products of each row with every code word of each subspace, which hold in all cells: with the product with a cell's centre they sum to the product with a code."""
+        return [(x[:, a:b] @ book.T).astype(np.float32) for (a, b), book in zip(self.spans, self.books)]
 
 
 class Forest:
@@ -126,8 +128,9 @@ class Forest:
 
 
 def coded_classes(classes: DataFrame, model: Model, r: float, reach: float | None) -> DataFrame:
-    """node, m, dim, vec, cell, gid (cell, dimension and code), error, probes (cells to visit) of (node, m, vec)."""
-    schema = pa.schema([("node", pa.int64()), ("m", pa.int64()), ("dim", pa.int32()), ("vec", pa.list_(pa.float64())), ("cell", pa.int32()), ("gid", pa.binary()), ("error", pa.float64()), ("probes", pa.list_(pa.int32()))])
+    """node, m, dim, vec, cell, gid (cell, dimension and code), error, square (of the code's vector), probes (cells to visit) of (node, m, vec)."""
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int32()))
+    schema = pa.schema(zip(("node", "m", "dim", "vec", "cell", "gid", "error", "square", "probes"), types))
     apart = np.sqrt(squares(model.centres, model.centres))
     shared = classes.sparkSession.sparkContext.broadcast((model, apart))
 
@@ -147,11 +150,11 @@ def coded_classes(classes: DataFrame, model: Model, r: float, reach: float | Non
             near = far - far.min(1)[:, None] <= 2 * r * apart[cell] * share[:, None] + 1e-9
             gids = [c.tobytes() + d.tobytes() + k.tobytes() for c, d, k in zip(cell, dims, codes)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), b.column("m"), pa.array(dims), b.column("vec"), pa.array(cell), pa.array(gids, pa.binary()), pa.array(np.sqrt(off + beyond**2)), pa.array([np.flatnonzero(p).astype(np.int32) for p in near], schema.field("probes").type)],
+                [b.column("node"), b.column("m"), pa.array(dims), b.column("vec"), pa.array(cell), pa.array(gids, pa.binary()), pa.array(np.sqrt(off + beyond**2)), pa.array(model.squares_of(codes, cell)), pa.array([np.flatnonzero(p).astype(np.int32) for p in near], schema.field("probes").type)],
                 schema=schema,
             )
 
-    return classes.mapInArrow(run, "node long, m long, dim int, vec array<double>, cell int, gid binary, error double, probes array<int>")
+    return classes.mapInArrow(run, "node long, m long, dim int, vec array<double>, cell int, gid binary, error double, square double, probes array<int>")
 
 
 #: What a task finds: links counted for node a; a link (a, b) that joins something; an entry all of whose members are joined; an entry whose members a must be compared with.
@@ -163,70 +166,89 @@ def found_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), FOUND.types)], schema=FOUND)
 
 
+class List:
+    """The entries of a block: (node, m, dim, gid, error, square)."""
+
+    def __init__(self, entries: list[tuple], model: Model):
+        self.gids = [e[3] for e in entries]
+        self.hub, self.m, self.dim, self.error, self.square = (np.array([e[k] for e in entries]) for k in (0, 1, 2, 4, 5))
+        raw = np.array([np.frombuffer(g, np.uint8) for g in self.gids])
+        cell = raw[:, :4].copy().view(np.int32)[:, 0]
+        order = np.argsort(cell, kind="stable")
+        self.gids = [self.gids[i] for i in order]
+        self.hub, self.m, self.dim, self.error, self.square, cell = (x[order] for x in (self.hub, self.m, self.dim, self.error, self.square, cell))
+        self.codes = raw[order, 8:]
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cells = list(zip(cell[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(cell)]))
+        self.model, self.forest, self.hubs = model, Forest(len(cell)), set()
+
+    def asked(self, some: list[tuple], r: float) -> list[tuple]:
+        """FOUND rows of askers (node, dim, vec, cells)."""
+        model, out = self.model, []
+        x, beyond = unit([s[2] for s in some], model.width)
+        dims, whole = np.array([s[1] for s in some]), (x * x).sum(1) + beyond**2
+        tables, at_centre = model.tables(x), x @ model.centres.T
+        visits = np.zeros(at_centre.shape, bool)
+        for k, s in enumerate(some):
+            visits[k, s[3]] = True
+        sure_q, sure_e, unsure_q, unsure_e = [], [], [], []
+        for cell, low, high in self.cells:
+            asking, codes = np.flatnonzero(visits[:, cell]), self.codes[low:high]
+            step = max(1, AT_ONCE // (high - low))
+            for i in range(0, len(asking), step):
+                q = asking[i : i + step]
+                product = sum((t[q][:, codes[:, k]] for k, t in enumerate(tables)), at_centre[q, cell].astype(np.float32)[:, None])
+                far = np.sqrt(np.maximum(whole[q][:, None] + self.square[low:high] - 2 * product, 0))
+                maybe = (self.dim[low:high] == dims[q][:, None]) & (far - self.error[low:high] <= r + SLIP)
+                a, e = np.nonzero(maybe)
+                sure = far[a, e] + self.error[low:high][e] <= r - SLIP
+                sure_q.append(q[a[sure]])
+                sure_e.append(low + e[sure])
+                unsure_q.append(q[a[~sure]])
+                unsure_e.append(low + e[~sure])
+        sure_q, sure_e, unsure_q, unsure_e = (np.concatenate(v) if v else np.empty(0, int) for v in (sure_q, sure_e, unsure_q, unsure_e))
+        order = np.argsort(sure_q, kind="stable")
+        sure_q, sure_e = sure_q[order], sure_e[order]
+        starts = np.flatnonzero(np.diff(sure_q, prepend=-1))
+        for low, high in zip(starts, [*starts[1:], len(sure_q)]):
+            node, at = some[sure_q[low]][0], sure_e[low:high]
+            out.append((COUNT, node, None, int(self.m[at].sum()), None))
+            out.append((LINK, node, int(self.hub[at[0]]), None, None))
+            out += [(LINK, int(self.hub[p]), int(self.hub[q]), None, None) for p, q in self.forest.joined(at)]
+        for e in set(sure_e.tolist()) - self.hubs:
+            self.hubs.add(e)
+            out.append((HUB, None, int(self.hub[e]), None, self.gids[e]))
+        return out + [(UNSURE, some[q][0], None, None, self.gids[e]) for q, e in zip(unsure_q.tolist(), unsure_e.tolist())]
+
+
 def looked_up(rows: DataFrame, model: Model, r: float) -> DataFrame:
-    """FOUND rows of lists and their askers. rows: cell, sub, ask, asks (bool), node, m, dim, vec, gid, error; entries before askers."""
+    """FOUND rows of lists and their askers. rows: shard, ask, asks (bool), node, m, dim, vec, gid, error, square, probes; entries before askers."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        block, entries, codes, forest, hubs = None, [], None, None, set()
-
-        def closed() -> None:
-            nonlocal codes, forest
-            gids = [e[3] for e in entries]
-            codes = np.array([np.frombuffer(g[8:], np.uint8) for g in gids]).reshape(len(gids), len(model.spans))
-            forest = Forest(len(entries))
-            hubs.clear()
-
-        def asked(cell: int, some: list[tuple]) -> list[tuple]:
-            if codes is None:
-                closed()
-            if not entries:
-                return []
-            hub, m, dims, error = (np.array([e[k] for e in entries]) for k in (0, 1, 2, 4))
-            x, beyond = unit([s[2] for s in some], model.width)
-            out = []
-            step = max(1, AT_ONCE // len(entries))
-            for i in range(0, len(some), step):
-                t = model.tables(x[i : i + step], cell)
-                far = sum((t[k][:, codes[:, k]] for k in range(1, len(t))), t[0][:, codes[:, 0]])
-                far = np.sqrt(far + (beyond[i : i + step] ** 2)[:, None])
-                same = dims == np.array([s[1] for s in some[i : i + step]])[:, None]
-                sure = same & (far + error <= r - SLIP)
-                unsure = same & ~sure & (far - error <= r + SLIP)
-                for k, (node, *_) in enumerate(some[i : i + step]):
-                    at = np.flatnonzero(sure[k])
-                    if len(at):
-                        out.append((COUNT, node, None, int(m[at].sum()), None))
-                        out.append((LINK, node, int(hub[at[0]]), None, None))
-                        out += [(LINK, int(hub[p]), int(hub[q]), None, None) for p, q in forest.joined(at)]
-                        for j in at:
-                            if j not in hubs:
-                                hubs.add(j)
-                                out.append((HUB, None, int(hub[j]), None, entries[j][3]))
-                    out += [(UNSURE, node, None, None, entries[j][3]) for j in np.flatnonzero(unsure[k])]
-            return out
-
+        block, entries, listed = None, [], None
         for b in batches:
             out, waiting = [], []
-            keys = zip(*(b.column(c).to_pylist() for c in ("cell", "sub", "ask")))
-            rest = zip(*(b.column(c).to_pylist() for c in ("asks", "node", "m", "dim", "gid", "error")), b.column("vec"))
-            for key, (asks, node, m, dim, gid, error, vec) in zip(keys, rest):
+            keys = zip(*(b.column(c).to_pylist() for c in ("shard", "ask")))
+            rest = zip(*(b.column(c).to_pylist() for c in ("asks", "node", "m", "dim", "gid", "error", "square")), b.column("vec"), b.column("probes"))
+            for key, (asks, node, m, dim, gid, error, square, vec, probes) in zip(keys, rest):
                 if key != block:
                     if waiting:
-                        out += asked(block[0], waiting)
-                    block, entries, codes, waiting = key, [], None, []
-                if asks:
-                    waiting.append((node, dim, np.asarray(vec.values, dtype=float)))
-                else:
-                    entries.append((node, m, dim, gid, error))
+                        out += listed.asked(waiting, r)
+                    block, entries, listed, waiting = key, [], None, []
+                if not asks:
+                    entries.append((node, m, dim, gid, error, square))
+                elif entries:
+                    listed = listed or List(entries, model)
+                    waiting.append((node, dim, np.asarray(vec.values, dtype=float), np.asarray(probes.values)))
             if waiting:
-                out += asked(block[0], waiting)
+                out += listed.asked(waiting, r)
             if out:
                 yield found_rows(out)
 
-    ranged = rows.repartition("cell", "sub", "ask").sortWithinPartitions("cell", "sub", "ask", "asks")
+    ranged = rows.repartition("shard", "ask").sortWithinPartitions("shard", "ask", "asks")
     return ranged.mapInArrow(run, "kind byte, a long, b long, n long, gid binary")
 
 
@@ -315,13 +337,22 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, reach: float | None = N
             return written(v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
         model = Model([np.array(s.vec) for s in sample], classes.count())
         coded = kept(coded_classes(classes.select("node", "m", "vec"), model, r, reach))
-        entries = kept(coded.groupBy("cell", "gid").agg(F.min("node").alias("node"), F.sum("m").alias("m"), F.count("*").alias("size"), F.first("dim").alias("dim"), F.max("error").alias("error")))
-        visits = coded.select("node", "dim", "vec", F.explode("probes").alias("cell"))
-        # a row for each cell: CELLS[1] at most
-        subs = entries.groupBy("cell").agg(F.ceil(F.count("*") / LIST).alias("subs"))
-        cells = kept(coded.select(F.explode("probes").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / ASKERS).alias("asks_n")).join(subs, "cell"))
-        lists = entries.join(F.broadcast(cells), "cell").select("cell", own("gid", "subs", 1).alias("sub"), blocks("asks_n").alias("ask"), F.lit(False).alias("asks"), "node", "m", "dim", F.lit(None).cast("array<double>").alias("vec"), "gid", "error")
-        askers = visits.join(F.broadcast(cells), "cell").select("cell", blocks("subs").alias("sub"), own("node", "asks_n", 2).alias("ask"), F.lit(True).alias("asks"), "node", F.lit(None).cast("long").alias("m"), "dim", "vec", F.lit(None).cast("binary").alias("gid"), F.lit(None).cast("double").alias("error"))
+        entries = kept(coded.groupBy("cell", "gid").agg(F.min("node").alias("node"), F.sum("m").alias("m"), F.count("*").alias("size"), F.first("dim").alias("dim"), F.max("error").alias("error"), F.max("square").alias("square")))
+        # entries stand in order of their cells, in shards of LIST; a row for each cell, CELLS[1] at most, tells which shards have some of it
+        counts = {c.cell: c.n for c in entries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        edges = np.concatenate([[0], np.cumsum([counts.get(c, 0) for c in range(len(model.centres))])]).tolist()
+        ints = lambda values: F.array(*(F.lit(int(v)) for v in values))
+        first, size = ints(edges[:-1]), ints(max(1, b - a) for a, b in zip(edges, edges[1:]))
+        shard = ((F.get(first, F.col("cell")) + F.pmod(F.xxhash64("gid"), F.get(size, F.col("cell")))) / LIST).cast("int")
+        ranges = F.array(*(F.sequence(F.lit(a // LIST), F.lit((b - 1) // LIST)) if b > a else F.array().cast("array<int>") for a, b in zip(edges, edges[1:])))
+        visited = F.array_distinct(F.flatten(F.transform("probes", lambda c: F.get(ranges, c))))
+        visits = coded.select("node", "dim", "vec", "probes", F.explode(visited).alias("shard"))
+        parts = kept(visits.groupBy("shard").agg(F.ceil(F.count("*") / ASKERS).alias("asks_n")).withColumnRenamed("shard", "part"))
+        none = lambda **kinds: (F.lit(None).cast(k).alias(c) for c, k in kinds.items())
+        lists = entries.withColumn("shard", shard).join(parts, F.col("shard") == F.col("part"))
+        lists = lists.select("shard", blocks("asks_n").alias("ask"), F.lit(False).alias("asks"), "node", "m", "dim", *none(vec="array<double>"), "gid", "error", "square", *none(probes="array<int>"))
+        askers = visits.join(parts, F.col("shard") == F.col("part"))
+        askers = askers.select("shard", own("node", "asks_n", 2).alias("ask"), F.lit(True).alias("asks"), "node", *none(m="long"), "dim", "vec", *none(gid="binary", error="double", square="double"), "probes")
         found = kept(looked_up(lists.union(askers), model, r))
         unsure = kept(found.filter(F.col("kind") == UNSURE).select(F.col("a").alias("node"), "gid"))
         wanted = unsure.groupBy("gid").agg(F.ceil(F.count("*") / PAIRED).alias("asks_n"))
