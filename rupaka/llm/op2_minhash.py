@@ -6,7 +6,7 @@ second. So HALVES ** 2 tables of 2 * DEPTH minhashes need only 2 * HALVES * DEPT
 minhashes (72 in place of 864). Two sets with similarity s share a key unless all
 halves of one side differ: at 0.8 that happens to 4 pairs in 10,000, at 0.85 to 2 in 100,000.
 
-1. Equal sets are one class from the start, represented by the smallest id; only
+1. Equal sets are one class from the start, represented by one row of its smallest id; only
    representatives get table keys, and only of half keys that two of them or more have.
    Keys are aggregated with partial sums; every member of a bucket is paired with the
    bucket's smallest member only.
@@ -73,19 +73,20 @@ def half_keys(sets: np.ndarray, halves: int = HALVES, depth: int = DEPTH) -> np.
 
 
 def signatures(docs: DataFrame, size: int, halves: int = HALVES, depth: int = DEPTH) -> DataFrame:
-    """doc_id, n_shingles, set_hash (16 bytes in hexadecimal), keys (array of half keys) of (doc_id, text). Empty sets have null hash and keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.string()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, tag, n_shingles, set_hash (16 bytes in hexadecimal), keys (array of half keys) of (doc_id, tag, text). Empty sets have null hash and keys."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.string()), ("n_shingles", pa.int64()), ("set_hash", pa.string()), ("keys", pa.list_(pa.int64()))])
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
+            for i, tag, t in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("text")):
                 s = shingles(t.as_py(), size)
-                out.append((i, len(s), xxh3_128(s.tobytes()).hexdigest(), half_keys(s, halves, depth).view(np.int64)) if len(s) else (i, 0, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, schema.types)], schema=schema)
+                found = (len(s), xxh3_128(s.tobytes()).hexdigest(), half_keys(s, halves, depth).view(np.int64)) if len(s) else (0, None, None)
+                out.append((i, tag, *found))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, schema.types)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash string, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, tag string, n_shingles long, set_hash string, keys array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -217,29 +218,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, halves
     ``shingle``-word shingles. Texts that are null, empty or without words have empty sets
     and are linked with nothing. Ids should be unique and not null: rows with a null id
     have a null component and are kept; of rows that share an id each gets the component
-    of its own text (rows repeated as a whole: the same one). Runs when called; the
-    result is a table in the shared folder.
+    of its own text (rows repeated as a whole: the same one). Tables without rows give none. Runs
+    when called; the result is a table in the shared folder.
     """
     spark = docs.sparkSession
-    d = id_text(docs, id_col, text_col)
+    d = id_text(docs, id_col, text_col).withColumn("tag", F.md5(F.col("text").cast("binary")))
     with Scratch(spark) as kept:
         sig = kept(signatures(d, shingle, halves, depth))
         full = sig.filter("set_hash is not null and doc_id is not null")
-        # written, so that what joins it later is two plain shuffles: Spark splits those where one text has very many copies
-        classes = kept(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep")).withColumnRenamed("set_hash", "set"))
-        reps = full.join(classes, (F.col("doc_id") == F.col("rep")) & (F.col("set_hash") == F.col("set"))).select("rep", "keys")
+        # written, so that what joins it later is two plain shuffles: Spark splits those where one text has very many copies.
+        # A class is named by a number of its own, since several may belong to one id
+        classes = full.groupBy(F.col("set_hash").alias("set")).agg(F.min(F.struct("doc_id", "tag")).alias("first"))
+        classes = kept(classes.select("set", F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag"), F.monotonically_increasing_id().alias("node")))
+        is_first = (F.col("doc_id") == F.col("first_id")) & (F.col("tag") == F.col("first_tag"))
+        reps = full.join(classes, is_first & (F.col("set_hash") == F.col("set"))).select(F.col("node").alias("rep"), "keys")
         stars = candidates(reps, halves, kept)
-        wanted = kept(stars.select("rep").union(stars.select("c")).distinct())
+        nodes = stars.select("rep").union(stars.select("c")).distinct()
+        wanted = kept(nodes.join(classes, F.col("rep") == F.col("node")).select("first_id", "first_tag", "node"))
         # ids that surely aren't wanted go before the join, so that only candidates' texts are shuffled
-        texts = Bitmap(wanted, "rep", kept).marked(d, "doc_id").filter("marked").groupBy("doc_id").agg(F.min("text").alias("text"))
-        sets = kept(full_sets(texts.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi"), shingle))
+        texts = Bitmap(wanted, "first_id", kept).marked(d, "doc_id").filter("marked").groupBy("doc_id", "tag").agg(F.min("text").alias("text"))
+        sets = kept(full_sets(texts.join(wanted, is_first).select(F.col("node").alias("doc_id"), "text"), shingle))
         pairs = confirmed(stars, sets, percent, kept)
         links = kept(pairs.filter("linked").select(F.col("rep").alias("a"), F.col("c").alias("b")))
         comp = components(links, kept)
         more = family_links(pairs.select("c", "rep", "near"), sets, links, comp, percent, kept)
         comp = comp if more.isEmpty() else components(links.union(more), kept)
-        named = full.select("doc_id", "n_shingles", "set_hash").join(classes, F.col("set_hash") == F.col("set")).join(comp, F.col("rep") == F.col("node"), "left")
-        named = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        # a component has the name of its smallest id
+        linked = kept(classes.select("node", "first_id").join(comp.withColumnRenamed("node", "x"), F.col("node") == F.col("x")).drop("x"))
+        least = linked.groupBy(F.col("component").alias("whole")).agg(F.min("first_id").alias("component_id"))
+        least = linked.join(least, F.col("component") == F.col("whole")).select(F.col("node").alias("x"), "component_id")
+        final = kept(classes.join(least, F.col("node") == F.col("x"), "left").select("set", F.coalesce("component_id", "first_id").alias("component_id")))
+        named = full.select("doc_id", "n_shingles", "set_hash").join(final, F.col("set_hash") == F.col("set")).select("doc_id", "n_shingles", "component_id")
         alone = sig.filter("set_hash is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         return written(named.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 

@@ -97,3 +97,17 @@ def test_bitmap(spark):
     got = {r.id for r in Bitmap(ids, "i").marked(df, "id").filter("marked").collect()}
     assert got == {1, -5, 1 << 60, 77}
     assert Bitmap(ids.limit(0), "i").marked(df, "id").filter("marked").count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text of an id is a class of its own, and what is like the second one isn't lost."""
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, b + " y"), (7, b.upper()), (1, a)]
+    out = op2.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in out.collect())
+    assert got == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (3, 1, False), (7, 1, False)]
+
+
+def test_recall_on_many_documents(spark):
+    """Every component of sf0.1 is the exact SQL's."""
+    same(op2.op2_minhash_dedup(spark, "/root/testdata/sf0.1"), op2.SQL, "/root/testdata/sf0.1")
