@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, functions as F
 
 from rupaka.functions import tables
 
 #: What separates tokens: every Unicode space and the four information separators.
 SPACES = r"[\s\x1c-\x1f\x85\p{Z}]+"
+#: A character that may be a mark; the test for one is slow.
+BEYOND = r"[^\x00-\x{2ff}]"
 NUKTA, VIRAMA = "़", "्"
 
 
@@ -74,14 +80,31 @@ def consonant_final(c: Column | str) -> Column:
     return (F.length(c) > 0) & ~last_char(c).isin(*dict.fromkeys(tables.VOWEL_FINALS))
 
 
+def as_class(points: list[int]) -> str:
+    """A character class of sorted code points, as ranges."""
+    ranges: list[list[int]] = []
+    for p in points:
+        if ranges and ranges[-1][1] == p - 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
+@lru_cache(maxsize=1)
+def marks() -> str:
+    """The characters of a combining class other than 0."""
+    return as_class([p for p in range(sys.maxunicode + 1) if unicodedata.combining(chr(p))])
+
+
 def graphemes(c: Column | str) -> Column:
-    """Characters, each with the dots and viramas that follow it; vowel signs stand alone."""
-    return F.regexp_extract_all(col(c), F.lit(f"(?s).[{NUKTA}{VIRAMA}]*"), F.lit(0))
+    """Characters, each with all marks of a combining class other than 0 that follow it; vowel signs have class 0 and stand alone."""
+    return F.regexp_extract_all(col(c), F.lit(f"(?s).(?:(?={BEYOND})[{marks()}])*"), F.lit(0))
 
 
 def reversed_graphemes(c: Column | str) -> Column:
     c = col(c)
-    return F.when(c.rlike(f"[{NUKTA}{VIRAMA}]"), F.array_join(F.reverse(graphemes(c)), "")).otherwise(F.reverse(c))
+    return F.when(c.rlike(BEYOND), F.array_join(F.reverse(graphemes(c)), "")).otherwise(F.reverse(c))
 
 
 def ngrams(c: Column | str, low: int = 1, high: int = 4) -> Column:

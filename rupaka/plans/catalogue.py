@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rupaka.functions import tables as t, text as x
 from rupaka.functions.features import FIELDS, irregular_features, suffix_readings
-from rupaka.plans import evaluation, readers, sequences  # noqa: F401 - readers and sequences register their own queries
+from rupaka.plans import evaluation, normal, readers, sequences  # noqa: F401 - normal, readers and sequences register their own queries
 from rupaka.plans.registry import ORACLES, QUERIES, frame, query, table, values
 from rupaka.operators import bigram, context, disambiguate as dis, evaluate as ev, gender, lexicon_etl as etl, nouns, terms, verbs
 from rupaka.sources import lexicons, rules, sinks, treebank
