@@ -29,6 +29,11 @@ def following(condition: Column, value: Column) -> Column:
     return F.last(F.when(condition, value), ignorenulls=True).over(backwards)
 
 
+def anywhere(value: Column) -> Column:
+    """The first value of a sentence that isn't null."""
+    return F.first(value, ignorenulls=True).over(whole())
+
+
 def compounds(df: DataFrame, pairs: list[str], triples: list[str]) -> DataFrame:
     """Adds starts_compound and in_compound. Three-word terms come first; a two-word one may not use their words."""
     joined = lambda n: F.concat_ws(" ", "token", *(F.lead("token", k).over(sentence()) for k in range(1, n)))
@@ -59,6 +64,6 @@ def signals(tokens: DataFrame, terms: Terms | None = None) -> DataFrame:
     df = df.withColumn("_pair", F.when(free, F.get(F.transform(agreeing, lambda c: F.struct(c.gender.alias("gender"), F.when(c.number == "S", "SG").otherwise("PL").alias("number"))), F.lit(0))))
     df = df.withColumn("_after", after).withColumn("_before", before)
     oblique = content & (has("_after.compound") | (has("_after.simple") & ~has("postposition")))
-    df = df.withColumn("negation", F.first(F.when(free, F.col("negates")), ignorenulls=True).over(whole())).withColumn("oblique", oblique)
+    df = df.withColumn("negation", anywhere(F.when(free, F.col("negates")))).withColumn("oblique", oblique)
     df = df.withColumn("gender_signal", F.when(content, F.col("_before.gender"))).withColumn("number_signal", F.when(content, F.col("_before.number")))
     return df.withColumn("agreement", following(F.col("_pair").isNotNull(), F.col("_pair"))).drop("_pair", "_after", "_before", "gives_gender", "gives_number", "negates", "genitive", "_obliging")

@@ -117,25 +117,32 @@ def _only(values: Column) -> Column:
     return F.when(F.size(d) == 1, F.get(d, F.lit(0)))
 
 
-def with_class_state(tokens: DataFrame, model: dict, score, keys: list[str], at: str = "pos", levels: int = 2) -> DataFrame:
-    """Narrows noun_candidates under a bigram model, one row after the other, and adds ``previous``: the class in force before the row.
+def class_states(model: dict) -> Column:
+    """The classes that may be in force: null, and those that the model has as predecessors. Others give nothing to what follows, so they count as null."""
+    return F.array(*(F.lit(c).cast("string") for c in (None, *sorted(model))))
+
+
+def best_under(previous: Column, model: dict, score) -> Column:
+    """The best of noun_candidates after a class; score: a function from a candidate to what it scores without the model."""
+    return best(F.col("noun_candidates"), lambda c: score(c) + prior(previous, c.paradigm, model) * 2.0)
 
-    score: a function from a candidate to what it scores without the model. A row changes the class
-    in force if its best candidates are of one class. Classes that the model doesn't have
-    as predecessors give nothing to what follows, so they share the state ``null``.
-    """
-    classes = [None, *sorted(model)]
-    named = F.array(*(F.lit(c).cast("string") for c in classes))
-    under = lambda prev: best(F.col("noun_candidates"), lambda c: score(c) + prior(prev, c.paradigm, model) * 2.0)
+
+def class_step(model: dict, score) -> Column:
+    """For every class that may be in force, by its place in class_states(), the one after a row: that of the best candidates if they have one class, else the same."""
+    states = class_states(model)
 
     def after(prev: Column, i: Column) -> Column:
-        only = _only(F.transform(under(prev), lambda c: c.paradigm))
-        return F.when(only.isNull(), i).otherwise(F.greatest(F.lit(0), F.array_position(named, only).cast("int") - 1))
+        only = _only(F.transform(best_under(prev, model, score), lambda c: c.paradigm))
+        return F.when(only.isNull(), i).otherwise(F.greatest(F.lit(0), F.array_position(states, only).cast("int") - 1))
+
+    return F.when(F.size("noun_candidates") > 0, F.transform(states, after)).otherwise(F.sequence(F.lit(0), F.lit(len(model))))
 
-    same = F.sequence(F.lit(0), F.lit(len(classes) - 1))
-    steps = tokens.withColumn("_step", F.when(F.size("noun_candidates") > 0, F.transform(named, after)).otherwise(same))
-    out = scanned(steps, keys, at, "_step", len(classes), 0, levels, "_state").withColumn("previous", F.get(named, F.col("_state")))
-    return out.withColumn("noun_candidates", under(F.col("previous"))).drop("_step", "_state")
+
+def with_class_state(tokens: DataFrame, model: dict, score, keys: list[str], at: str = "pos", levels: int = 2) -> DataFrame:
+    """Narrows noun_candidates under a bigram model, one row after the other, and adds ``previous``: the class in force before the row."""
+    steps = tokens.withColumn("_step", class_step(model, score))
+    out = scanned(steps, keys, at, "_step", len(model) + 1, 0, levels, "_state").withColumn("previous", F.get(class_states(model), F.col("_state")))
+    return out.withColumn("noun_candidates", best_under(F.col("previous"), model, score)).drop("_step", "_state")
 
 
 def coordinated(tokens: DataFrame, keys: list[str], at: str = "pos", cases: tuple[str, ...] = ("DIR", "OBL"), levels: int = 2) -> DataFrame:

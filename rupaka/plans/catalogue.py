@@ -372,8 +372,7 @@ def nearest_marker_right(spark, sf_dir):
 @query("negation_scope", f"""WITH {TURN_TOKENS} SELECT sent_id, count(*)::BIGINT AS n, arg_min(CASE WHEN token IN ('no', 'not', 'nicht', 'pas') THEN token END, pos) AS negation FROM tok GROUP BY sent_id""")
 def negation_scope(spark, sf_dir):
     neg = F.col("token").isin("no", "not", "nicht", "pas")
-    first = F.first(F.when(neg, F.col("token")), ignorenulls=True).over(context.whole())
-    return turn_tokens(spark, sf_dir).withColumn("negation", first).groupBy("sent_id").agg(F.count("*").alias("n"), F.min("negation").alias("negation"))
+    return turn_tokens(spark, sf_dir).withColumn("negation", context.anywhere(F.when(neg, F.col("token")))).groupBy("sent_id").agg(F.count("*").alias("n"), F.min("negation").alias("negation"))
 
 
 # ── scoring ──

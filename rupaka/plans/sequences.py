@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rupaka.functions import text as x
-from rupaka.operators import context, disambiguate as dis
+from rupaka.operators import bigram, context, disambiguate as dis
 from rupaka.operators.scan import scanned
 from rupaka.operators.terms import Terms, marked, marked_by_join
-from rupaka.plans.registry import query, table, values
+from rupaka.plans.registry import frame, query, table, values
+from rupaka.sources import lexicons, shared
 
 # RE2 and Java spell the same class of white space differently
 WORDS = r"list_filter(string_split_regex(text, '[\s\x0b\x1c-\x1f\x{85}\pZ]+'), lambda t: t <> '')"
@@ -30,11 +31,6 @@ def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.filter("term is not null").distinct().withColumn("kind", F.lit("compound")).withColumn("ord", F.xxhash64("term"))
 
 
-def spans(df: DataFrame, compounds: DataFrame, id_col: str) -> DataFrame:
-    """id, pos and term of each term's first word."""
-    return df.filter("starts").select(F.col("sent_id").alias(id_col), F.col("pos").cast("long").alias("pos"), "term")
-
-
 BENCH = f"""b AS (SELECT {WORDS} AS ts FROM benchmark), bt AS (SELECT unnest(list_transform(range(1, least(5, len(ts)) + 1), lambda n: array_to_string(ts[1:n], ' '))) AS term FROM b),
 m AS (SELECT row_number() OVER (ORDER BY term) - 1 AS ord, term, len(string_split(term, ' ')) AS len FROM (SELECT DISTINCT term FROM bt))"""
 
@@ -160,12 +156,15 @@ SELECT doc_id, len(k)::BIGINT AS n, nullif(replace(s.c, 'D', ''), '') AS last_cl
   {{'c': '', 'a': 0::BIGINT, 'b': 0::BIGINT, 'd': 0::BIGINT}}) AS s FROM k WHERE len(k) > 0)""")
 def class_state_documents(spark, sf_dir):
     """Whole documents as one sequence each: how many words stand after each class, and the class in force at the end."""
+    ends = frame(spark, "end string", [(e,) for e in ENDINGS]).withColumn("noun_candidates", readings(F.col("end"), ENDINGS))
+    ends = ends.select("end", dis.class_step(MODEL, first_class).alias("known"))  # the words' steps go by their ends, so each is computed once
     toks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(x.tokens("text")).alias("pos", "token"))
-    rows = toks.select("doc_id", "pos", readings(F.right("token", F.lit(1)), ENDINGS).alias("noun_candidates"))
-    out = dis.with_class_state(rows, MODEL, first_class, ["doc_id"])
-    only = F.when(F.size(F.array_distinct(F.transform("noun_candidates", lambda c: c.paradigm))) == 1, F.get("noun_candidates", F.lit(0)).paradigm)
-    after = F.coalesce(F.nullif(only, F.lit("D")), F.when(only.isNull(), F.col("previous")))
-    n = lambda c: F.count_if(F.col("previous") == c)
+    step = F.coalesce("known", F.sequence(F.lit(0), F.lit(len(MODEL))))
+    rows = toks.join(ends, F.right("token", F.lit(1)) == F.col("end"), "left").select("doc_id", "pos", step.alias("step"))
+    out = scanned(rows, ["doc_id"], "pos", "step", len(MODEL) + 1)
+    named = dis.class_states(MODEL)
+    after = F.get(named, F.get("step", F.col("state")))
+    n = lambda c: F.count_if(F.get(named, F.col("state")) == c)
     return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.max_by(after, "pos").alias("last_class"), n("A").alias("n_a"), n("B").alias("n_b"), n("C").alias("n_c"))
 
 
@@ -208,3 +207,44 @@ def coordination_turns(spark, sf_dir):
     out = dis.coordinated(df.join(roles, F.col("token") == F.col("word"), "left"), ["sent_id"])
     out = out.filter(F.size("noun_candidates") > 0)
     return out.select("sent_id", "pos", "token", F.array_join(F.transform("noun_candidates", lambda c: c["case"]), ",").alias("cases"), (F.size("signals_applied") > 0).alias("passed"))
+
+
+# ── a sparse bigram model ──
+
+def neighbours(df: DataFrame, key: str) -> DataFrame:
+    """key, prev, curr: adjacent words of (key, text)."""
+    ts = df.select(key, x.tokens("text").alias("ts")).filter(F.size("ts") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("ts") - 1), lambda i: F.struct(F.get("ts", i - 1).alias("prev"), F.get("ts", i).alias("curr")))
+    return ts.select(key, F.explode(pairs).alias("p")).select(key, "p.*")
+
+
+PAIRS = "unnest(ts[1:len(ts) - 1]) AS prev, unnest(ts[2:]) AS curr"
+
+
+@query("bigram_scores_turns", f"""WITH d AS (SELECT {WORDS} AS ts FROM documents), k AS (SELECT conv_id || ':' || turn AS sent_id, {WORDS} AS ts FROM conversations),
+c AS (SELECT prev, curr, count(*) AS n FROM (SELECT {PAIRS} FROM d) GROUP BY ALL), v AS (SELECT count(*) AS v FROM (SELECT prev FROM c UNION SELECT curr FROM c)),
+t AS (SELECT prev, sum(n) AS total FROM c GROUP BY prev), q AS (SELECT sent_id, {PAIRS} FROM k),
+s AS (SELECT sent_id, n IS NOT NULL AS seen, CASE WHEN total IS NULL THEN 0 ELSE (coalesce(n, 0) + 0.1::DOUBLE) / (total::DOUBLE + 0.1::DOUBLE * v) END AS p FROM q LEFT JOIN c USING (prev, curr) LEFT JOIN t USING (prev) CROSS JOIN v)
+SELECT sent_id, count(*)::BIGINT AS n, count(*) FILTER (seen)::BIGINT AS n_seen, count(*) FILTER (p > 0)::BIGINT AS n_known, sum(round(p, 12)::DECIMAL(24, 12))::DOUBLE AS total FROM s GROUP BY sent_id""")
+def bigram_scores_turns(spark, sf_dir):
+    """The adjacent words of all conversations under a model of all documents' adjacent words."""
+    counts = neighbours(table(spark, sf_dir, "documents"), "doc_id").groupBy("prev", "curr").agg(F.count("*").alias("n"))
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sent_id"), "text")
+    out = bigram.scored(neighbours(turns, "sent_id"), bigram.sparse_model(counts))
+    total = F.sum(F.round("p", 12).cast("decimal(24,12)")).cast("double")
+    return out.groupBy("sent_id").agg(F.count("*").alias("n"), F.count_if("seen").alias("n_seen"), F.count_if(F.col("p") > 0).alias("n_known"), total.alias("total"))
+
+
+# ── lines of files ──
+
+@query("lexicon_of_lines", f"""WITH d AS (SELECT doc_id, lang, {WORDS} AS ts FROM documents), t AS (SELECT doc_id, lang, generate_subscripts(ts, 1) AS i, unnest(ts) AS word FROM d),
+n AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS n FROM t) SELECT word, count(*)::BIGINT AS times, max(n)::BIGINT AS last_line, arg_max(lang, n) AS lang FROM n GROUP BY word""")
+def lexicon_of_lines(spark, sf_dir):
+    """All words of the documents written as lines of text files, read back with their numbers; of a word's lines the last counts."""
+    words = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(x.tokens("text")).alias("i", "word"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared.new_path(spark)
+    words.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "i").select(F.concat_ws("\t", "word", "lang")).write.text(path)
+    f = F.split("line", "\t")
+    lines = lexicons.ordered_lines(spark, path).select(F.get(f, F.lit(0)).alias("word"), F.get(f, F.lit(1)).alias("lang"), "n")
+    return lines.groupBy("word").agg(F.count("*").alias("times"), F.max("n").alias("last_line"), F.max_by("lang", "n").alias("lang"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rupaka.functions.text import consonant_final, nfc, normalized, stripped
 
@@ -52,19 +52,41 @@ def read_tsv(spark: SparkSession, path: str, comment: str | None = None) -> Data
     return spark.read.options(**how).csv(path)
 
 
-def keyed_lexicon(rows: DataFrame, order: str | None = None) -> DataFrame:
+def file_order() -> Column:
+    """The order of rows of a scan as their files have it: file, split of the file, place in the split. The rows must come straight from the scan."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def ordered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """file, line_no (from 1), n (the line's number over all files, in order of their paths), line of text files of any size.
+
+    Files are read in splits. The lines of every split are counted, and prefix sums of the
+    counts say with which number a split begins; no line is shuffled for its number.
+    """
+    raw = spark.read.text(list(paths)).select(file_order().alias("at"), F.col("value").alias("line")).select("at.*", "line")
+    splits = raw.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("lines"))
+    so_far = lambda w: F.coalesce(F.sum("lines").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each split
+    begins = splits.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "first", so_far(Window.partitionBy("file").orderBy("block")).alias("in_file"), so_far(Window.orderBy("file", "block")).alias("in_all"))
+    at = F.col("row") - F.col("first") + 1
+    joined = raw.join(begins, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    return joined.select("file", (F.col("in_file") + at).alias("line_no"), (F.col("in_all") + at).alias("n"), "line")
+
+
+def keyed_lexicon(rows: DataFrame, order: str | Column | None = None) -> DataFrame:
     """norm, display, paradigm, confidence from rows word, paradigm_class[, confidence]; of words with one normal form the last in ``order`` counts.
 
-    A missing confidence column means that all are certain.
+    Without ``order`` rows count as they come. A missing confidence column means that all are certain.
     """
     confidence = F.col("confidence") if "confidence" in rows.columns else F.lit("certain")
-    at = F.col(order) if order else F.monotonically_increasing_id()
+    at = F.monotonically_increasing_id() if order is None else F.col(order) if isinstance(order, str) else order
     df = rows.select(normalized("word").alias("norm"), nfc("word").alias("display"), F.col("paradigm_class").alias("paradigm"), confidence.alias("confidence"), at.alias("at"))
     return latest(df, "norm", "at").select("norm", "display", "paradigm", "confidence")
 
 
 def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    return keyed_lexicon(read_tsv(spark, path))
+    """keyed_lexicon() of a file or folder; the last of repeated words is the one furthest down, in the last file by its path."""
+    return keyed_lexicon(read_tsv(spark, path), file_order())
 
 
 def training_words(rows: DataFrame) -> DataFrame:
