@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rupaka.functions import text as x
-from rupaka.operators import bigram, context, disambiguate as dis
+from rupaka.operators import bigram, context, disambiguate as dis, gender
 from rupaka.operators.scan import scanned
 from rupaka.operators.terms import Terms, marked, marked_by_join
 from rupaka.plans.registry import frame, query, table, values
-from rupaka.sources import lexicons, shared
+from rupaka.sources import lexicons, shared, sinks
 
 # RE2 and Java spell the same class of white space differently
 WORDS = r"list_filter(string_split_regex(text, '[\s\x0b\x1c-\x1f\x{85}\pZ]+'), lambda t: t <> '')"
@@ -248,3 +248,16 @@ def lexicon_of_lines(spark, sf_dir):
     f = F.split("line", "\t")
     lines = lexicons.ordered_lines(spark, path).select(F.get(f, F.lit(0)).alias("word"), F.get(f, F.lit(1)).alias("lang"), "n")
     return lines.groupBy("word").agg(F.count("*").alias("times"), F.max("n").alias("last_line"), F.max_by("lang", "n").alias("lang"))
+
+
+@query("routes_written", """WITH p AS (SELECT vec_id::VARCHAR AS word, 1 / (1 + exp(-4 * embedding[1]::DOUBLE)) AS m FROM embeddings),
+q AS (SELECT word, CASE WHEN m >= 0.5 THEN 'M2' ELSE 'F3' END AS paradigm_class, greatest(m, 1 - m) AS p FROM p),
+r AS (SELECT *, CASE WHEN p >= 0.8 THEN 'high' WHEN p >= 0.65 THEN 'medium' WHEN p >= 0.55 THEN 'low' ELSE 'abstain' END AS tier FROM q)
+SELECT word, paradigm_class, 'predicted_' || tier AS confidence, format('{:.4f}', p) AS probability, CASE WHEN tier IN ('high', 'medium') THEN 'predicted' WHEN tier = 'low' THEN 'review' ELSE 'abstain' END AS route FROM r""")
+def routes_written(spark, sf_dir):
+    """The three lists of predictions, written in one job and read back, for probabilities taken from all vectors."""
+    m = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("word"), (1 / (1 + F.exp(-4 * F.get("embedding", F.lit(0)).cast("double")))).alias("m"))
+    p = m.withColumn("gender", F.when(F.col("m") >= 0.5, "M").otherwise("F")).withColumn("probability", F.greatest("m", 1 - F.col("m")))
+    path = shared.new_path(spark)
+    sinks.write_routes(p.select("word", gender.class_of(F.col("gender")).alias("paradigm_class"), gender.tier(F.col("probability")).alias("tier"), "probability"), path)
+    return sinks.read_routes(spark, path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rupaka.functions.text import percent
 
@@ -91,3 +93,32 @@ def reformatted_rules(lines: DataFrame) -> DataFrame:
     asid = F.regexp_extract("file", r"([0-9A-Za-z]*)\.[^./]*$", 1)
     value = F.concat(asid, F.lit(" ["), when, F.lit("] THEN "), F.col("then.tag"), F.lit(" VECTOR "), F.col("then.vector"))
     return one.filter("then is not null").select("file", F.col("first.line_no").alias("line_no"), value.alias("value"))
+
+
+def replaced(spark: SparkSession, folder: str, write) -> None:
+    """Calls write(path) with a path beside ``folder``, which takes the folder's place when all is written; if it fails, the old folder stays."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, old = (f"{folder.rstrip('/')}-{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        write(new)
+        if fs.exists(path(folder)):
+            fs.rename(path(folder), path(old))
+        if not fs.rename(path(new), path(folder)):
+            raise OSError(f"{new} can't be renamed to {folder}")
+    finally:
+        fs.delete(path(new), True)
+        fs.delete(path(old), True)
+
+
+def write_routes(predictions: DataFrame, folder: str) -> None:
+    """The three routes of routed() as one table parted by route, in one job, each sorted by word over its part files. What is in the folder is replaced when the job has ended."""
+    rows = routed(predictions).repartitionByRange("route", "word").sortWithinPartitions("route", "word")
+    how = {"sep": "\t", "header": True, "emptyValue": "", "quote": ""}
+    replaced(predictions.sparkSession, folder, lambda path: rows.write.partitionBy("route").options(**how).csv(path))
+
+
+def read_routes(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_routes() wrote."""
+    schema = "word string, paradigm_class string, confidence string, probability string, route string"
+    return spark.read.options(sep="\t", header=True, quote="").schema(schema).csv(folder)
