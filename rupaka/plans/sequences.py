@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rupaka.functions import text as x
-from rupaka.operators import bigram, context, disambiguate as dis, gender
+from rupaka.operators import bigram, context, disambiguate as dis, gender, vocabulary
 from rupaka.operators.scan import scanned
 from rupaka.operators.terms import Terms, marked, marked_by_join
 from rupaka.plans.registry import frame, query, table, values
@@ -261,3 +261,30 @@ def routes_written(spark, sf_dir):
     path = shared.new_path(spark)
     sinks.write_routes(p.select("word", gender.class_of(F.col("gender")).alias("paradigm_class"), gender.tier(F.col("probability")).alias("tier"), "probability"), path)
     return sinks.read_routes(spark, path)
+
+
+# ── dictionaries ──
+
+GRAMS = f"""dw AS (SELECT DISTINCT unnest({WORDS}) AS word FROM documents),
+dg AS (SELECT word, unnest(list_distinct(flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, length(w) - n + 2), lambda i: w[i:i + n - 1]))))) AS gram
+       FROM (SELECT word, lower(array_to_string(list_reverse(regexp_extract_all(word, '(?s).[़्]*')), '')) AS w FROM dw)),
+dn AS (SELECT gram, count(*) AS n FROM dg GROUP BY gram HAVING count(*) >= 2), di AS (SELECT gram, n, row_number() OVER (ORDER BY gram) - 1 AS id FROM dn)"""
+
+
+def document_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.gram_rows(table(spark, sf_dir, "documents").select(F.explode(x.tokens("text")).alias("word")))
+
+
+@query("gram_dictionary", f"WITH {GRAMS} SELECT gram, n::BIGINT AS n, id::BIGINT AS id FROM di")
+def gram_dictionary(spark, sf_dir):
+    """Dense ids and frequencies of the n-grams of all distinct words that two words have or more."""
+    return vocabulary.dictionary(document_grams(spark, sf_dir), "gram", 2)
+
+
+@query("gram_ids_of_words", f"WITH {GRAMS} SELECT word, count(id)::BIGINT AS n, min(id)::BIGINT AS first_id, max(id)::BIGINT AS last_id, coalesce(sum(id), 0)::BIGINT AS total FROM dg LEFT JOIN di USING (gram) GROUP BY word")
+def gram_ids_of_words(spark, sf_dir):
+    """All distinct words as rows of n-gram ids."""
+    rows = document_grams(spark, sf_dir)
+    ids = vocabulary.encoded(rows, "word", "gram", vocabulary.dictionary(rows, "gram", 2))
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: a + i)
+    return ids.select("word", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first_id"), F.array_max("ids").alias("last_id"), total.alias("total"))

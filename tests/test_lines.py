@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from rupaka.operators import bigram
+from rupaka.operators import bigram, vocabulary
 from rupaka.sources import lexicons
 
 
@@ -59,3 +59,18 @@ def test_sparse_model_is_the_full_one(spark):
             assert 0 < r.p < min(p for (a, _), p in full.items() if a == r.prev) + 1e-12 and not r.seen
         else:
             assert r.p == 0.0 and not r.seen
+
+
+def test_dense_ids(spark):
+    rng = random.Random(6)
+    values = [rng.choice("abcé𝄞") * rng.randrange(1, 5) + str(rng.randrange(40)) for _ in range(900)] + ["hot"] * 400
+    rows = spark.createDataFrame([(k % 97, v) for k, v in enumerate(values)], "item int, value string").distinct()
+    known = vocabulary.dictionary(rows, "value", 3).collect()
+    count = {}
+    for r in rows.collect():
+        count.setdefault(r.value, set()).add(r.item)
+    want = sorted((v for v, k in count.items() if len(k) >= 3), key=str.encode)
+    assert {(r.value, r.n, r.id) for r in known} == {(v, len(count[v]), i) for i, v in enumerate(want)}
+    ids = {r.item: r.ids for r in vocabulary.encoded(rows, "item", "value", vocabulary.dictionary(rows, "value", 3)).collect()}
+    assert ids == {k: [i for i, v in enumerate(want) if k in count[v]] for k in {r.item for r in rows.collect()}}
+    assert vocabulary.dictionary(rows.limit(0), "value").collect() == []
