@@ -227,9 +227,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, halves
         sig = kept(signatures(d, shingle, halves, depth))
         full = sig.filter("set_hash is not null and doc_id is not null")
         # written, so that what joins it later is two plain shuffles: Spark splits those where one text has very many copies.
-        # A class is named by a number of its own, since several may belong to one id
+        # A class is named by a number of its own, since several may belong to one id; numbers rise with the ids, so that a
+        # bucket's smallest member is its first document, which is often the one that others are copies of
         classes = full.groupBy(F.col("set_hash").alias("set")).agg(F.min(F.struct("doc_id", "tag")).alias("first"))
-        classes = kept(classes.select("set", F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag"), F.monotonically_increasing_id().alias("node")))
+        classes = classes.select("set", F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag")).orderBy("first_id", "first_tag")
+        classes = kept(classes.withColumn("node", F.monotonically_increasing_id()))
         is_first = (F.col("doc_id") == F.col("first_id")) & (F.col("tag") == F.col("first_tag"))
         reps = full.join(classes, is_first & (F.col("set_hash") == F.col("set"))).select(F.col("node").alias("rep"), "keys")
         stars = candidates(reps, halves, kept)
