@@ -25,10 +25,10 @@ sp AS (SELECT sent_id, c.pos AS pos, c.len AS len, c.ord AS ord FROM cu)"""
 
 
 def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first one to five words of each item, in order of their text."""
+    """The first one to five words of each item; a term table, in order of their text."""
     w = table(spark, sf_dir, "benchmark").select(x.tokens("text").alias("ts"))
     w = w.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda n: F.when(F.size("ts") >= n, F.array_join(F.slice("ts", 1, n), " ")))).alias("term"))
-    return w.filter("term is not null").distinct().withColumn("kind", F.lit("compound")).withColumn("ord", F.xxhash64("term"))
+    return w.filter("term is not null").distinct().withColumn("kind", F.lit("compound"))
 
 
 BENCH = f"""b AS (SELECT {WORDS} AS ts FROM benchmark), bt AS (SELECT unnest(list_transform(range(1, least(5, len(ts)) + 1), lambda n: array_to_string(ts[1:n], ' '))) AS term FROM b),
@@ -38,7 +38,7 @@ m AS (SELECT row_number() OVER (ORDER BY term) - 1 AS ord, term, len(string_spli
 @query("term_spans_documents", f"WITH k AS (SELECT doc_id AS sent_id, {WORDS} AS ts FROM documents), {BENCH}, {CHOSEN} SELECT sent_id AS doc_id, pos::BIGINT AS pos, sp.len::BIGINT AS n_words, term FROM sp JOIN m USING (ord)")
 def term_spans_documents(spark, sf_dir):
     """Beginnings of benchmark items, of one to five words, in all documents: longest first, without overlaps."""
-    found = Terms.read(benchmark_terms(spark, sf_dir).drop("ord"))
+    found = Terms.read(benchmark_terms(spark, sf_dir))
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "sent_id")
     names = F.array(*map(F.lit, found.compounds)) if found.compounds else F.array().cast("array<string>")
     out = marked(docs, found).filter("starts").withColumn("term", F.get(names, F.col("term")))
