@@ -251,6 +251,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     score is the predicted language's posterior under equal priors; equal
     probabilities go to the language that sorts first. Null and empty texts and texts
     without letters get ``und`` and 0, as does every text if the model has no languages.
+    A run of over 1,024 letters counts as several words.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -179,7 +179,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
     Components are floor(scale * x). Ties go to the smaller id. Fewer than k candidates
     give fewer rows, none give none. Rows with a null id or vector, or with a null or non-finite
     component, take no part; vectors of another dimension than a query's are no candidates
-    of it; rows that have a query's own id aren't either.
+    of it; rows that have a query's own id aren't either. Ids should be unique: rows that share an
+    id are candidates of their own, and as queries their scores are ranked together.
     """
     small_batches(vectors.sparkSession)
     base = scaled(vectors, scale, id_col, vec_col)
