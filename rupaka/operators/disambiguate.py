@@ -214,7 +214,7 @@ def disambiguate(sentences: DataFrame, lexicon: DataFrame, genders: DataFrame |
     verbs, verb_labels = filtered_verbs(F.col("verb_candidates"), F.col("negation"))
     df = df.withColumn("signals_applied", F.concat(labels(F.col("noun_candidates"), own), verb_labels)).withColumn("verb_candidates", verbs)
     score = lambda c: base_score(c, own)
-    if bigrams is None:
+    if not bigrams:
         df = df.withColumn("noun_candidates", best(F.col("noun_candidates"), score))
     else:
         df = with_class_state(df, bigrams, score, ["sent_id"], levels=levels)
