@@ -54,7 +54,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--out", help="folder for error lists and metrics")
     p.add_argument("--sample", type=int, default=20, help="errors to show")
     p.add_argument("text", nargs="*")
-    a = p.parse_args(args)
+    a = p.parse_intermixed_args(args)
     if "verbs" not in a.what and not a.lexicon:
         p.error("nouns and sentences need a lexicon")
     spark = SparkSession.builder.appName("rupaka").getOrCreate()
