@@ -39,6 +39,20 @@ def combined(items: Column, step: str, size: int) -> Column:
     return F.aggregate(items, same, lambda acc, x: F.transform(acc, lambda s: F.get(x[step], s)))
 
 
+def counted(steps: Column, size: int, start: int = 0) -> Column:
+    """Of a sequence that is in one row: state, the state at the end, and counts, how many of its steps each of ``size`` states stands before.
+
+    steps: an array of maps; null keeps the state. Nothing is shuffled or left in memory but the state and the counts.
+    """
+    begin = F.struct(F.lit(start).alias("state"), F.array_repeat(F.lit(0).cast("long"), size).alias("counts"))
+
+    def after(acc: Column, step: Column) -> Column:
+        met = F.transform(acc.counts, lambda n, s: n + F.when(s == acc.state, 1).otherwise(0))
+        return F.struct(F.coalesce(F.get(step, acc.state), acc.state).alias("state"), met.alias("counts"))
+
+    return F.aggregate(steps, begin, after)
+
+
 def scanned(rows: DataFrame, keys: list[str], at: str, step: str, size: int, start: int = 0, levels: int = 2, state: str = "state") -> DataFrame:
     """rows and ``state``, the state before each row.
 
@@ -51,13 +65,13 @@ def scanned(rows: DataFrame, keys: list[str], at: str, step: str, size: int, sta
         parts = listed(rows, keys, others).withColumn("_entry", F.lit(start))
     else:
         part = f"_seg{levels}"
-        seg = (F.col(at) / SEGMENT).cast("long").alias(part)
-        maps = listed(rows.select(*keys, at, step, seg), [*keys, part], [at, step])
-        maps = maps.select(*keys, part, combined(F.col("_items"), step, size).alias("_map"))
+        # never null, so that no filter tells the two uses of the listed rows apart: they are shuffled once
+        seg = F.coalesce((F.col(at) / SEGMENT).cast("long"), F.lit(0)).alias(part)
+        whole = listed(rows.select("*", seg), [*keys, part], others)
+        maps = whole.select(*keys, part, combined(F.col("_items"), step, size).alias("_map"))
         entry = scanned(maps, keys, part, "_map", size, start, levels - 1, "_entry")
         entry = entry.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(part).alias("_own"), "_entry")
         same = (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))
-        whole = listed(rows.select("*", seg), [*keys, part], others)
         parts = whole.join(entry, reduce(lambda a, b: a & b, same, F.col(part) == F.col("_own")))
     states = F.arrow_udf(run, "array<int>")(F.transform("_items", lambda x: x[step]), F.col("_entry"))
     parts = parts.select(*keys, "_items", states.alias("_states"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rupaka.functions import text as x
 from rupaka.operators import bigram, context, disambiguate as dis, gender, vocabulary
-from rupaka.operators.scan import scanned
+from rupaka.operators.scan import counted
 from rupaka.operators.terms import Terms, marked, marked_by_join
 from rupaka.plans.registry import frame, query, table, values
 from rupaka.sources import lexicons, shared, sinks
@@ -155,17 +155,19 @@ SELECT doc_id, len(k)::BIGINT AS n, nullif(replace(s.c, 'D', ''), '') AS last_cl
   lambda z, y: {{'c': {scores(ENDINGS, 'y.c', 'z.c')}, 'a': z.a + (z.c = 'A')::BIGINT, 'b': z.b + (z.c = 'B')::BIGINT, 'd': z.d + (z.c = 'C')::BIGINT}},
   {{'c': '', 'a': 0::BIGINT, 'b': 0::BIGINT, 'd': 0::BIGINT}}) AS s FROM k WHERE len(k) > 0)""")
 def class_state_documents(spark, sf_dir):
-    """Whole documents as one sequence each: how many words stand after each class, and the class in force at the end."""
+    """Whole documents as one sequence each: how many words stand after each class, and the class in force at the end.
+
+    A document's words are in one row, so their state is carried within the row and no word is shuffled.
+    """
     ends = frame(spark, "end string", [(e,) for e in ENDINGS]).withColumn("noun_candidates", readings(F.col("end"), ENDINGS))
     ends = ends.select("end", dis.class_step(MODEL, first_class).alias("known"))  # the words' steps go by their ends, so each is computed once
-    toks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(x.tokens("text")).alias("pos", "token"))
-    step = F.coalesce("known", F.sequence(F.lit(0), F.lit(len(MODEL))))
-    rows = toks.join(ends, F.right("token", F.lit(1)) == F.col("end"), "left").select("doc_id", "pos", step.alias("step"))
-    out = scanned(rows, ["doc_id"], "pos", "step", len(MODEL) + 1)
-    named = dis.class_states(MODEL)
-    after = F.get(named, F.get("step", F.col("state")))
-    n = lambda c: F.count_if(F.get(named, F.col("state")) == c)
-    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.max_by(after, "pos").alias("last_class"), n("A").alias("n_a"), n("B").alias("n_b"), n("C").alias("n_c"))
+    steps = ends.agg(F.map_from_entries(F.collect_list(F.struct("end", "known"))).alias("steps"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", x.tokens("text").alias("ts")).filter(F.size("ts") > 0).crossJoin(F.broadcast(steps))
+    named = ("A", "B", "C")  # class_states() after the first
+    kinds = F.transform("ts", lambda t: F.try_element_at("steps", F.right(t, F.lit(1))))
+    counts = counted(kinds, len(named) + 1).alias("c")
+    n = lambda c: F.get("c.counts", F.lit(1 + named.index(c))).alias(f"n_{c.lower()}")
+    return docs.select("doc_id", F.size("ts").cast("long").alias("n"), counts).select("doc_id", "n", F.get(dis.class_states(MODEL), "c.state").alias("last_class"), *map(n, named))
 
 
 # ── coordination ──

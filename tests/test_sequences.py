@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rupaka.operators import disambiguate as dis, scan
 from rupaka.operators.terms import Automaton, Terms, chosen, marked, marked_by_join
+from rupaka.plans import sequences
 
 
 def test_automaton():
@@ -114,3 +115,30 @@ def test_coordination_of_a_long_text(spark):
     out = dis.coordinated(df, ["sent_id"])
     assert out.filter("size(signals_applied) = 1 and size(noun_candidates) = 1").count() == n // 2 - 1
     assert out.filter("size(noun_candidates) > 1").count() == 0
+
+
+def test_scan_shuffles_rows_once(spark):
+    """The rows' segments serve for the combined maps and for the states."""
+    rows = spark.range(500).select((F.col("id") % 3).alias("key"), F.col("id").alias("i"), F.array(F.lit(1), F.lit(0)).alias("m"), F.lit("p").alias("payload"))
+    out = scan.scanned(rows, ["key"], "i", "m", 2, levels=1)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
+def test_counted_states(spark):
+    rng = random.Random(9)
+    rows = [(k, [rng.choice([None, [rng.randrange(3) for _ in range(3)]]) for _ in range(rng.randrange(1, 40))]) for k in range(60)] + [(60, [[1, 2, 0]] * 100_000)]
+    out = spark.createDataFrame(rows, "k int, m array<array<int>>").select("k", scan.counted(F.col("m"), 3, 1).alias("c"))
+    got = {r.k: (r.c.state, r.c.counts) for r in out.collect()}
+    for k, steps in rows:
+        state, counts = 1, [0, 0, 0]
+        for step in steps:
+            counts[state] += 1
+            state = state if step is None else step[state]
+        assert got[k] == (state, counts)
+
+
+def test_class_state_of_documents_shuffles_no_words(spark, sf):
+    plan = sequences.class_state_documents(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan
