@@ -40,9 +40,11 @@ def nfc_documents(spark, sf_dir):
 
 @query("nfc_tokens", f"WITH t AS (SELECT doc_id, {WORDS} AS ts FROM documents), u AS (SELECT doc_id, unnest(ts) AS w FROM t) SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT nfc_normalize(w))::BIGINT AS n_types FROM u GROUP BY doc_id")
 def nfc_tokens(spark, sf_dir):
-    """Composed words of all documents."""
-    out = normal.tokenized(table(spark, sf_dir, "documents"), "doc_id")
-    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_types"))
+    """Composed words of all documents. A text's words are made distinct in its row; several texts of one id meet by their distinct words."""
+    out = normal.words(table(spark, sf_dir, "documents"), "doc_id").filter(F.size("words") > 0)
+    out = out.select("doc_id", F.size("words").cast("long").alias("n"), F.array_distinct("words").alias("types"))
+    types = F.array_distinct(F.flatten(F.collect_list("types")))
+    return out.groupBy("doc_id").agg(F.sum("n").alias("n"), F.size(types).cast("long").alias("n_types"))
 
 
 #: The classes of the seeds and of what they compose to, from the character database.

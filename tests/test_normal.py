@@ -5,6 +5,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from rupaka.functions import normal, text as x
+from rupaka.plans import normal as plans
 
 
 def strings(n):
@@ -55,3 +56,18 @@ def test_tokenized(spark):
     df = spark.createDataFrame([(1, "e\u0301 b\u2000\u0301c"), (2, None), (3, " ")], "k int, text string")
     assert sorted(tuple(r) for r in normal.tokenized(df, "k").collect()) == [(1, 0, "é"), (1, 1, "b"), (1, 2, "\u0301c")]
     assert normal.tokenized(df.limit(0), "k").agg(F.count("*")).first()[0] == 0
+
+
+def test_words_are_composed_where_they_stand(spark):
+    """No shuffle, null and empty texts, several texts of one id, and the words of texts of which some may change."""
+    rows = [(1, "é b é"), (1, "é x"), (2, None), (3, " "), (4, "a b a"), (5, "अ́ क़ ậ")]
+    df = spark.createDataFrame(rows, "k int, text string")
+    out = normal.words(df, "k")
+    assert sorted(tuple(r) for r in out.collect() if r.k != 2) == [(1, ["é", "b", "é"]), (1, ["é", "x"]), (3, []), (4, ["a", "b", "a"]), (5, [unicodedata.normalize("NFC", w) for w in rows[5][1].split()])]
+    for d in (out, normal.tokenized(df, "k"), normal.composed(df, "text")):
+        assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_composed_words_of_a_repeated_id(spark, tmp_path):
+    spark.createDataFrame([(1, "é b é"), (1, "é x"), (2, None), (3, "a a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in plans.nfc_tokens(spark, str(tmp_path)).collect()) == [(1, 5, 3), (3, 2, 1)]
