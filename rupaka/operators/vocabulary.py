@@ -23,7 +23,7 @@ def numbered(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
     # a row for each file
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = files.select("_own", before.alias("_begin"))
-    return rows.join(begins, F.col("_file") == F.col("_own")).select(*df.columns, (F.col("_begin") + F.col("_row")).alias(name))
+    return rows.join(F.broadcast(begins), F.col("_file") == F.col("_own")).select(*df.columns, (F.col("_begin") + F.col("_row")).alias(name))
 
 
 def gram_rows(words: DataFrame, low: int = 1, high: int = 4) -> DataFrame:

@@ -243,10 +243,12 @@ def bigram_scores_turns(spark, sf_dir):
 n AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS n FROM t) SELECT word, count(*)::BIGINT AS times, max(n)::BIGINT AS last_line, arg_max(lang, n) AS lang FROM n GROUP BY word""")
 def lexicon_of_lines(spark, sf_dir):
     """All words of the documents written as lines of text files, read back with their numbers; of a word's lines the last counts."""
-    words = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(x.tokens("text")).alias("i", "word"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared.new_path(spark)
-    words.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "i").select(F.concat_ws("\t", "word", "lang")).write.text(path)
+    # whole texts are shuffled, not words; the words of several texts of one id take turns
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartitionByRange(n, "doc_id")
+    words = docs.select("doc_id", "lang", F.posexplode(x.tokens("text")).alias("i", "word"))
+    words.sortWithinPartitions("doc_id", "i").select(F.concat_ws("\t", "word", "lang")).write.text(path)
     f = F.split("line", "\t")
     lines = lexicons.ordered_lines(spark, path).select(F.get(f, F.lit(0)).alias("word"), F.get(f, F.lit(1)).alias("lang"), "n")
     return lines.groupBy("word").agg(F.count("*").alias("times"), F.max("n").alias("last_line"), F.max_by("lang", "n").alias("lang"))

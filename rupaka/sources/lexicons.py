@@ -69,7 +69,8 @@ def ordered_lines(spark: SparkSession, *paths: str) -> DataFrame:
     # a row for each split
     begins = splits.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "first", so_far(Window.partitionBy("file").orderBy("block")).alias("in_file"), so_far(Window.orderBy("file", "block")).alias("in_all"))
     at = F.col("row") - F.col("first") + 1
-    joined = raw.join(begins, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    # few and small, so they go to the lines; without the hint all lines are shuffled before Spark knows that
+    joined = raw.join(F.broadcast(begins), (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
     return joined.select("file", (F.col("in_file") + at).alias("line_no"), (F.col("in_all") + at).alias("n"), "line")
 
 

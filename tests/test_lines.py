@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from rupaka.operators import bigram, vocabulary
+from rupaka.plans import sequences
 from rupaka.sources import lexicons
 
 
@@ -74,3 +75,21 @@ def test_dense_ids(spark):
     ids = {r.item: r.ids for r in vocabulary.encoded(rows, "item", "value", vocabulary.dictionary(rows, "value", 3)).collect()}
     assert ids == {k: [i for i, v in enumerate(want) if k in count[v]] for k in {r.item for r in rows.collect()}}
     assert vocabulary.dictionary(rows.limit(0), "value").collect() == []
+
+
+def test_lines_are_not_shuffled_for_their_numbers(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny\n" * 50)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with files that are large by their statistics
+    try:
+        plan = lexicons.ordered_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_lines_of_repeated_documents_take_turns(spark, tmp_path):
+    rows = [(2, "c d", "x"), (1, "a b", "y"), (1, "e", "y"), (3, None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word: r.last_line for r in sequences.lexicon_of_lines(spark, str(tmp_path)).collect()}
+    assert {got["a"], got["e"]} == {1, 2} and (got["b"], got["c"], got["d"]) == (3, 4, 5)
