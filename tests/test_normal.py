@@ -71,3 +71,9 @@ def test_words_are_composed_where_they_stand(spark):
 def test_distinct_composed_words_of_a_repeated_id(spark, tmp_path):
     spark.createDataFrame([(1, "é b é"), (1, "é x"), (2, None), (3, "a a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(tuple(r) for r in plans.nfc_tokens(spark, str(tmp_path)).collect()) == [(1, 5, 3), (3, 2, 1)]
+
+
+def test_distinct_words_are_shuffled_once(spark, sf):
+    """Once to be distinct, and not again to be composed."""
+    plan = plans.nfc_documents(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
