@@ -41,24 +41,29 @@ def scores(counts: DataFrame, alpha: float = ALPHA) -> dict:
     return {prev: ({c: (n + alpha) / (sum(row.values()) + alpha * v) for c, n in row.items()}, alpha / (sum(row.values()) + alpha * v)) for prev, row in out.items()}
 
 
-def sparse_model(counts: DataFrame, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
-    """The model as two tables whose size is that of what was seen: (prev, curr, p) and (prev, p_other), the probability of whatever wasn't seen after prev."""
-    v = counts.select(F.explode(F.array("prev", "curr")).alias("v")).agg(F.countDistinct("v")).scalar()
-    totals = counts.groupBy("prev").agg(F.sum("n").alias("total"))
-    whole = F.col("total") + alpha * v
-    # by predecessor; Spark splits a frequent one's pairs, since both sides are plain shuffles
-    seen = counts.join(totals, "prev").select("prev", "curr", ((F.col("n") + alpha) / whole).alias("p"))
-    return seen, totals.select("prev", (alpha / whole).alias("p_other"))
+def sparse_model(counts: DataFrame, alpha: float = ALPHA, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The model as two tables whose size is that of what was seen: (prev, curr, part) and (prev, whole, p_other). A pair's probability is part / whole, p_other is that of whatever wasn't seen after prev.
+
+    words: (prev, total), every word of a pair and how many pairs it begins (0: none), for callers who
+    can count it without the pairs.
+    """
+    if words is None:
+        ends = F.array(F.struct("prev", "n"), F.struct(F.col("curr").alias("prev"), F.lit(0).cast("long").alias("n")))
+        words = counts.select(F.explode(ends).alias("w")).groupBy("w.prev").agg(F.sum("w.n").alias("total"))
+    whole = F.col("total") + alpha * words.agg(F.count("total")).scalar()
+    seen = counts.select("prev", "curr", (F.col("n") + alpha).alias("part"))
+    return seen, words.filter("total > 0").select("prev", whole.alias("whole"), (alpha / whole).alias("p_other"))
 
 
 def scored(pairs: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     """pairs (prev, curr and other columns) with seen and p; 0 after a predecessor that the model doesn't have.
 
-    Each distinct pair is looked up once, so a frequent predecessor costs a row for each word after it.
+    Each distinct pair is looked up once, so a frequent predecessor costs a row for each word after it. The
+    model's pairs stay where they were counted: only those asked for go on to their predecessors.
     """
     seen, others = model
     types = pairs.select("prev", "curr").filter("prev is not null and curr is not null").distinct()
     found = types.join(seen, ["prev", "curr"], "left").join(others, "prev", "left")
-    found = found.select(F.col("prev").alias("_prev"), F.col("curr").alias("_curr"), F.col("p").isNotNull().alias("seen"), F.coalesce("p", "p_other", F.lit(0.0)).alias("p"))
+    found = found.select(F.col("prev").alias("_prev"), F.col("curr").alias("_curr"), F.col("part").isNotNull().alias("seen"), F.coalesce(F.col("part") / F.col("whole"), "p_other", F.lit(0.0)).alias("p"))
     joined = pairs.join(found, (F.col("prev") == F.col("_prev")) & (F.col("curr") == F.col("_curr")), "left").drop("_prev", "_curr")
     return joined.withColumn("seen", F.coalesce("seen", F.lit(False))).withColumn("p", F.coalesce("p", F.lit(0.0)))

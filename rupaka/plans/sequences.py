@@ -220,6 +220,13 @@ def neighbours(df: DataFrame, key: str) -> DataFrame:
     return ts.select(key, F.explode(pairs).alias("p")).select(key, "p.*")
 
 
+def begun(df: DataFrame) -> DataFrame:
+    """prev, total: every word of the adjacent words of (text), and how many pairs it begins."""
+    ts = df.select(x.tokens("text").alias("ts")).filter(F.size("ts") > 1)
+    each = F.transform("ts", lambda w, i: F.struct(w.alias("prev"), (i < F.size("ts") - 1).cast("long").alias("n")))
+    return ts.select(F.explode(each).alias("w")).groupBy("w.prev").agg(F.sum("w.n").alias("total"))
+
+
 PAIRS = "unnest(ts[1:len(ts) - 1]) AS prev, unnest(ts[2:]) AS curr"
 
 
@@ -230,9 +237,10 @@ s AS (SELECT sent_id, n IS NOT NULL AS seen, CASE WHEN total IS NULL THEN 0 ELSE
 SELECT sent_id, count(*)::BIGINT AS n, count(*) FILTER (seen)::BIGINT AS n_seen, count(*) FILTER (p > 0)::BIGINT AS n_known, sum(round(p, 12)::DECIMAL(24, 12))::DOUBLE AS total FROM s GROUP BY sent_id""")
 def bigram_scores_turns(spark, sf_dir):
     """The adjacent words of all conversations under a model of all documents' adjacent words."""
-    counts = neighbours(table(spark, sf_dir, "documents"), "doc_id").groupBy("prev", "curr").agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents")
+    counts = neighbours(docs, "doc_id").groupBy("prev", "curr").agg(F.count("*").alias("n"))
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sent_id"), "text")
-    out = bigram.scored(neighbours(turns, "sent_id"), bigram.sparse_model(counts))
+    out = bigram.scored(neighbours(turns, "sent_id"), bigram.sparse_model(counts, words=begun(docs)))
     total = F.sum(F.round("p", 12).cast("decimal(24,12)")).cast("double")
     return out.groupBy("sent_id").agg(F.count("*").alias("n"), F.count_if("seen").alias("n_seen"), F.count_if(F.col("p") > 0).alias("n_known"), total.alias("total"))
 

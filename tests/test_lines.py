@@ -93,3 +93,16 @@ def test_lines_of_repeated_documents_take_turns(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.word: r.last_line for r in sequences.lexicon_of_lines(spark, str(tmp_path)).collect()}
     assert {got["a"], got["e"]} == {1, 2} and (got["b"], got["c"], got["d"]) == (3, 4, 5)
+
+
+def test_pairs_of_a_sparse_model_meet_no_join(spark):
+    """Words counted without the pairs give the same model, and the pairs' own table is only counted."""
+    texts = spark.createDataFrame([(1, "a b a c"), (2, "z"), (3, "b a"), (4, None)], "k int, text string")
+    counts = sequences.neighbours(texts, "k").groupBy("prev", "curr").agg(F.count("*").alias("n"))
+    words = sequences.begun(texts)
+    assert sorted(map(tuple, words.collect())) == [("a", 2), ("b", 2), ("c", 0)]
+    asked = spark.createDataFrame([(p, c) for p in "abcz" for c in "abcz"], "prev string, curr string")
+    one, other = (sorted(map(tuple, bigram.scored(asked, bigram.sparse_model(counts, words=w)).collect())) for w in (words, None))
+    assert one == other and len(one) == 16
+    assert [(s, round(p, 9)) for a, b, s, p in one if (a, b) in (("b", "a"), ("c", "a"))] == [(True, round(2.1 / 2.3, 9)), (False, 0.0)]
+    assert "Join" not in bigram.sparse_model(counts)[0]._jdf.queryExecution().executedPlan().toString()
