@@ -24,7 +24,9 @@ from __future__ import annotations
 from collections import deque
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rupaka.functions import tables as t
@@ -85,6 +87,30 @@ def chosen(hits: list[tuple[int, int, int]], n: int) -> list[dict | None]:
     return out
 
 
+def opened(a: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The items of a batch of arrays, one after the other, and where each array begins and the last ends."""
+    sizes = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+    return a.flatten(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def runs(a: pa.Array, most: int = 1 << 16) -> list[tuple[int, int]]:
+    """(begin, count) of runs of a batch's arrays with ``most`` items at most, or one longer array, so that what Python holds doesn't follow the batch."""
+    ends, out, begin = opened(a)[1], [], 0
+    while begin < len(a) or not out:
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, "right")) - 1)
+        out.append((begin, end - begin))
+        begin = end
+    return out
+
+
+def marks_of(automaton: Automaton, flat: pa.Array, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """For each token of a batch the compound it belongs to and whether it starts it; both are null elsewhere."""
+    words, marks = flat.to_numpy(zero_copy_only=False).tolist(), []
+    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        marks += chosen(automaton.hits(words[i:j]), j - i)
+    return pa.array([m and m["term"] for m in marks], pa.int32()), pa.array([m and m["starts"] for m in marks], pa.bool_())
+
+
 MARK = pa.list_(pa.struct([("term", pa.int32()), ("starts", pa.bool_())]))
 MARKS = "array<struct<term:int,starts:boolean>>"
 
@@ -125,9 +151,13 @@ class Terms:
         """For each token of an array the compound (its place in the table) it belongs to and whether it starts it; null elsewhere."""
         automaton = self.automaton
 
+        def one(a: pa.Array) -> pa.Array:
+            flat, ends = opened(a)
+            term, starts = marks_of(automaton, flat, ends)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([term, starts], fields=list(MARK.value_type), mask=term.is_null()), mask=a.is_null())
+
         def run(a: pa.Array) -> pa.Array:
-            rows = (w.as_py() for w in a)
-            return pa.array([None if w is None else chosen(automaton.hits(w), len(w)) for w in rows], MARK)
+            return pa.concat_arrays([one(a.slice(*r)) for r in runs(a)])
 
         run.__annotations__ = {"a": pa.Array, "return": pa.Array}
         return F.arrow_udf(run, MARKS)(words)
@@ -135,7 +165,8 @@ class Terms:
     def of(self, kind: str) -> list[str]:
         return list(dict.fromkeys(r[0] for r in self.rows if r[1] == kind))
 
-    def roles(self, spark: SparkSession) -> DataFrame:
+    @cached_property
+    def single(self) -> pa.Table:
         """A row for each single word: ROLE_SCHEMA. Of several entries of one kind the first counts; quantifiers go before genitives, singular before plural."""
         words: dict[str, dict] = {}
         for term, kind, value, number in self.rows:
@@ -146,7 +177,11 @@ class Terms:
             gender, number = k.get("genitive", (None, None))
             number = "SG" if "singular" in k else "PL" if "plural" in k else number
             rows.append((w, *(r in k for r in ROLES), "genitive" in k, gender, number, k.get("negation", (None,))[0]))
-        return spark.createDataFrame(pa.Table.from_pylist([dict(zip(ROLE_NAMES, r)) for r in rows], ROLE_ARROW))
+        return pa.Table.from_pylist([dict(zip(ROLE_NAMES, r)) for r in rows], ROLE_ARROW)
+
+    def roles(self, spark: SparkSession) -> DataFrame:
+        """A row for each single word, as ``single`` has them."""
+        return spark.createDataFrame(self.single)
 
 
 ROLE_NAMES = ("token", *ROLES, "genitive", "gives_gender", "gives_number", "negates")

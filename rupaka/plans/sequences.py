@@ -87,9 +87,12 @@ n AS (SELECT *, first_value(CASE WHEN content THEN right_ END IGNORE NULLS) OVER
          w AS (PARTITION BY sent_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sent_id"), "text")
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sent_id"), "text")
-    return marked(t, Terms(LATIN))
+    return marked(conversations(spark, sf_dir), Terms(LATIN))
 
 
 @query("signals_turns", f"""WITH {TURNS}, {MARKED}, {SIGNALS} SELECT sent_id, pos::INT AS pos, token, starts, inside, content AND coalesce(r.c OR (r.s AND NOT {one_of('postposition')}), false) AS oblique,
@@ -97,8 +100,8 @@ CASE WHEN content THEN l.g END AS gender_signal, CASE WHEN content THEN l.n END
 def signals_turns(spark, sf_dir):
     """Signals of a Latin term table in all conversations; words in -ed and -ing agree like verbs, those in -s have a reading that doesn't."""
     read = lambda *r: F.array(*(F.struct(F.lit(g).alias("gender"), F.lit(n).alias("number")) for g, n in r)).cast("array<struct<gender:string,number:string>>")
-    verbs = F.when(F.col("token").endswith("ing"), read((None, "S"), ("F", "P"), ("M", "S"))).when(F.col("token").endswith("ed"), read(("M", "S"))).when(F.col("token").endswith("s"), read((None, "P"), ("M", None))).otherwise(read())
-    out = context.signals(turns(spark, sf_dir).withColumn("verb_candidates", verbs), Terms(LATIN))
+    verbs = lambda w: F.when(w.endswith("ing"), read((None, "S"), ("F", "P"), ("M", "S"))).when(w.endswith("ed"), read(("M", "S"))).when(w.endswith("s"), read((None, "P"), ("M", None))).otherwise(read())
+    out = context.signals_of(conversations(spark, sf_dir), verbs, Terms(LATIN))
     return out.select("sent_id", "pos", "token", "starts", F.col("term").isNotNull().alias("inside"), "oblique", "gender_signal", "number_signal", "negation", F.col("agreement.gender").alias("verb_gender"), F.col("agreement.number").alias("verb_number"))
 
 

@@ -3,11 +3,12 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rupaka.operators import disambiguate as dis, scan
-from rupaka.operators.terms import Automaton, Terms, chosen, marked, marked_by_join
+from rupaka.operators import context, disambiguate as dis, scan
+from rupaka.operators.terms import Automaton, Terms, chosen, marked, marked_by_join, runs
 from rupaka.plans import sequences
 
 
@@ -142,3 +143,39 @@ def test_counted_states(spark):
 def test_class_state_of_documents_shuffles_no_words(spark, sf):
     plan = sequences.class_state_documents(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" not in plan
+
+
+def test_signals_of_turns_sort_no_tokens(spark, sf):
+    plan = sequences.signals_turns(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("compounds", [True, False])
+def test_signals_within_rows(spark, compounds):
+    """Within rows as by windows, with long, empty and null texts, on every kind of term."""
+    rng = random.Random(11)
+    rows = [r for r in sequences.LATIN if compounds or r[1] != "compound"]
+    words = sorted({w for r in sequences.LATIN for w in r[0].split()}) + ["sing", "cats", "ended", "x", "y"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(60)))) for i in range(150)]
+    texts += [(1000, None), (1001, ""), (1002, " "), (1003, "x"), (1004, " ".join(rng.choice(words) for _ in range(70_000))), (1005, "of the sing")]
+    s = spark.createDataFrame(texts, "sent_id long, text string").coalesce(1)
+    read = lambda *r: F.array(*(F.struct(F.lit(g).alias("gender"), F.lit(n).alias("number")) for g, n in r)).cast("array<struct<gender:string,number:string>>")
+    verbs = lambda w: F.when(w.endswith("ing"), read((None, "S"), ("F", "P"), ("M", "S"))).when(w.endswith("ed"), read(("M", "S"))).otherwise(read())
+    want = context.signals(marked(s, Terms(rows)).withColumn("verb_candidates", verbs(F.col("token"))), Terms(rows))
+    got = context.signals_of(s, verbs, Terms(rows))
+    assert sorted(got.columns) == sorted(want.columns)
+    want, got = (sorted(map(tuple, df.select(sorted(want.columns)).collect()), key=repr) for df in (want, got))
+    assert got == want and len(got) > 70_000
+
+
+def test_signals_of_repeated_keys(spark):
+    """Two texts of one key don't signal to each other."""
+    s = spark.createDataFrame([(1, "x of"), (1, "y it"), (1, "x of")], "sent_id long, text string")
+    got = context.signals_of(s, lambda w: F.array().cast("array<struct<gender:string,number:string>>"), Terms(sequences.LATIN))
+    assert sorted((r.token, r.pos, r.oblique, r.negation) for r in got.collect()) == [("it", 1, False, "nahi"), ("of", 1, False, None), ("of", 1, False, None), ("x", 0, True, None), ("x", 0, True, None), ("y", 0, False, "nahi")]
+
+
+def test_runs():
+    sizes = [3, 0, 4, 100, 0, 1, 9, 2]
+    a = pa.array([list(range(n)) if n else None for n in sizes])
+    assert runs(a, 10) == [(0, 3), (3, 1), (4, 3), (7, 1)] and runs(a.slice(2, 2), 10) == [(0, 1), (1, 1)] and runs(a[:0], 10) == [(0, 1)]
