@@ -112,6 +112,24 @@ class Nearest:
         return pa.array(following, mask=following >= self.ends)
 
 
+def nearest(meets: Column) -> Column:
+    """For each item of an array of booleans the places of the nearest true ones before and after it, null where there are none: previous() and following() of words that are in one row."""
+
+    def one(a: pa.Array) -> pa.Array:
+        flat, ends = opened(a)
+        near, found = Nearest(ends), flat.to_numpy(zero_copy_only=False)
+        # places of the batch become places of their row
+        own = lambda at: pc.subtract(at, pa.array(near.begins)).cast(pa.int32())
+        places = pa.StructArray.from_arrays([own(near.before(found)), own(near.after(found))], names=["before", "after"])
+        return pa.ListArray.from_arrays(pa.array(ends), places, mask=a.is_null())
+
+    def run(a: pa.Array) -> pa.Array:
+        return pa.concat_arrays([one(a.slice(*r)) for r in runs(a)])
+
+    run.__annotations__ = {"a": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<before:int,after:int>>")(meets)
+
+
 def reading(words: Column, pairs: Column, terms: Terms) -> Column:
     """READS of the words of a row; pairs: the agreeing reading of each word, or null."""
     automaton, single = terms.automaton, {c: terms.single[c].combine_chunks() for c in terms.single.column_names}

@@ -27,6 +27,11 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.explode(x.tokens("text")).alias("word"))
 
 
+def turn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sent_id, ts: the words of every turn, in one row."""
+    return table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sent_id"), x.tokens("text").alias("ts")).filter(F.size("ts") > 0)
+
+
 def turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dis.tokenized(table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sent_id"), "text"))
 
@@ -349,8 +354,10 @@ def bigram_smoothed(spark, sf_dir):
 last_value(CASE WHEN token NOT IN ('the', 'of', 'la', 'die') THEN token END IGNORE NULLS) OVER (PARTITION BY sent_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
 first_value(CASE WHEN token NOT IN ('the', 'of', 'la', 'die') THEN token END IGNORE NULLS) OVER (PARTITION BY sent_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM tok""")
 def context_prev_next(spark, sf_dir):
-    content = ~F.col("token").isin("the", "of", "la", "die")
-    return turn_tokens(spark, sf_dir).withColumn("before", context.previous(content, F.col("token"))).withColumn("after", context.following(content, F.col("token")))
+    ts = turn_words(spark, sf_dir).withColumn("near", context.nearest(F.transform("ts", lambda w: ~w.isin("the", "of", "la", "die"))))
+    at = lambda side: F.transform("near", lambda p: F.get("ts", p[side])).alias(side)
+    each = ts.select("sent_id", F.posexplode(F.arrays_zip(F.col("ts").alias("token"), at("before"), at("after"))).alias("pos", "x"))
+    return each.select("sent_id", "pos", "x.*")
 
 
 @query("compound_terms", f"""WITH {TURN_TOKENS}, l AS (SELECT *, lead(token) OVER w AS t1, lead(token, 2) OVER w AS t2 FROM tok WINDOW w AS (PARTITION BY sent_id ORDER BY pos)),
@@ -365,14 +372,16 @@ def compound_terms(spark, sf_dir):
 @query("nearest_marker_right", f"""WITH {TURN_TOKENS} SELECT sent_id, pos::INT AS pos, token,
 first_value(CASE WHEN suffix(token, 'ing') OR suffix(token, 'ed') THEN pos END IGNORE NULLS) OVER (PARTITION BY sent_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)::INT AS marker FROM tok""")
 def nearest_marker_right(spark, sf_dir):
-    marks = F.col("token").endswith("ing") | F.col("token").endswith("ed")
-    return turn_tokens(spark, sf_dir).withColumn("marker", context.following(marks, F.col("pos")))
+    ts = turn_words(spark, sf_dir).withColumn("near", context.nearest(F.transform("ts", lambda w: w.endswith("ing") | w.endswith("ed"))))
+    each = ts.select("sent_id", F.posexplode(F.arrays_zip(F.col("ts").alias("token"), "near")).alias("pos", "x"))
+    return each.select("sent_id", "pos", "x.token", F.col("x.near.after").alias("marker"))
 
 
 @query("negation_scope", f"""WITH {TURN_TOKENS} SELECT sent_id, count(*)::BIGINT AS n, arg_min(CASE WHEN token IN ('no', 'not', 'nicht', 'pas') THEN token END, pos) AS negation FROM tok GROUP BY sent_id""")
 def negation_scope(spark, sf_dir):
-    neg = F.col("token").isin("no", "not", "nicht", "pas")
-    return turn_tokens(spark, sf_dir).withColumn("negation", context.anywhere(F.when(neg, F.col("token")))).groupBy("sent_id").agg(F.count("*").alias("n"), F.min("negation").alias("negation"))
+    first = F.get(F.filter("ts", lambda w: w.isin("no", "not", "nicht", "pas")), F.lit(0))
+    ts = turn_words(spark, sf_dir).select("sent_id", F.size("ts").alias("n"), first.alias("negation"))
+    return ts.groupBy("sent_id").agg(F.sum("n").alias("n"), F.min("negation").alias("negation"))
 
 
 # ── scoring ──

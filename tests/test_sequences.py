@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rupaka.operators import context, disambiguate as dis, scan
 from rupaka.operators.terms import Automaton, Terms, chosen, marked, marked_by_join, runs
-from rupaka.plans import sequences
+from rupaka.plans import catalogue, sequences
 
 
 def test_automaton():
@@ -179,3 +179,26 @@ def test_runs():
     sizes = [3, 0, 4, 100, 0, 1, 9, 2]
     a = pa.array([list(range(n)) if n else None for n in sizes])
     assert runs(a, 10) == [(0, 3), (3, 1), (4, 3), (7, 1)] and runs(a.slice(2, 2), 10) == [(0, 1), (1, 1)] and runs(a[:0], 10) == [(0, 1)]
+
+
+@pytest.mark.parametrize("name", ["context_prev_next", "nearest_marker_right", "negation_scope"])
+def test_neighbours_in_turns_shuffle_no_tokens(spark, sf, name):
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and ("Exchange" not in plan or "Generate" not in plan)
+
+
+def test_nearest(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.random() < 0.2 for _ in range(rng.randrange(30))]) for i in range(80)] + [(100, None), (101, []), (102, [False]), (103, [True]), (104, [i % 1000 == 7 for i in range(70_000)])]
+    df = spark.createDataFrame(rows, "k int, m array<boolean>").coalesce(1)
+    got = {r.k: r.near for r in df.select("k", context.nearest(F.col("m")).alias("near")).collect()}
+    for k, m in rows:
+        before, after, last = [], [], None
+        for i, x in enumerate(m or []):
+            before.append(last)
+            last = i if x else last
+        last = None
+        for i in range(len(m or []) - 1, -1, -1):
+            after.append(last)
+            last = i if m[i] else last
+        assert (got[k] is None) == (m is None) and [(p.before, p.after) for p in got[k] or []] == list(zip(before, after[::-1]))
